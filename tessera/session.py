@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,8 +39,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     The folder is the one named by spark.checkpoint.dir; where that is unset, as in tests,
     a temporary folder of the driver's is used.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the cluster's spark.checkpoint.dir, or one of our own where that is unset."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Like checkpoint(), as a compressed columnar table, for larger intermediate results.
+
+    The table lies in the shared folder and is removed when the Python process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
