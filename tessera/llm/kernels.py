@@ -86,7 +86,7 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterato
 class Words:
     """The words of a chunk: byte starts and ends, and for each row its first and last word number."""
 
-    __slots__ = ("raw", "starts", "ends", "first", "is_word")
+    __slots__ = ("raw", "starts", "ends", "first")
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray):
         self.raw = raw
@@ -98,7 +98,6 @@ class Words:
             inner = offsets[(offsets > 0) & (offsets < len(w))]
             before[inner] = False  # a row's first byte continues no word
             after[inner - 1] = False
-        self.is_word = w
         self.starts = np.flatnonzero(w & ~before)
         self.ends = np.flatnonzero(w & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)  # n+1 word numbers
@@ -117,13 +116,16 @@ class Words:
             np.cumsum((_BYTES_LOWER if lower else _BYTES)[self.raw] * up[: len(self.raw)], out=c[1:])
             return mix((c[self.ends] - c[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
-    def joined(self, lower: bool = False) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """The words one space apart, as bytes, with each word's new start and end."""
-        lens = self.ends - self.starts
-        new = np.concatenate(([0], np.cumsum(lens + 1)[:-1])).astype(np.int64) if len(lens) else lens
-        out = np.full(int((lens + 1).sum()), 0x20, np.uint8)
-        src = np.flatnonzero(self.is_word)
-        out[src + np.repeat(new - self.starts, lens)] = LOWER[self.raw[src]] if lower else self.raw[src]
+    def joined(self, lower: bool = False, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words (those of the mask `keep`) one space apart, as bytes, with each word's new start and end."""
+        starts, ends = (self.starts, self.ends) if keep is None else (self.starts[keep], self.ends[keep])
+        lens = ends - starts
+        before = np.cumsum(lens) - lens  # bytes of the words before
+        new = before + np.arange(len(lens))
+        out = np.full(int(lens.sum()) + len(lens), 0x20, np.uint8)
+        at = np.arange(int(lens.sum()))
+        src = self.raw[at + np.repeat(starts - before, lens)]
+        out[at + np.repeat(new - before, lens)] = LOWER[src] if lower else src
         return out.tobytes(), new, new + lens
 
 

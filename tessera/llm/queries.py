@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from tessera.session import table
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"), k=35)
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+cov AS (SELECT DISTINCT r, i + o AS p FROM (SELECT r, i FROM win JOIN rep USING (h)) AS t, (SELECT unnest(range(35)) AS o) AS s),
+w AS (SELECT r, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM w ANTI JOIN cov USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash_dedup import hex_fingerprint, near_duplicates
 
@@ -18,8 +36,8 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_simhash_dedup,)}
+    return {f.__name__: f for f in (op4_substring_dedup, op8_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_substring_dedup": OP4_SQL}
