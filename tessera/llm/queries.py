@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tessera.session import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), columns=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.substring_dedup import without_repeats
 
@@ -36,7 +42,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup, op8_simhash_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op4_substring_dedup, op8_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
