@@ -16,6 +16,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), columns=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_id import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return identify(asked, learn(docs), ["doc_id", "held_out"])
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.substring_dedup import without_repeats
 
@@ -42,7 +50,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_substring_dedup, op8_simhash_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_substring_dedup, op8_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
