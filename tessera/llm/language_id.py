@@ -33,11 +33,11 @@ UND = "und"
 
 @dataclass
 class Model:
-    """langs sorted; table: next row offset * 2 + new-phrase mark; root: row offset a language; bits: log2 of the labelled length."""
+    """langs sorted; table: next row offset * 2 + mark of a phrase's first letter; rest: a language's row offset between phrases; bits: log2 of the labelled length."""
 
     langs: list[str]
     table: np.ndarray
-    root: np.ndarray
+    rest: np.ndarray
     bits: np.ndarray
     symbol: np.ndarray  # code point -> symbol
 
@@ -116,22 +116,23 @@ def fit(labelled: list[tuple[str, str]], chars: int = 40_000, all_chars: int = 2
             symbol[i] = known.get(c.lower(), OTHER)
     width = len(known) + 2
     langs = [x for x in langs if any(c.isalpha() for c in held[x])]
-    tables, roots, bits, base = [], [], [], 0
+    tables, rests, bits, base = [], [], [], 0
     for lang in langs:
         s = _symbols(held[lang], symbol)
         go = _automaton(s.tolist())
-        start = np.full(width, base * width * 2 + 1, np.int64)  # an unseen letter is a phrase of its own
+        rest = base + len(go)  # between phrases: any letter begins one; an unseen letter is one and leads back here
+        start = np.full(width, rest * width * 2 + 1, np.int64)
         for c, to in go[0].items():
             start[c] = (base + to) * width * 2 + 1
-        t = np.tile(start, (len(go), 1))
+        t = np.tile(start, (len(go) + 1, 1))
         for i, out in enumerate(go):
             for c, to in out.items():
                 t[i, c] = (base + to) * width * 2
         tables.append(t.astype(np.int32).ravel())
-        roots.append(base * width)
+        rests.append(rest * width)
         bits.append(math.log2(max(2, len(s))))
-        base += len(go)
-    return Model(langs, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array(bits), symbol)
+        base += len(go) + 1
+    return Model(langs, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(rests, np.int32), np.array(bits), symbol)
 
 
 def phrases(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,8 +159,8 @@ def phrases(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     size = np.minimum(PIECE, at[1:][row] - begin)
     order = np.argsort(-size, kind="stable")
     row, begin, size = row[order], begin[order], size[order]
-    state = np.repeat(model.root[:, None], len(row), axis=1)
-    count = np.ones(state.shape, np.int32)  # the phrase that the piece's end cuts off
+    state = np.repeat(model.rest[:, None], len(row), axis=1)
+    count = np.zeros(state.shape, np.int32)
     active = np.searchsorted(-size, -np.arange(size[0]), "left")  # pieces that reach letter t
     for t in range(int(size[0])):
         m = active[t]
