@@ -55,9 +55,35 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("doc_id"), hex_fingerprint(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import without_lines
+
+    out = without_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH piece AS (SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS line FROM (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS p FROM documents)),
+line AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM piece),
+seen AS (SELECT w, min((doc_id, line_no)) AS at FROM line WHERE len(w) > 0 GROUP BY w),
+long AS (SELECT * FROM seen WHERE len(w) >= 10),
+met AS (
+  SELECT a.w AS x, b.w AS y, a.at AS p, b.at AS q FROM long AS a JOIN long AS b ON a.w[1] = b.w[1] AND len(b.w) - len(a.w) IN (0, 1)
+  UNION SELECT a.w, b.w, a.at, b.at FROM long AS a JOIN long AS b ON a.w[-1] = b.w[-1] AND len(b.w) - len(a.w) IN (0, 1)),
+near AS (SELECT x, y, p, q FROM met WHERE x <> y AND CASE WHEN len(x) = len(y)
+  THEN len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i])) <= 1
+  ELSE len(list_filter(range(0, len(x) + 1), lambda i: x[1:i] = y[1:i] AND x[i + 1:] = y[i + 2:])) > 0 END),
+late AS (SELECT x AS w FROM near WHERE q < p UNION SELECT y FROM near WHERE p < q),
+mark AS (SELECT l.*, len(l.w) > 0 AND ((l.doc_id, l.line_no) <> s.at OR t.w IS NOT NULL) AS gone FROM line AS l LEFT JOIN seen AS s ON l.w = s.w LEFT JOIN late AS t ON l.w = t.w),
+kept AS (SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_removed, string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT coalesce(gone, false)) AS t FROM mark GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents AS d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_substring_dedup, op5_fingerprints, op8_simhash_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_substring_dedup, op5_fingerprints, op8_simhash_dedup, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL}
