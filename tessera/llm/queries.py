@@ -48,6 +48,12 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash_dedup import hex_fingerprint, near_duplicates
 
@@ -82,7 +88,7 @@ FROM documents AS d LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_substring_dedup, op5_fingerprints, op8_simhash_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_substring_dedup, op5_fingerprints, op6_decontamination, op8_simhash_dedup, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
