@@ -73,7 +73,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def chunks(raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of at most `most` bytes (one row at least): first row, last row, bytes, offsets from 0."""
     n, a = len(offsets) - 1, 0
     while a < n:
@@ -107,14 +107,16 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash for each word."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
+        return self.span_hashes([(self.starts, self.ends)], lower)[0]
+
+    def span_hashes(self, spans: list[tuple[np.ndarray, np.ndarray]], lower: bool = False) -> list[np.ndarray]:
+        """64-bit hashes of byte spans, given as arrays of starts and ends; equal bytes, equal hashes."""
         up, down = powers(len(self.raw) + 1)
         with np.errstate(over="ignore"):
             c = np.empty(len(self.raw) + 1, np.uint64)
             c[0] = 0
             np.cumsum((_BYTES_LOWER if lower else _BYTES)[self.raw] * up[: len(self.raw)], out=c[1:])
-            return mix((c[self.ends] - c[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+            return [mix((c[b] - c[a]) * down[a] + (b - a).astype(np.uint64)) for a, b in spans]
 
     def joined(self, lower: bool = False, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The words (those of the mask `keep`) one space apart, as bytes, with each word's new start and end."""

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
@@ -29,6 +29,7 @@ from tessera.session import store
 
 MIN_FUZZY = 10
 NEWLINE = 0x0A
+_KEYS = ["k0", "k1", "k2", "k3"]
 _SUBST, _WHOLE = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
@@ -58,7 +59,7 @@ def _halves(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _all_lines(docs: DataFrame) -> DataFrame:
-    """(lh, n, doc_id, th, line_no, keys): every line with words."""
+    """(lh, doc_id, th, line_no, again, k0..k3): every line with words; again: an equal one stands earlier in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,14 +70,16 @@ def _all_lines(docs: DataFrame) -> DataFrame:
                 if not len(row):
                     continue
                 h = words.hashes()
-                keys = _halves(h, a, b)
+                lh, keys = K.range_hashes(h, a, b), _halves(h, a, b)
+                order = np.lexsort((lh, row))  # stable: earlier lines first
+                again = np.zeros(len(row), bool)
+                again[order[1:]] = (row[order[1:]] == row[order[:-1]]) & (lh[order[1:]] == lh[order[:-1]])
                 ids, take = batch.slice(x, y - x), pa.array(row)
-                some = keys != 0
-                flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some.sum(1)))).astype(np.int32)), pa.array(keys[some].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(K.range_hashes(h, a, b).view(np.int64)), pa.array((b - a).astype(np.int32)), ids.column(0).take(take), ids.column(1).take(take), pa.array(number.astype(np.int32)), flat], ["lh", "n", "doc_id", "th", "line_no", "keys"])
+                halves = [pa.array(keys[:, i].copy().view(np.int64), mask=keys[:, i] == 0) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(lh.view(np.int64)), ids.column(0).take(take), ids.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(again), *halves], ["lh", "doc_id", "th", "line_no", "again", *_KEYS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _keyed(docs).mapInArrow(run, f"lh long, n int, doc_id {kind}, th long, line_no int, keys array<long>")
+    return _keyed(docs).mapInArrow(run, f"lh long, doc_id {kind}, th long, line_no int, again boolean, " + ", ".join(f"{k} long" for k in _KEYS))
 
 
 def _candidates(docs: DataFrame, coords: DataFrame) -> DataFrame:
@@ -107,13 +110,13 @@ def _candidates(docs: DataFrame, coords: DataFrame) -> DataFrame:
 
 
 def _variants(cand: DataFrame) -> DataFrame:
-    """(vk, lh, role): role 0 one word substituted at a place, 1 one word left out, 2 the line as it is."""
+    """(vk, rank, role): role 0 one word substituted at a place, 1 one word left out, 2 the line as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lh = batch.column(0).to_numpy()
+            rank = batch.column(0).to_numpy()
             raw, offsets = K.string_buffers(batch.column(1))
-            for x, y, part, off in K.chunks(raw, offsets, 1 << 18):
+            for x, y, part, off in K.chunks(raw, offsets):
                 words = K.Words(part, off, K.BLANK)
                 h, n = words.hashes(), np.diff(words.first)
                 up, down = K.powers(len(h) + 1)
@@ -132,9 +135,9 @@ def _variants(cand: DataFrame) -> DataFrame:
                 vk = np.concatenate((subst, short[longer], full))
                 who = np.concatenate((line, line[longer], np.arange(y - x))) + x
                 role = np.concatenate((np.zeros(len(subst), np.int8), np.ones(int(longer.sum()), np.int8), np.full(y - x, 2, np.int8)))
-                yield pa.RecordBatch.from_arrays([pa.array(K.mix(vk).view(np.int64)), pa.array(lh[who]), pa.array(role)], ["vk", "lh", "role"])
+                yield pa.RecordBatch.from_arrays([pa.array(K.mix(vk).view(np.int64)), pa.array(rank[who]), pa.array(role)], ["vk", "rank", "role"])
 
-    return cand.select("lh", "words").mapInArrow(run, "vk long, lh long, role byte")
+    return cand.select("rank", "words").mapInArrow(run, "vk long, rank long, role byte")
 
 
 def within_one_edit(a: list[str], b: list[str]) -> bool:
@@ -149,50 +152,57 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
     return a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :]
 
 
-def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(lh, doc_id, th, line_no): for distinct lines with an earlier one within the bound, the earliest such line's place.
+def _order(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.col(doc_id), F.lit(-(1 << 63)))
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
+    """(lh): the distinct lines with an earlier one within the bound.
 
-    first: (lh, n, at struct(doc_id, th, line_no), keys), a row a distinct line.
+    lines: as of _all_lines(), without repeats in one text; first: (lh, first, k0..k3), a row a distinct line.
     """
-    key = first.select("lh", F.explode("keys").alias("k"))
+    key = first.select("lh", F.explode(F.array_compact(F.array(*_KEYS))).alias("k"))
     again = store(key.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k"))
     near = key.join(again, "k").select("lh").distinct()
-    coords = store(first.join(near, "lh").select("lh", "at.*"))
-    place = F.struct("doc_id", "th", "line_no").alias("at")
-    cand = store(_candidates(docs, coords).select("lh", place, "words").dropDuplicates(["lh"]))  # repeated rows of a document agree
-    rows = store(_variants(cand).join(cand.select("lh", "at"), "lh"))
-    least = lambda c: F.min(F.when(c, F.struct("at", "lh")))
-    groups = store(rows.groupBy("vk").agg(least(F.col("role") == 0).alias("subst"), least(F.col("role") == 1).alias("short"), least(F.col("role") == 2).alias("whole"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    where = first.join(near, "lh").select("lh", "first")
+    coords = store(lines.join(where, "lh").where(_order() == F.col("first")).select("doc_id", "th", "line_no"))
+    cand = _candidates(docs, coords).dropDuplicates(["lh"])  # rows of one document agree
+    # ranks follow the order of (document, line): partitions are ranges, and ids grow within and along them
+    cand = store(cand.orderBy(_order(), "line_no").select("lh", "words", F.monotonically_increasing_id().alias("rank")))
+    rows = store(_variants(cand))
+    least = lambda role: F.min(F.when(F.col("role") == role, F.col("rank")))
+    groups = store(rows.groupBy("vk").agg(least(0).alias("subst"), least(1).alias("short"), least(2).alias("whole"), F.count("*").alias("m")).where("m > 1").drop("m"))
     other = F.when(F.col("role") == 0, F.col("subst")).when(F.col("role") == 1, F.col("whole")).otherwise(F.col("short"))
-    met = rows.join(groups, "vk").select("lh", "at", other.alias("o")).where("o.at < at").groupBy("lh").agg(F.min("o").alias("o"))
-    texts = cand.select("lh", "words")
-    pairs = met.select("lh", "o.at", F.col("o.lh").alias("oh")).join(texts, "lh").join(texts.select(F.col("lh").alias("oh"), F.col("words").alias("theirs")), "oh")
+    met = rows.join(groups, "vk").select("rank", other.alias("theirs")).where("theirs < rank").groupBy("rank").agg(F.min("theirs").alias("theirs"))
+    pairs = met.join(cand, "rank").select("lh", F.col("words").alias("a"), "theirs").join(cand.select(F.col("rank").alias("theirs"), F.col("words").alias("b")), "theirs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [within_one_edit(x.split(" "), y.split(" ")) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["lh"])
 
-    return pairs.select("lh", "words", "theirs").mapInArrow(verify, "lh long")
+    return pairs.select("lh", "a", "b").mapInArrow(verify, "lh long")
 
 
 def repeated_lines(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(doc_id, th, gone array<int>): for documents that lose lines, the sorted numbers of those lines.
 
-    A line goes if an equal one, or one within the bound, stands earlier: at a smaller
-    (doc_id, text hash, line number), null ids first. Whether the earlier line itself goes
-    makes no difference.
+    A line goes if an equal one, or one within the bound, stands earlier: in a document with a
+    smaller id (none is smallest), or before it in the same text; whether that line itself
+    goes makes no difference. Rows that share an id, or have none, only lose lines to others.
     """
-    lines = _all_lines(docs)
-    place = F.struct("doc_id", "th", "line_no")
-    first = store(lines.groupBy("lh", "n").agg(F.min(place).alias("at"), F.first("keys").alias("keys")))
-    every = lines.select("lh", "n", "doc_id", "th", "line_no").join(first.select("lh", "n", F.col("at").alias("first")), ["lh", "n"])
-    gone = F.col("first") != place
+    lines = store(_all_lines(docs))
+    once = lines.where("NOT again")
+    first = store(once.groupBy("lh").agg(F.min(_order()).alias("first"), F.count("*").alias("m"), *[F.min(k).alias(k) for k in _KEYS]))
+    late = first.where("m > 1").select("lh", "first")
     if fuzzy:
-        near = store(near_lines(docs, first).distinct())
-        every = every.join(near.withColumn("near", F.lit(True)), "lh", "left")
-        gone = gone | F.col("near").isNotNull()
-    return every.where(gone).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+        near = near_lines(docs, once, first).distinct().withColumn("near", F.lit(True))
+        late = late.join(near, "lh", "full_outer")
+    else:
+        late = late.withColumn("near", F.lit(None).cast("boolean"))
+    gone = once.join(store(late), "lh").where(F.col("near") | (_order() > F.col("first")))
+    every = gone.select("doc_id", "th", "line_no").unionByName(lines.where("again").select("doc_id", "th", "line_no"))
+    return every.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
 def without_lines(docs: DataFrame, fuzzy: bool = True, keep: list[str] | None = None) -> DataFrame:
