@@ -211,7 +211,7 @@ def without_lines(docs: DataFrame, fuzzy: bool = True, keep: list[str] | None =
     n_lines counts the pieces between line feeds (an empty text has none; a null text is
     empty). Lines without words are no one's repeat and stay; the others go as
     repeated_lines() says, and the rest stand as they were, one line feed apart. emptied: all
-    lines with words went. Rows that share doc_id and text are one document. Lines of any
+    lines with words went. Lines of any
     length are compared whole. Clashing columns are replaced; empty tables stay empty.
     """
     new = ["kept_text", "n_lines", "n_removed", "emptied"]
@@ -222,26 +222,14 @@ def without_lines(docs: DataFrame, fuzzy: bool = True, keep: list[str] | None =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text")).alias("d")
     joined = d.join(g, (F.col("d.__th") == F.col("g.th")) & F.col("d.__id").eqNullSafe(F.col("g.doc_id")), "left").select(*[F.col(f"d.`{c}`") for c in keep], "d.__text", F.col("g.gone").alias("__gone"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(len(keep))
-            raw, off = K.string_buffers(texts)
-            at, bounds = _flat(batch.column(len(keep) + 1))
-            lost = np.diff(bounds)
-            breaks = np.concatenate(([0], np.cumsum(raw[off[0] : off[-1]] == NEWLINE)))[off - off[0]]
-            n_lines = np.where(np.diff(off) > 0, np.diff(breaks) + 1, 0)
-            out, emptied = texts.to_pylist() if lost.any() else None, np.zeros(len(batch), bool)
-            for i in np.flatnonzero(lost).tolist():
-                drop = set(at[bounds[i] : bounds[i + 1]].tolist())
-                rest = [x for j, x in enumerate(out[i].split("\n")) if j not in drop]
-                out[i] = "\n".join(rest)
-                emptied[i] = not any(x.strip(" \t\n\x0b\x0c\r") for x in rest)
-            kept = texts if out is None else pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], kept, pa.array(n_lines), pa.array(lost), pa.array(emptied)], [*keep, *new])
-
-    schema = joined.select(*[F.col(f"`{c}`") for c in keep]).schema.add("kept_text", "string").add("n_lines", "long").add("n_removed", "long").add("emptied", "boolean")
-    return joined.mapInArrow(run, schema)
+    lines = F.when(F.col("__text") == "", F.array().cast("array<string>")).otherwise(F.split("__text", "\n", -1))
+    joined = joined.withColumn("__lines", lines)
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")
+    joined = joined.withColumn("kept_text", F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(rest))
+    n_gone = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
+    emptied = F.col("__gone").isNotNull() & ~F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")
+    return joined.select(*[F.col(f"`{c}`") for c in keep], "kept_text", F.size("__lines").cast("long").alias("n_lines"), n_gone.alias("n_removed"), emptied.alias("emptied"))
 
 
 def deduplicate(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
