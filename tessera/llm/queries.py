@@ -87,8 +87,16 @@ FROM documents AS d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import held_out, learn, scores
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, table(spark, sf_dir, "labels"))
+    return scores(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model, ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_substring_dedup, op5_fingerprints, op6_decontamination, op8_simhash_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_substring_dedup, op5_fingerprints, op6_decontamination, op8_simhash_dedup, op9_line_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
