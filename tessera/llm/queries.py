@@ -16,6 +16,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), columns=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.language_id import held_out, identify, learn
 
@@ -96,7 +102,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_substring_dedup, op5_fingerprints, op6_decontamination, op8_simhash_dedup, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_licences, op3_language_id, op4_substring_dedup, op5_fingerprints, op6_decontamination, op8_simhash_dedup, op9_line_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
