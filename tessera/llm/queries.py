@@ -60,6 +60,21 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+#: What the method finds on the tables' pages, whose main text is one article element.
+OP7_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS b FROM pages),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(b, lambda x:
+  trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]+>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM a)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash_dedup import hex_fingerprint, near_duplicates
 
@@ -102,8 +117,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_licences, op3_language_id, op4_substring_dedup, op5_fingerprints, op6_decontamination, op8_simhash_dedup, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_licences, op3_language_id, op4_substring_dedup, op5_fingerprints, op6_decontamination, op7_html_extraction, op8_simhash_dedup, op9_line_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op7_html_extraction": OP7_SQL, "op9_line_dedup": OP9_SQL}
