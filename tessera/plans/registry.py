@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import fixtures, tables
+
+
+def _all() -> list[tuple[Callable, str | None]]:
+    return [*tables.QUERIES, *fixtures.QUERIES]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f, _ in _all()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: sql for f, sql in _all() if sql}
