@@ -112,7 +112,8 @@ def correct_mapping(overrides: DataFrame, corrections: DataFrame, patches: DataF
 
 def correct_retrieval(boosts: DataFrame, failures: DataFrame) -> DataFrame:
     """boosts with BOOST for each suggested section that a query has none for. failures: (query, suggested_sections, ts)."""
-    f = failures.select(query_hash(F.col("query")).alias("query_hash"), normal_section(F.explode("suggested_sections")).alias("section_parent"), F.concat(F.lit("suggested by self-reflection: "), F.left(F.col("query"), F.lit(60))).alias("reason"), "ts").where("section_parent <> ''")
+    f = failures.withColumn("section", F.explode("suggested_sections"))
+    f = f.select(query_hash(F.col("query")).alias("query_hash"), normal_section(F.col("section")).alias("section_parent"), F.concat(F.lit("suggested by self-reflection: "), F.left(F.col("query"), F.lit(60))).alias("reason"), "ts").where("section_parent <> ''")
     new = f.withColumns({"delta": F.lit(BOOST), "section_child": F.lit(None).cast("string")})
     return insert_absent(boosts, new, ["query_hash", "section_parent"], ["ts"])
 

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.functions.vectors import similarities
+from tessera.session import store
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 WEIGHT, THRESHOLD, PER_SOURCE, OVERALL, PENALTY = 0.2, 0.35, 4, 12, 0.4
@@ -54,7 +55,7 @@ def term_stats(chunks: DataFrame, posts: DataFrame) -> DataFrame:
 
 def bm25(queries: DataFrame, chunks: DataFrame, posts: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """(query_id, source_key, chunk_no, bm25) where a query word occurs; repeated words count again."""
-    posts = postings(chunks) if posts is None else posts
+    posts = store(postings(chunks)) if posts is None else posts  # read twice below
     stats = term_stats(chunks, posts) if stats is None else stats
     q = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     hit = posts.join(q, "term").join(stats.select("source_key", "term", "avgdl", "idf"), ["source_key", "term"])
@@ -150,13 +151,16 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     are one class and never paired.
     """
     sets = docs.select(key, F.array_sort(F.array_distinct(T.tokens(F.col(text)))).alias("t")).where(F.size("t") > 0)
-    classes = sets.groupBy("t").agg(F.min(key).alias("k"))
+    classes = store(sets.groupBy("t").agg(F.min(key).alias("k")))
     words = classes.select("k", F.size("t").alias("n"), F.explode("t").alias("term"))
     df = words.groupBy("term").agg(F.count("*").alias("df"))
     ranked = words.join(df, "term").withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("df", "term")))
-    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("k", "n", "term", "at")
+    prefix = store(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("k", "n", "term", "at"))
     a, b = prefix.alias("a"), prefix.alias("b")
     size = (F.col("a.n") * least <= F.col("b.n")) & (F.col("b.n") * least <= F.col("a.n"))
+    # what may still be shared from here on must suffice for the overlap
+    left = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    size = size & (F.least("a.at", "b.at") - 1 + left >= least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9)
     pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.k") < F.col("b.k")) & size).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
     full = pairs.join(classes.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(classes.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))

@@ -72,7 +72,7 @@ def confirmations(stream: DataFrame, lock_at: int = FB.LOCK_AT, ttl_days: int |
 
 def once(stream: DataFrame, late: str = "7 days") -> DataFrame:
     """Messages of a stream, each (qa_id, session_id) once while the watermark remembers it."""
-    return stream.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["qa_id", "session_id"])
+    return stream.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late).dropDuplicatesWithinWatermark(["qa_id", "session_id"])
 
 
 def new_files(spark: SparkSession, root: str) -> DataFrame:

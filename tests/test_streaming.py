@@ -1,0 +1,62 @@
+"""Streaming forms against their batch twins."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import memory
+from tessera.session import table
+from tessera.streaming import jobs
+
+
+@pytest.fixture
+def events(spark, sf_dir, tmp_path):
+    """The events in three files that come in by time."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("value")).cache()
+    cut = e.select(F.percentile_approx(F.unix_timestamp("ts"), [0.33, 0.66])).first()[0]
+    part = F.when(F.unix_timestamp("ts") <= cut[0], 0).when(F.unix_timestamp("ts") <= cut[1], 1).otherwise(2)
+    for i in range(3):
+        e.where(part == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    return e, spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+
+def drain(stream, name, tmp_path):
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return stream.sparkSession.table(name)
+
+
+def test_rate_limit(events, tmp_path):
+    batch, stream = events
+    got = drain(jobs.rate_limit(stream.select("user_id", "event_id", "ts"), 3, 86_400), "limited", tmp_path)
+    want = memory.accepted_hits(batch, 3, 86_400, "user_id", "ts", "event_id")
+    rows = lambda df: sorted((r.event_id, r.accepted) for r in df.select("event_id", "accepted").collect())
+    assert rows(got) == rows(want) and not all(a for _, a in rows(got))
+
+
+def test_streaks(events, tmp_path):
+    batch, stream = events
+    got = drain(jobs.streaks(stream), "runs", tmp_path)
+    want = memory.streaks(batch, None, 3, "user_id", "value", ("ts", "event_id"))
+    assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect()) != []
+
+
+def test_confirmations_and_repeats(events, tmp_path):
+    batch, stream = events
+    got = drain(jobs.confirmations(stream.select(F.col("value").alias("action"))), "confirmed", tmp_path)
+    last = {r.action: (r.n, r.locked) for r in got.groupBy("action").agg(F.max("confirmed").alias("n"), F.max("locked").alias("locked")).collect()}
+    assert last == {r.value: (r["count"], True) for r in batch.groupBy("value").count().collect()}
+    twice = stream.select(F.explode(F.array(F.lit(1), F.lit(2))), F.col("event_id").cast("string").alias("qa_id"), F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("created_at"))
+    once = drain(jobs.once(twice, "400 days"), "fresh", tmp_path)
+    assert once.count() == batch.count()
+
+
+def test_feedback_loop(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    rows = [("a", at, "how to register", "You can.", 1), ("b", at + timedelta(1), "what is it", "It is so.", 5), ("c", at, "what is it", "It was cut off before completion", None)]
+    df = spark.createDataFrame(rows, "qa_id string, ts timestamp, query string, response string, rating int").withColumns({"failure_type": F.lit(""), "comment": F.lit(""), "form_ids": F.array().cast("array<string>")})
+    df.coalesce(1).write.parquet(f"{tmp_path}/fb")
+    jobs.feedback_loop(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/fb"), f"{tmp_path}/kept", f"{tmp_path}/ck").awaitTermination(60)
+    kept = {r.qa_id: r.failure_type for r in spark.read.parquet(f"{tmp_path}/kept").collect()}
+    assert kept == {"a": "wrong_form", "b": "", "c": "incomplete"}
