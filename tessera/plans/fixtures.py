@@ -23,11 +23,12 @@ def _literal(v) -> str:
     return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
 
-def expect(columns: str, rows: list[tuple]):
-    """Registers a query with its expected rows, as SQL that lists them."""
+def expect(columns: str, rows: list[tuple], **types: str):
+    """Registers a query with its expected rows, as SQL that lists them; types: of columns whose literals have another."""
 
     def mark(f):
-        sql = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS t({columns})"
+        swap = f" REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())})" if types else ""
+        sql = f"SELECT *{swap} FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS t({columns})"
         QUERIES.append((f, sql))
         return f
 
@@ -74,7 +75,7 @@ def followup_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, rows).select("id", T.is_followup(F.col("text"), F.lit(1)).alias("followup"))
 
 
-@expect("query_id, parent, child, chunks", [(1, "46", None, 2), (1, "41", "2", 1), (1, "60a", None, 1), (1, "8", None, 1), (2, "46", None, 1)])
+@expect("query_id, parent, child, chunks", [(1, "46", None, 2), (1, "41", "2", 1), (1, "60a", None, 1), (1, "8", None, 1), (2, "46", None, 1)], chunks="BIGINT")
 def section_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "Under section 46 and Section 46, see section 41(2)."), (1, "Seksyen 46 and Section 60A; subsection 99 is not one, section 8,"), (2, "SECTION  46"), (2, "no reference")]
     return search.section_frequency(spark.createDataFrame(rows, "query_id int, text string"))
@@ -124,7 +125,7 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @expect("chunk_no, part, section, content", [
     (1, "", "", f"{_P}"), (2, "OBJECTIVE", "OBJECTIVE", f"2. {_P}/{_P}"), (3, "OBJECTIVE", "A. Initial Application", f"{_P}/HEADLINE,"), (4, "OBJECTIVE", "Appendix 1", f"(a) {_P}"), (5, "FEES", "Para 3 on fees", _P),
-])
+], chunk_no="BIGINT")
 def general_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = [_P, "", "1 PN 3/2018 26 July 2018", "OBJECTIVE", f"2. {_P}", "12", _P, "A. Initial Application", _P, "HEADLINE,", "Contents ..... 4", "Appendix 1", "[TABLE]", f"(a) {_P}", "FEES", "short", "Para 3 on fees", _P]
     return _shown(chunking.parse_general(_docs(spark, "\n".join(lines))))
@@ -133,7 +134,7 @@ def general_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @expect("chunk_no, part, section, content", [
     (1, "Citation and commencement", "Citation and commencement", f"1. {_P}"), (2, "Lodgement of documents", "Lodgement of documents", f"2. {_P}"),
     (3, "SCHEDULE", "SCHEDULE - PART B FEES", f"(Regulation 3)/{_P}/Item | 1,000.00/{_P}"),
-])
+], chunk_no="BIGINT")
 def gazette_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = [
         "WARTA KERAJAAN", "PADA menjalankan kuasa", "Nama dan permulaan kuasa", f"1. {_P}", "IN exercise of the powers", "Citation and commencement", f"1. {_P}",
@@ -146,7 +147,7 @@ def gazette_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @expect("chunk_no, part, division, section, section_title, content", [
     (1, "PART I: Preliminary", "", "Section 1", "Short title", _P), (2, "PART I: Preliminary", "", "Section 2", "Interpretation of words", f"(1) {_P}/part in the management of it"),
     (3, "PART II: Companies", "Division 1: Formation", "Section 14A", "Forming a company", _P), (4, "PART II: Companies", "Division 1: Formation", "Section 16", "A title before it", _P),
-])
+], chunk_no="BIGINT")
 def act_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = [
         "Laws of Malaysia ACT 777", "PART I", "", "Preliminary", "1. Short title", _P, "Interpretation of words", "2.", f"(1) {_P}", "part in the management of it", "Arrangement .... 12",
@@ -159,7 +160,7 @@ def act_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @expect("chunk_no, part, section, content", [
     (1, "Transitional Provisions Relating", "Transitional Provisions Relating", "Q: What is it?//A: An answer/that goes on"), (2, "Transitional Provisions Relating", "Transitional Provisions Relating", "Q: Why so?//A: Because."),
     (3, "GENERAL FEES", "GENERAL FEES", "Q: Is there a fee?//A: Yes."), (4, "GENERAL FEES", "GENERAL FEES", "Q: Is it plain?//A: It is."), (5, "GENERAL FEES", "GENERAL FEES", "Q: Later?//A: loose/Known."),
-])
+], chunk_no="BIGINT")
 def faq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = [
         "Transitional Provisions Relating", "Q: What is it?", "A: An answer", "that goes on", "1. Why so?", "Answer: Because.", "PART A_amended 100323", "GENERAL FEES", "Question 2: Is there a fee?", "Answer: Yes.",
@@ -170,7 +171,7 @@ def faq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @expect("chunk_no, part, section, content", [
     (1, "Intro", "Slide 1: Intro", _P), (2, "Intro", "Slide 2 (Intro – cont.)", f"{_P}//a | b"), (3, "End", "Slide 4: End", f"Thank you//[SPEAKER NOTES]/{_P}"),
-])
+], chunk_no="BIGINT")
 def slide_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("k", "n", 1, "Intro", _P, "", "Click to add notes"), ("k", "n", 2, " ", _P, "a | b", None), ("k", "n", 3, "Blank", "", "", ""), ("k", "n", 4, "End", "Thank you", None, _P)]
     return _shown(chunking.parse_slides(spark.createDataFrame(rows, "source_key string, source_name string, slide_number int, title string, body string, tables string, notes string")))
@@ -189,14 +190,14 @@ def _forms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_FORMS, "form_no int, form_id string, name string, form_number string, related_sections array<string>, links array<struct<type:string,url:string>>").withColumn("resource_type", F.lit("form"))
 
 
-@expect("query_id, rank, form_id, score", [(1, 1, "f2", 4), (1, 2, "f5", 1), (2, 1, "f2", 4), (2, 2, "f3", 3), (2, 3, "f5", 1), (3, 1, "f4", 3), (4, 1, "f1", 3)])
+@expect("query_id, rank, form_id, score", [(1, 1, "f2", 4), (1, 2, "f5", 1), (2, 1, "f2", 4), (2, 2, "f3", 3), (2, 3, "f5", 1), (3, 1, "f4", 3), (4, 1, "f1", 3)], score="BIGINT")
 def form_scores_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "appoint_director", "", "", "Companies Act 2016"), (2, "appoint_director", "", "", None), (3, "incorporate_company", "", "a guarantee company", None), (4, "change_company_name", None, None, "LLP Act 2012"), (5, "unknown", "", "", None)]
     intents = spark.createDataFrame(rows, "query_id int, action string, reasoning string, legal_procedure string, act string")
     return forms.forms_for_intents(intents, _forms(spark)).select("query_id", "rank", "form_id", "score")
 
 
-@expect("query_id, rank, form_id, score", [(1, 1, "f2", 0.8), (1, 2, "f3", 0.6), (1, 3, "f4", 0.6), (2, 1, "f1", 0.75)])
+@expect("query_id, rank, form_id, score", [(1, 1, "f2", 0.8), (1, 2, "f3", 0.6), (1, 3, "f4", 0.6), (2, 1, "f1", 0.75)], score="DOUBLE")
 def form_scores_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "58", None, 3), (1, "201", None, 1), (1, "46", "1", 1), (2, "28", None, 3), (2, "201", None, 1)]
     df = forms.forms_for_sections(spark.createDataFrame(rows, "query_id int, parent string, child string, chunks int"), _forms(spark))
@@ -276,7 +277,7 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, rows).select("id", R.repair_json_column("text").alias("fixed"), R.complete_objects_column("text").alias("whole"))
 
 
-@expect("id, action, sections, confidence, actionable", [(0, "appoint_director", "58,201", 0.9, True), (1, "unknown", "41(1)", 0.5, False), (2, "hold_agm", "", 0.0, False), (3, None, None, None, None)])
+@expect("id, action, sections, confidence, actionable", [(0, "appoint_director", "58,201", 0.9, True), (1, "unknown", "41(1)", 0.5, False), (2, "hold_agm", "", 0.0, False), (3, None, None, None, None)], confidence="DOUBLE")
 def intent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ['{"action": "appoint_director", "likely_sections": ["58", "201"], "confidence": 0.9, "is_actionable": true}', '{"action": "do_magic", "likely_sections": [41(1)], "confidence": 0.5}', '{"action": "hold_agm", "reasoning": "it stops he', "not json"]
     rows[2] = '{"action": "hold_agm", "legal_procedure": "a meeting", "reasoning": "it stops he'

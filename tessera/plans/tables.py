@@ -46,7 +46,7 @@ sc AS (SELECT q.q, doc.s, doc.c, doc.text, 0.8 * list_dot_product(v, qv) + 0.2 *
   FROM q CROSS JOIN doc LEFT JOIN bm ON bm.q = q.q AND bm.s = doc.s AND bm.c = doc.c LEFT JOIN best ON best.q = q.q AND best.s = doc.s),
 a AS (SELECT * FROM sc WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY q, s ORDER BY score DESC, c) <= 4),
 d AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY q, md5(text) ORDER BY score DESC, s, c) = 1)
-SELECT q AS query_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, s, c) AS rank, s AS source_key, c AS chunk_no, round(score, 6) AS score
+SELECT q AS query_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, s, c))::INTEGER AS rank, s AS source_key, c AS chunk_no, round(score, 6) AS score
 FROM d QUALIFY rank <= 12"""
 
 
@@ -56,7 +56,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BM25_SQL = f"""WITH {_INDEX}, b AS (SELECT q AS query_id, s AS source_key, c AS chunk_no, round(b, 6) AS bm25 FROM bm)
-SELECT query_id, source_key, row_number() OVER (PARTITION BY query_id, source_key ORDER BY bm25 DESC, chunk_no) AS rank, chunk_no, bm25 FROM b QUALIFY rank <= 4"""
+SELECT query_id, source_key, (row_number() OVER (PARTITION BY query_id, source_key ORDER BY bm25 DESC, chunk_no))::INTEGER AS rank, chunk_no, bm25 FROM b QUALIFY rank <= 4"""
 
 
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def _nearest(spark: SparkSession, sf_dir: str, by: list[str], k: int) -> DataFra
 
 def _nearest_sql(by: str, k: int, columns: str) -> str:
     return f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)
-SELECT {columns}, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= {k}"""
+SELECT {columns}, (row_number() OVER (PARTITION BY {by} ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= {k}"""
 
 
 def self_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +290,7 @@ def memory_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MEMORY_SQL = """WITH q AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS v FROM embeddings GROUP BY 1),
 s AS (SELECT label AS query_id, vec_id AS memory_id, list_dot_product(embedding::DOUBLE[], v) AS score FROM embeddings JOIN q USING (label))
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id % 2, memory_id) AS rank, memory_id, round(score, 6) AS score FROM s WHERE score >= 0.2 QUALIFY rank <= 3"""
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id % 2, memory_id))::INTEGER AS rank, memory_id, round(score, 6) AS score FROM s WHERE score >= 0.2 QUALIFY rank <= 3"""
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
