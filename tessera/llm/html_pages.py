@@ -50,28 +50,33 @@ class Pages:
         out = [(f"<h1>{self.text(3, 14, self.r.random() < 0.5)}</h1>", 1)] if self.r.random() < 0.85 else []
         for _ in range(self.r.randint(1, 14)):
             kind = self.r.random()
-            if kind < 0.7:
+            if kind < 0.62:
                 body = self.inline(self.text(*self.r.choice(((1, 6), (5, 30), (20, 120), (60, 250)))))
                 out.append((self.r.choice((f"<p>{body}</p>", f"<p>{body}</p>", f"<p>{body}", f"<p><b>{body}<br>", f"<div>{body}</div>")), 1))
-            elif kind < 0.78:
+            elif kind < 0.7:
                 out.append((f"<h{self.r.choice('234')}>{self.text(1, 8, False)}</h2>", 1))
-            elif kind < 0.86:
+            elif kind < 0.78:
                 out += [("<ul>", 2), *((f"<li>{self.inline(self.text(1, 20))}</li>", 1) for _ in range(self.r.randint(2, 5))), ("</ul>", 2)]
-            elif kind < 0.9:
+            elif kind < 0.81:
                 out.append((f"<blockquote>{self.text(8, 40)}</blockquote>", 1))
-            elif kind < 0.93:
+            elif kind < 0.84:
                 out += [("<table>", 2), *((f"<tr><td>{self.text(1, 3, False)}</td>", 1) if i % 2 else (f"<tr><th>{self.text(1, 3, False)}</th>", 1) for i in range(4)), ("</table>", 2)]
-            elif kind < 0.96:
+            elif kind < 0.87:
                 out.append((f"<pre>{self.text(5, 20, False)}</pre>", 1))
             else:
                 out.append((self.junk_inside(), 0))
         return out
 
     def junk_inside(self) -> str:
-        return self.r.choice((
-            lambda: self.wrap(['div class="ad"', 'div class="advert banner"', 'div id="ad-slot"', 'aside class="promo"'], self.text(2, 25)),
-            lambda: self.wrap(['div class="share social"', 'div class="related"', 'aside class="related-posts"', 'nav class="toc"'], self.links(self.r.randint(2, 5))),
-            lambda: self.wrap(['div class="newsletter signup"', "form"], self.text(3, 15)),
+        r = self.r
+        box = lambda tags, inner: self.wrap(tags, r.choice((inner, f"<p>{inner}</p>", f"<div>{inner}</div>")))
+        return r.choice((
+            lambda: box(['div class="ad"', 'div class="advert banner"', 'div id="ad-slot"', 'div class="ad-box"', 'div class="ads sponsored"', 'aside class="promo"', 'section class="advertisement"', "aside"], self.text(2, 40)),
+            lambda: self.wrap(['div class="share social"', 'div class="related"', 'aside class="related-posts"', 'nav class="toc"', "nav", 'ul class="tags menu"'], self.links(r.randint(2, 5))),
+            lambda: box(['div class="newsletter signup"', "form", 'form class="subscribe"'], self.text(3, 25)),
+            lambda: box(['div class="notice"', 'div class="cookie-notice"', 'p class="notice alert"', 'div class="warning banner"', 'div role="alert"'], self.text(4, 40)),
+            lambda: self.wrap(['section class="comments"', 'div id="comments"', 'div class="comment-list reader"', 'section id="responses"'], self.wrap(["h2", "h3"], self.text(1, 3, False)) + "".join(self.wrap(["p", 'div class="comment"', 'article class="comment"', "li"], self.text(4, 80)) for _ in range(r.randint(1, 4)))),
+            lambda: box(['div class="sidebar"', 'aside class="widget"', "footer", 'div class="footer"'], self.text(3, 40)),
         ))()
 
     def junk(self, where: str) -> list[str]:
@@ -107,6 +112,8 @@ class Pages:
 
     def page(self) -> tuple[list[tuple[str, int]]]:
         """Pieces of a page, each with 1: main text, 0: other text, 2: no text of its own."""
+        if self.r.random() < 0.06:  # no layout at all
+            return [(self.text(5, 120), 1)] if self.r.random() < 0.5 else [(f"<p>{self.text(5, 80)}</p>", 1) for _ in range(self.r.randint(1, 6))]
         holder = self.r.choice(("article", "article", "article", "main", 'div class="content"', 'div id="content"', 'div class="post entry"', 'div class="article-body"', 'section class="story"', "div", None))
         pieces = [("<!DOCTYPE html><html><head><title>", 2), ("x</title></head><body>", 2)]
         pieces += [(p, 0) for p in self.junk("top")]
