@@ -140,14 +140,16 @@ def repeated_spans(docs: DataFrame, k: int = 35) -> DataFrame:
     if k <= GRAM:
         raise ValueError(f"k must be over {GRAM}")
     paths = _paths(docs, k)
-    again = paths.groupBy("mkey").agg(F.count("*").alias("n")).where("n > 1").select("mkey")
+    # grouped keys are stored before they meet the rows again, so that the join's sides are plain
+    # exchanges, whose hot keys adaptive execution splits
+    again = store(paths.groupBy("mkey").agg(F.count("*").alias("n")).where("n > 1").select("mkey"))
     paths = store(paths.join(again, "mkey"))
     same = ["mkey", "w1", "w2", "cnt"]
     classes = store(paths.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "first")).alias("one")))
-    branching = classes.groupBy("mkey").agg(F.count("*").alias("kinds")).where("kinds > 1").select("mkey")
+    branching = store(classes.groupBy("mkey").agg(F.count("*").alias("kinds")).where("kinds > 1").select("mkey"))
     coords = classes.join(branching, "mkey").select("one.doc_id", "one.th", "one.first", "cnt", (F.col("n") == 1).alias("single"))
     edges = store(_edges(docs, coords, k))
-    shared = edges.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    shared = store(edges.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
     part = edges.where("single").join(shared, ["h1", "h2"]).select("doc_id", "th", F.col("start").alias("a"), (F.col("start") + k).alias("b"))
     full = paths.join(classes.where("n > 1").select(*same), same).select("doc_id", "th", F.col("first").alias("a"), (F.col("first") + F.col("cnt") + k - 1).alias("b"))
     spans = full.unionByName(part).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("s"))
