@@ -8,12 +8,10 @@ kept. Nothing is sampled or cut short: what a stage leaves out is its decision.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, language_id, line_dedup, mixing, simhash_dedup
-from tessera.session import shared_folder, table
+from tessera.session import store, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after the other, over documents; each result is written to the shared folder and read again."""
+    """The stages, one after the other, over documents; each result is written to the shared folder as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{i}")
-        docs = spark.read.parquet(f"{place}/{i}")
+    for _, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir))
     return docs
