@@ -16,6 +16,18 @@ LEAST_PAGE_CHARS, LEAST_TOTAL = 100, 500
 PageReader = Callable[[bytes], list[dict]]
 
 
+def acquire(local: bytes | None, url: str | None, fetch: Callable[[str], bytes], attempts: int = 3) -> bytes | None:
+    """A file's bytes: the local copy if there is one, else what fetch gets, tried again on time-outs."""
+    if local is not None:
+        return local
+    for _ in range(attempts if url else 0):
+        try:
+            return fetch(url)
+        except TimeoutError:
+            continue
+    return None
+
+
 def read_pages(files: DataFrame, reader: PageReader) -> DataFrame:
     """(path, page, native, tables, ocr, visual) of (path, content) rows, as of the binaryFile source."""
 
