@@ -138,7 +138,7 @@ def reflect(turns: DataFrame, model: TextModel) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, q, r in zip(pdf.qa_id, pdf.query, pdf.response):
+            for i, q, r in zip(pdf["qa_id"], pdf["query"], pdf["response"]):
                 text = re.sub(r"(?s)<think>.*?</think>", "", model.complete(f"Query: {q}\nResponse: {r[:400]}"))
                 found = re.search(r"\{.*\}", re.sub(r"```(?:json)?", "", text), re.S)
                 got = json.loads(R.repair_json(found[0]) or "{}") if found else {}
