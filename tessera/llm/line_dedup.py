@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.substring_dedup import BROADCAST_BOUNDS, BROADCAST_DOCS, _beside, _flat, _keyed
+from tessera.llm.substring_dedup import _beside, _flat, _keyed
 from tessera.session import store
 
 MIN_FUZZY = 10
@@ -216,9 +216,7 @@ def without_lines(docs: DataFrame, fuzzy: bool = True, keep: list[str] | None =
     """
     new = ["kept_text", "n_lines", "n_removed", "emptied"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    gone = store(repeated_lines(docs, fuzzy))
-    n, total = gone.agg(F.count("*"), F.sum(F.size("gone"))).first()
-    g = (F.broadcast(gone) if n <= BROADCAST_DOCS and (total or 0) <= BROADCAST_BOUNDS else gone).alias("g")
+    g = store(repeated_lines(docs, fuzzy)).hint("merge").alias("g")  # of no proven size, so never broadcast
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text")).alias("d")
     joined = d.join(g, (F.col("d.__th") == F.col("g.th")) & F.col("d.__id").eqNullSafe(F.col("g.doc_id")), "left").select(*[F.col(f"d.`{c}`") for c in keep], "d.__text", F.col("g.gone").alias("__gone"))

@@ -35,8 +35,6 @@ from tessera.session import store
 GRAM = 6
 SALT = 0x5851F42D4C957F2D
 _POS = np.uint64((1 << 28) - 1)
-#: Spans are broadcast beside the documents only up to so many documents and span bounds.
-BROADCAST_DOCS, BROADCAST_BOUNDS = 400_000, 8_000_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -127,12 +125,10 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten()).astype(np.int64), np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
 
 
-def _beside(docs: DataFrame, small: DataFrame, values: str, how: str) -> DataFrame:
-    """Documents with their arrays; only arrays of counted, bounded size are broadcast, others meet the text in a shuffle."""
-    n, total = small.agg(F.count("*"), F.sum(F.size(values))).first()
-    side = F.broadcast(small) if n <= BROADCAST_DOCS and (total or 0) <= BROADCAST_BOUNDS else small
-    d, s = _keyed(docs).alias("d"), side.alias("s")
-    return d.join(s, (F.col("d.th") == F.col("s.th")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), how).select("d.doc_id", "d.th", "d.text", f"s.{values}")
+def _beside(docs: DataFrame, found: DataFrame, values: str, how: str) -> DataFrame:
+    """Documents with their arrays of `found`, met in a sort-merge join at every size: arrays of no proven size are never broadcast."""
+    d, f = _keyed(docs).alias("d"), found.hint("merge").alias("f")
+    return d.join(f, (F.col("d.th") == F.col("f.th")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), how).select("d.doc_id", "d.th", "d.text", f"f.{values}")
 
 
 def repeated_spans(docs: DataFrame, k: int = 35) -> DataFrame:
