@@ -21,14 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Element names.
-DROPPED = "script style noscript template svg math textarea title iframe select button canvas object audio video".split()
+DROPPED = "script style textarea title".split()  # their content is no markup
+CONTROLS = frozenset("noscript template iframe select button canvas object audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()) | frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts semantics".split())
+#: Break no line, but part words.
+PARTING = frozenset("br mtable mtr mtd annotation annotation-xml svg g path rect circle ellipse line polyline polygon text tspan textpath defs use symbol marker lineargradient radialgradient stop clippath mask filter pattern image desc switch animate animatetransform set".split())
 
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(DROPPED) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(DROPPED) + r")(?=[\s/>])(?:[^>]*/>|[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z))", re.S | re.I)
+_CONTROL = re.compile(r"<(/?)(" + "|".join(sorted(CONTROLS)) + r")(?=[\s/>])((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*)()[^>]*>|<[!?][^>]*>")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))|(hidden|display:\s*none|aria-hidden)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_ANY_TAG = re.compile(r"<[^>]*>")
 _SPACE = re.compile(r"\s+")
 
 
@@ -52,6 +57,23 @@ def _element(tag: str, attributes: str) -> str:
     return " ".join([tag, *sorted(parts)])
 
 
+def _closed_controls(page: str) -> set[int]:
+    """Where the controls start that hold text and whose end is the next tag of their name; others end nothing and hold nothing."""
+    waiting: dict[str, tuple[int, int]] = {}
+    found = set()
+    for m in _CONTROL.finditer(page):
+        tag = m[2].lower()
+        if not m[1]:
+            waiting.pop(tag, None)
+            if not m[3].endswith("/"):
+                waiting[tag] = m.span()
+        elif tag in waiting:
+            start, inner = waiting.pop(tag)
+            if _ANY_TAG.sub("", page[inner : m.start()]).strip():
+                found.add(start)
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order, white space and character references resolved; blank ones are left out."""
     out: list[Block] = []
@@ -81,6 +103,7 @@ def blocks(page: str) -> list[Block]:
                 return
 
     page = _GONE.sub(lambda m: "" if m[1] is None else " ", page)
+    closed = _closed_controls(page)
     at = 0
     for m in _TAG.finditer(page):
         if m.start() > at:
@@ -97,7 +120,7 @@ def blocks(page: str) -> list[Block]:
             if tag == "a":
                 links = max(0, links - 1) if end else 1
             continue
-        if tag == "br":
+        if tag in PARTING or tag in CONTROLS and (tag not in tags if end else m.start() not in closed):
             pieces.append(" ")
             continue
         flush()
@@ -107,7 +130,7 @@ def blocks(page: str) -> list[Block]:
             close(tag)
             links = 0
             continue
-        if tags and tags[-1] == "p":
+        if tags and tags[-1] == "p" and tag not in CONTROLS:
             del tags[-1], stack[-1]
         if tag == "li":
             close("li", ("ul", "ol"))
@@ -264,9 +287,9 @@ class Extractor:
 
 def learn(n_pages: int = 600, seed: int = 1) -> Model:
     """The model of the built-in labelled pages."""
-    from tessera.llm.html_pages import labelled
+    from tessera.llm.html_pages import labelled, with_controls
 
-    return fit(labelled(n_pages, seed))
+    return fit(labelled(n_pages, seed) + with_controls(n_pages // 4, seed))
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:

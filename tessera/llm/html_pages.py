@@ -127,6 +127,28 @@ class Pages:
         return pieces + [("</body></html>", 2)]
 
 
+    def control(self) -> str:
+        """A control, or what browsers show in place of embedded content."""
+        r, tag = self.r, self.r.choice(("button", "select", "noscript", "template", "iframe", "canvas", "object", "audio", "video"))
+        if tag == "button":
+            return self.wrap(["button", 'button type="submit"', 'button class="share"'], self.text(1, 4, False))
+        if tag == "select":
+            return self.wrap(["select", 'select name="x"'], "".join(f"<option>{self.text(1, 3, False)}</option>" for _ in range(r.randint(2, 5))))
+        text = self.text(3, 25)
+        return f"<{tag}>{r.choice((text, f'<p>{text}</p>'))}</{tag}>"
+
+
 def labelled(n: int, seed: int = 1) -> list[list[tuple[str, int]]]:
     made = Pages(seed)
     return [made.page() for _ in range(n)]
+
+
+def with_controls(n: int, seed: int = 1) -> list[list[tuple[str, int]]]:
+    """Other labelled pages, with controls at some places between their pieces."""
+    made, out = Pages(seed + 1_000_000), []
+    for _ in range(n):
+        page = made.page()
+        for _ in range(made.r.randint(1, 4)):
+            page.insert(made.r.randint(min(2, len(page)), len(page)), (made.control(), 0))
+        out.append(page)
+    return out

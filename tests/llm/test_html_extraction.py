@@ -66,3 +66,22 @@ def test_edge_rows(spark, model):
     assert by[1, False] == by[2, False] == by[3, False] == ""
     assert by[4, True].count("\n\n") == 199 and by[None, False].startswith("A long sentence")
     assert H.extract(df.limit(0), model).collect() == []
+
+
+def test_nothing_after_an_open_or_empty_element_is_lost(model):
+    e, p = H.Extractor(model), "<p>" + "A long sentence of many words, which goes on. " * 4 + "</p>"
+    main = p[3:-4].strip()
+    for x in ('<svg viewBox="0 0 1 1"/>', "<math/>", "<svg>", "<object>", "<button>", "<select>", "<video-player>", "<button-group>", "<title-bar>", "<iframe src='x'/>", "<noscript/>", "<script src='x'/>"):
+        assert e.main_text(f"<nav>{x}</nav><article>{p}</article>") == main, x
+        assert e.main_text(f"<article>{p}{x}{p}</article>") == f"{main}\n\n{main}", x
+    assert e.main_text(f"<article>{p}<button>{p}<button>Share</button>{p}</article>") == "\n\n".join([main] * 3)
+
+
+def test_formulas_and_controls(model):
+    e, p = H.Extractor(model), "<p>" + "A long sentence of many words, which goes on. " * 4 + "</p>"
+    main = p[3:-4].strip()
+    assert e.main_text(f"<article>{p}<p>It holds that <math><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup></math> for all of them.</p></article>") == f"{main}\n\nIt holds that a=b2 for all of them."
+    assert e.main_text(f"<article><p>One <svg><path d='M0'/></svg>long <iframe src='x'></iframe>line of text, which ends.</p>{p}</article>") == f"One long line of text, which ends.\n\n{main}"
+    for x in ("<button>Share this</button>", "<select><option>One</option><option>Two</option></select>", "<noscript>Please turn on scripts to see this.</noscript>", "<video src='x'>Your browser can not play this video.</video>"):
+        assert e.main_text(f"<article>{p}{x}{p}</article>") == f"{main}\n\n{main}", x
+    assert [b.text for b in H.blocks("<p>a <button>b</button> c</p>")] == ["a", "b", "c"] and H.blocks("<p>a <button>b</button> c</p>")[2].path == ("p",)
