@@ -26,12 +26,12 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: of each group of near-duplicates the document with the smallest id stays."""
-    return simhash_dedup.deduplicate(docs)
+    return simhash_dedup.deduplicate_rows(docs)
 
 
 def remove_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that hold a benchmark item go."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminate_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.session import checkpoint
 
@@ -22,3 +23,30 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """The rows of docs whose key is not in gone; null keys stay."""
     return docs.join(sized(checkpoint(gone.distinct())), key, "left_anti")
+
+
+def row_key() -> Column:
+    """A row by doc_id (null ones last) and a hash of its text, so that rows without an id, or with the same, are told apart."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"))
+
+
+def _met(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    d, k = docs.withColumn("__th", row_key()["th"]).alias("d"), keys.alias("k")
+    return d.join(k, (F.col("d.__th") == F.col("k.th")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), how).drop("__th")
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose row_key() is not in gone's column `key`; null ids are ids like others."""
+    return _met(docs, sized(checkpoint(gone.select("key.doc_id", "key.th").distinct())), "left_anti")
+
+
+def once_each(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """docs with one row for each row_key() in again's column `key`, the first by its other columns; other rows stay as they are."""
+    keys = checkpoint(again.select("key.doc_id", "key.th").distinct())
+    if keys.isEmpty():
+        return docs
+    keys = sized(keys)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    w = Window.partitionBy("doc_id", row_key()["th"]).orderBy(*others or [F.lit(0)])
+    one = _met(docs, keys, "left_semi").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return _met(docs, keys, "left_anti").unionByName(one)

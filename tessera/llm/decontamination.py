@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.common import without
+from tessera.llm.common import row_key, without, without_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -226,3 +226,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no copy of an item; columns stay as they are."""
     return without(docs, contaminated(docs, benchmark).select("doc_id"), "doc_id")
+
+
+def decontaminate_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Like decontaminate(), but rows are decided on by themselves: with a null doc_id, and where others have the same."""
+    found = contaminated(docs.select(row_key().alias("doc_id"), "text"), benchmark)
+    return without_rows(docs, found.select(F.col("doc_id").alias("key")))

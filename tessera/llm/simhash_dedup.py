@@ -188,3 +188,18 @@ def deduplicate(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame
     near = near_duplicates(docs, radius, shingle)
     gone = near.where("id <> component").select(F.col("id").alias("doc_id"))
     return without(docs, gone, "doc_id")
+
+
+def deduplicate_rows(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
+    """One row a component, that with the smallest id (of one id, with the smallest text hash); all columns stay as they are.
+
+    Unlike deduplicate(), rows are decided on by themselves: a null doc_id stays only if no
+    document of its component has an id, and of equal rows one stays.
+    """
+    from tessera.llm.common import once_each, row_key, without_rows
+
+    near = checkpoint(near_duplicates(docs.select(row_key().alias("key"), "text"), radius, shingle, "key"))
+    kept = near.where(F.col("id").eqNullSafe(F.col("component")))
+    again = kept.groupBy(F.col("id").alias("key")).count().where("count > 1")
+    gone = near.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("key"))
+    return once_each(without_rows(docs, gone), again)

@@ -84,3 +84,19 @@ def test_empty_documents(spark, sf_dir, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    rnd = random.Random(8)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    stages = dict(corpus_pipeline.STAGES)
+    near, leaks = (next(f for name, f in stages.items() if word in name) for word in ("near-dedup", "decontamination"))
+    item, a, b, c, d = text(40), text(200), text(200), text(200), text(200)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = lambda df: sorted(((r.doc_id, r.text, r.source) for r in df.collect()), key=str)
+    rows = [(None, a, "s"), (3, a, "s"), (4, a, "s"), (None, b, "s"), (None, b, "s"), (7, c, "t"), (7, c, "s"), (7, d, "s"), (7, d, "s"), (9, d, "s")]
+    assert kept(near(spark, frame(rows), str(tmp_path))) == sorted([(3, a, "s"), (None, b, "s"), (7, c, "s"), (7, d, "s")], key=str)
+    rows = [(None, f"{a} {item} {b}", "s"), (None, c, "s"), (5, f"{item} {b}", "s"), (5, d, "s"), (5, d, "s"), (6, None, "s")]
+    df = leaks(spark, frame(rows), str(tmp_path))
+    assert df.columns == ["doc_id", "text", "source"] and kept(df) == sorted([(None, c, "s"), (5, d, "s"), (5, d, "s"), (6, None, "s")], key=str)
