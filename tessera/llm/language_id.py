@@ -215,7 +215,28 @@ def learn(docs: DataFrame, rows: int = 200, chars: int = 40_000) -> Model:
     return fit(sample(docs, rows, chars), chars)
 
 
+def _with_letters(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents with a letter in their text. Columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = K.string_buffers(batch.column(batch.num_columns - 1))
+            has = np.zeros(len(batch), bool)
+            for a, b, part, off in K.chunks(raw, offsets, 2 << 20):
+                has[a:b] = phrases(shared.value, part, off)[2]
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(has))
+
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").alias("__text")).mapInArrow(run, docs.schema)
+
+
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents in a language: those whose text is null or has no letter go. Columns stay as they are."""
-    found = identify(docs, learn(docs), docs.columns)
+    """The documents in a language: those whose text is null or has no letter go. Columns stay as they are.
+
+    Without a usable label no language is known, and all texts with a letter stay.
+    """
+    model = learn(docs)
+    if not model.langs:
+        return _with_letters(docs, model)
+    found = identify(docs, model, docs.columns)
     return found.where(F.col("lang_pred") != UND).select(*[f"`{c}`" for c in docs.columns])

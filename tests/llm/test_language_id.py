@@ -72,3 +72,13 @@ def test_edge_rows(spark, sf_dir):
     big = base.unionByName(df.where("doc_id <= 3").selectExpr("doc_id", "text", "lang", "'s' AS source", "0L AS n_chars"))
     kept = L.accepted(big)
     assert kept.columns == base.columns and kept.count() == base.count()
+
+
+def test_texts_stay_without_labels(spark):
+    from tessera.llm.language_id import accepted
+
+    rows = [(1, "some words"), (2, None), (3, ""), (4, "12 !?"), (5, "7 é"), (None, "x")]
+    df = spark.createDataFrame([(i, t, None, 4) for i, t in rows], "doc_id long, text string, lang string, n_chars long")
+    kept = accepted(df)
+    assert kept.columns == df.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "some words"), ("5", "7 é"), ("None", "x")]
+    assert accepted(df.limit(0)).collect() == []
