@@ -2,11 +2,12 @@
 
 Words are hashed; a k-mer of K words is an anchor if the least of its inner S-word hashes
 stands first or last in it. Whether a k-mer is one depends on its own words only, so equal
-passages have equal anchors wherever they stand. The fingerprint is the SKETCH smallest
-distinct 32-bit anchor hashes (all, if there are fewer), so likeness between two
-fingerprints is the usual bottom-sketch estimate of the overlap of their anchor sets; with
-fewer anchors than SKETCH it is exact. A text of fewer than K words has one anchor, all its
-words; one without words has none.
+passages have equal anchors wherever they stand. All anchors are kept with their positions:
+texts are compared by the share of anchors that both have and by how many stand at one
+displacement. Beside them, the fingerprint is a short key of the SKETCH smallest distinct
+32-bit anchor hashes (all, if there are fewer), so likeness between two fingerprints is the
+usual bottom-sketch estimate of that share; with fewer anchors than SKETCH it is exact. A
+text of fewer than K words has one anchor, all its words; one without words has none.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tessera.session import checkpoint
 
 K, S = 5, 2
 SKETCH = 128
+#: Bits of a position beside a 32-bit hash.
+POS = 31
 #: Documents a bucket, and the most buckets; the bucket table is broadcast, so it has a bound.
 BUCKET_ROWS, MOST_BUCKETS = 1_000, 65_536
 LEAST_ID = -(1 << 63)
@@ -57,6 +60,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(F.size(both) / F.size(union))
 
 
+def placed(anchors: Column) -> Column:
+    """The anchors with their positions as single numbers, the hash above POS bits of position."""
+    return F.array_compact(F.transform(anchors, lambda x, i: F.shiftleft(x, POS).bitwiseOR(i.cast("long"))))
+
+
+def share(a: Column, b: Column) -> Column:
+    """Of two texts' placed anchors: the distinct hashes that both have as a share of all; two empty ones are equal."""
+    hashes = lambda k: F.array_distinct(F.transform(k, lambda x: F.shiftright(x, POS)))
+    both, every = F.size(F.array_intersect(hashes(a), hashes(b))), F.size(F.array_union(hashes(a), hashes(b)))
+    return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
+
+
+def with_displacement(df: DataFrame, a: str, b: str, shift: str, aligned: str) -> DataFrame:
+    """df with the displacement from a to b of most anchors that both have, and the number of anchors shared at it.
+
+    a and b hold placed anchors. The displacement is the commonest between first occurrences
+    (of several the shortest, then the one to the right); null if no anchor is shared. At it all anchors count.
+    """
+    c, d, e = f"__{shift}_c", f"__{shift}_d", f"__{shift}_e"
+    side = lambda k, bit: F.transform(k, lambda x: F.shiftleft(F.shiftright(x, POS), 32).bitwiseOR(x.bitwiseAND(F.lit((1 << POS) - 1))).bitwiseOR(F.lit(bit << POS)))
+    df = df.withColumn(c, F.sort_array(F.concat(side(F.col(a), 0), side(F.col(b), 1))))
+    # the first of each hash and side; then a's is followed by b's
+    df = df.withColumn(c, F.filter(c, lambda x, i: (i == 0) | (F.shiftright(x, POS) != F.shiftright(F.get(F.col(c), i - 1), POS))))
+    pos = lambda x: x.bitwiseAND(F.lit((1 << POS) - 1))
+
+    def moved(x, i):
+        other = F.get(F.col(c), i + 1)
+        return F.when(F.shiftright(x, 32) == F.shiftright(other, 32), pos(other) - pos(x))
+
+    df = df.withColumn(d, F.sort_array(F.array_compact(F.transform(c, moved))))
+    last = lambda x, i: F.when(~x.eqNullSafe(F.get(F.col(d), i + 1)), F.struct(i.alias("i"), x.alias("x")))
+    df = df.withColumn(e, F.array_compact(F.transform(d, last)))  # the ends of runs of one displacement
+    run = lambda y, j: F.struct((y["i"] - F.coalesce(F.get(F.col(e), j - 1)["i"], F.lit(-1))).alias("n"), (-F.abs(y["x"])).alias("near"), y["x"].alias("x"))
+    df = df.withColumn(shift, F.array_max(F.transform(e, run))["x"]).drop(c, d, e)
+    met = F.size(F.array_intersect(F.transform(a, lambda x: x + F.col(shift)), F.col(b)))
+    return df.withColumn(aligned, F.when(F.col(shift).isNull(), F.lit(0)).otherwise(met))
+
+
 def _bucket(doc_id: Column, cuts: list[int]) -> Column:
     """The number of cuts below the id, by binary search."""
     if not cuts:
@@ -97,7 +138,12 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id), a row of docs each.
+    """A row of docs each: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id, anchors, and for `edited` and `next` share_, shift_ and aligned_.
+
+    anchors: all of the text's, array of (pos, anchor) in order. share_: the part of all
+    anchors that both texts have; shift_ and aligned_: their displacement and the anchors
+    shared at it, as of with_displacement(). fingerprint and near_ are the short key and its
+    estimate of share_.
 
     A null text is empty: no characters, no anchors, fingerprint "". Ids in descending order,
     null last; rows of one id in the order of their texts' hashes, so equal rows are each
@@ -106,16 +152,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     looked at.
     """
     dealt = with_next(docs).repartition("bucket")  # the one shuffle of the texts; anchors are taken after it
-    dealt = with_anchors(dealt, "text", "a").withColumn("sk", sketch(F.col("a"))).drop("a")
+    dealt = with_anchors(dealt, "text", "a").withColumn("ka", placed(F.col("a"))).drop("a")
     w = Window.partitionBy("bucket").orderBy("copy", F.col("id").desc(), F.xxhash64("text"), "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    df = dealt.select("doc_id", "copy", "text", "sk", F.lead("text").over(w).alias("nt"), F.lead("sk").over(w).alias("nsk"), F.lead("doc_id").over(w).alias("next_id")).where("copy = 0")
-    df = df.select("doc_id", "next_id", "sk", "nsk", n.cast("long").alias("n_chars"), F.concat(F.left(F.col("text"), n - half), F.left(F.col("nt"), half)).alias("edited"))
-    df = with_anchors(df, "edited", "e").withColumn("esk", sketch(F.col("e"))).drop("e")
+    df = dealt.select("doc_id", "copy", "text", "ka", F.lead("text").over(w).alias("nt"), F.lead("ka").over(w).alias("kn"), F.lead("doc_id").over(w).alias("next_id")).where("copy = 0")
+    df = df.select("doc_id", "next_id", "ka", "kn", n.cast("long").alias("n_chars"), F.concat(F.left(F.col("text"), n - half), F.left(F.col("nt"), half)).alias("edited"))
+    df = with_anchors(df, "edited", "e").withColumn("ke", placed(F.col("e"))).drop("e")
+    for k, sk in (("ka", "sk"), ("kn", "nsk"), ("ke", "esk")):
+        df = df.withColumn(sk, sketch(F.transform(k, lambda x: F.shiftright(x, POS))))
+    df = with_displacement(df, "ka", "ke", "shift_edited", "aligned_edited")
+    df = with_displacement(df, "ka", "kn", "shift_next", "aligned_next")
+    every = F.transform("ka", lambda x: F.struct(x.bitwiseAND(F.lit((1 << POS) - 1)).cast("int").alias("pos"), F.shiftright(x, POS).alias("anchor")))
     return df.select(
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("sk")).alias("fingerprint"), as_text(F.col("esk")).alias("edited_fingerprint"),
-        likeness(F.col("sk"), F.col("esk")).alias("near_edited"), likeness(F.col("sk"), F.col("nsk")).alias("near_next"), "next_id",
+        likeness(F.col("sk"), F.col("esk")).alias("near_edited"), likeness(F.col("sk"), F.col("nsk")).alias("near_next"), "next_id", every.alias("anchors"),
+        share(F.col("ka"), F.col("ke")).alias("share_edited"), "shift_edited", "aligned_edited", share(F.col("ka"), F.col("kn")).alias("share_next"), "shift_next", "aligned_next",
     )
 
 

@@ -78,3 +78,40 @@ def test_shared_passages_by_position(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, "lead in " + " ".join(words[10:60]))], "doc_id long, text string")
     found = P.shared_passages(df.where("doc_id = 1"), df).collect()
     assert [(r.left_id, r.right_id, r["shift"]) for r in found] == [(1, 2, -8)] and found[0].n > 10
+
+
+def plain_anchors(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    found = set(plain_all(text))
+    if len(w) < P.K:
+        return [(0, xx(*[xx(x) for x in w]) >> 32)] if w else []
+    at = [(i, xx(*[xx(x) for x in w[i : i + P.K]]) >> 32) for i in range(len(w) - P.K + 1)]
+    return [(i, a) for i, a in at if a in found]
+
+
+def plain_all(text):
+    was, P.SKETCH = P.SKETCH, 1 << 40
+    try:
+        return plain_sketch(text)
+    finally:
+        P.SKETCH = was
+
+
+def test_all_anchors_count_with_their_positions(spark):
+    rnd = random.Random(9)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    shared = words(60)
+    texts = {9: words(1500) + shared + words(900), 8: words(200) + shared + words(3000), 7: words(2500), 6: ["one", "two"], 5: ["one", "two"], 4: [], 3: ["same"] * 600, 2: ["x"] + ["same"] * 599}
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    rows = {r.doc_id: r for r in P.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, r in rows.items():
+        mine, nxt = plain_anchors(texts[i]), plain_anchors(texts[r.next_id])
+        half = len(texts[i]) // 2
+        edited = plain_anchors(texts[i][: len(texts[i]) - half] + texts[r.next_id][:half])
+        assert [tuple(x) for x in r.anchors] == mine
+        for other, part, shift, n in ((edited, r.share_edited, r.shift_edited, r.aligned_edited), (nxt, r.share_next, r.shift_next, r.aligned_next)):
+            a, b = {x for _, x in mine}, {x for _, x in other}
+            assert part == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+            assert (shift is None) == (not a & b) and n == (0 if shift is None else len({(p + shift, x) for p, x in mine} & set(other)))
+    assert rows[9].next_id == 8 and rows[9].shift_next == -1300 and rows[9].aligned_next > 20 and len(rows[9].anchors) > 1000
+    assert rows[8].shift_edited == 0 and rows[6].aligned_next == 1 and rows[7].aligned_next == 0 and rows[3].shift_next == 1
