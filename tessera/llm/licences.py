@@ -2,7 +2,7 @@
 
 The words of the licence templates are the licence words; how rare each is (its IDF) is
 counted over all documents. The index has, for each template, its rarest words with their
-positions. For each file the rare words that it holds are looked up: an occurrence at word p
+positions, and the rarest of its key phrase. For each file the rare words that it holds are looked up: an occurrence at word p
 of a word at template position q is a candidate start p - q. All template words are then
 intersected with the file's by relative position, which gives the part of the template that
 stands there, and the template's mandatory key phrase must stand whole in its place. Short
@@ -59,7 +59,7 @@ class Template:
     base: bool
     words: np.ndarray  # vocabulary numbers from 1
     key: tuple[int, int]  # first and last position of the key phrase
-    rare: list[int]  # the rarest words
+    rare: list[int]  # the rarest words, and that of the key phrase
 
 
 def _vocabulary() -> tuple[list[str], np.ndarray]:
@@ -115,7 +115,9 @@ def templates(rarity: dict[str, float]) -> list[Template]:
     for label, text, key, base in [(b, p, p, True) for p, b in BASE] + [(t, p, k, False) for t, p, k in TEMPLATES]:
         words, k = text.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
-        rare = sorted(set(words), key=lambda w: (-rarity[w], w))[: 1 if base else RARE]
+        order = lambda ws: sorted(set(ws), key=lambda w: (-rarity[w], w))
+        rare = order(words)[: 1 if base else RARE]
+        rare += [w for w in order(k)[:1] if w not in rare]  # the key phrase stands whole at every place, so none is missed
         out.append(Template(label, base, np.array([number[w] for w in words], np.int16), (at, at + len(k)), [number[w] for w in rare]))
     return out
 

@@ -49,3 +49,12 @@ def test_templates_and_edge_rows(spark):
     two = spark.createDataFrame([(1, " ".join(near)), (2, " ".join(broken))], "doc_id long, text string")
     assert {r.doc_id: r.labels for r in L.scan(two).collect()} == {1: "bsd", 2: ""}
     assert L.scan(df.limit(0)).collect() == []
+
+
+def test_places_without_the_rarest_words(spark):
+    text = {label: t for label, t, _ in L.TEMPLATES}["bsd"]
+    changed = ("provided", "conditions", "met")
+    rarity = {w: 9.0 if w in changed else 1.0 for w in L._vocabulary()[0]}
+    altered = " ".join("other" if w in changed else w for w in text.split())
+    r = L.scan(spark.createDataFrame([(1, f"lead in {altered} end")], "doc_id long, text string"), rarity).first()
+    assert "bsd" in r.labels.split(",") and r.score >= L.COVERAGE
