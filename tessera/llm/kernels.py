@@ -2,21 +2,28 @@
 
 A batch of texts is one UTF-8 byte buffer with row offsets. Words are runs of bytes that a
 256-entry table does not call separators; all separators are ASCII, so byte runs are code
-point runs. Word hashes are polynomial hashes modulo 2**64 over randomised byte values,
-finished by an avalanche step; no Python object is made per word.
+point runs. Hashes are chains, trees or sums of avalanche steps, never polynomials, so no
+arrangement of bytes or words cancels out: words of up to eight bytes and one length never
+collide, others only by chance. Where a hash alone decides what is equal, digests() of the
+bytes are taken instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_ODD = U64(0x9E3779B97F4A7C15)
+#: Longer words are hashed by XXH64, one by one.
+LONG_WORD = 256
+#: Keep the first n bytes of eight.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_PLACES: list[np.ndarray] = []
 
 #: ASCII blanks: space and 0x09-0x0D.
 BLANK = np.zeros(256, bool)
@@ -29,27 +36,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def _random_table(seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-
-
-_BYTES = _random_table(20240117)
-_BYTES_LOWER = _BYTES[LOWER]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n (rounded up to a power of two, kept once a worker)."""
-    size = 1 << max(16, int(n).bit_length())
-    have = _POW.get(0)
-    if have is None or len(have[0]) < size:
-        with np.errstate(over="ignore"):
-            one = np.ones(size, np.uint64)
-            up, down = one.copy(), one.copy()
-            up[1:], down[1:] = _BASE, _INV
-            _POW[0] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _POW[0]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit avalanche step, elementwise."""
     with np.errstate(over="ignore"):
@@ -105,18 +91,17 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash for each word."""
-        return self.span_hashes([(self.starts, self.ends)], lower)[0]
+    def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash for each word; other seeds give independent ones."""
+        return self.span_hashes([(self.starts, self.ends)], lower, seed)[0]
 
-    def span_hashes(self, spans: list[tuple[np.ndarray, np.ndarray]], lower: bool = False) -> list[np.ndarray]:
+    def span_hashes(self, spans: list[tuple[np.ndarray, np.ndarray]], lower: bool = False, seed: int = 0) -> list[np.ndarray]:
         """64-bit hashes of byte spans, given as arrays of starts and ends; equal bytes, equal hashes."""
-        up, down = powers(len(self.raw) + 1)
-        with np.errstate(over="ignore"):
-            c = np.empty(len(self.raw) + 1, np.uint64)
-            c[0] = 0
-            np.cumsum((_BYTES_LOWER if lower else _BYTES)[self.raw] * up[: len(self.raw)], out=c[1:])
-            return [mix((c[b] - c[a]) * down[a] + (b - a).astype(np.uint64)) for a, b in spans]
+        n = len(self.raw)
+        padded = np.zeros(n + 8, np.uint8)
+        padded[:n] = LOWER[self.raw] if lower else self.raw
+        eight = np.ndarray(n + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
+        return [_chain(padded, eight, a, b - a, seed) for a, b in spans]
 
     def joined(self, lower: bool = False, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The words (those of the mask `keep`) one space apart, as bytes, with each word's new start and end."""
@@ -131,27 +116,64 @@ class Words:
         return out.tobytes(), new, new + lens
 
 
+def _chain(raw: np.ndarray, eight: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
+    """Eight bytes after the other are mixed into a state that begins with the length."""
+    with np.errstate(over="ignore"):
+        h = mix((length.astype(np.uint64) + U64(seed << 40)) * _ODD) ^ (eight[start] & _KEEP[np.minimum(length, 8)])
+        h = mix(h)
+        todo, at = np.flatnonzero((length > 8) & (length <= LONG_WORD)), 8
+        while len(todo):
+            rest = length[todo] - at
+            h[todo] = mix(h[todo] ^ (eight[start[todo] + at] & _KEEP[np.minimum(rest, 8)]))
+            todo, at = todo[rest > 8], at + 8
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            h[i] = xxhash.xxh64_intdigest(raw[start[i] : start[i] + length[i]].tobytes(), seed)
+    return h
+
+
+def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair of neighbouring sequences, of theirs."""
+    with np.errstate(over="ignore"):
+        return mix(a * _ODD + b)
+
+
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive word hashes (len(h)-k+1 of them, over row bounds too)."""
+    """A hash of each k consecutive word hashes (len(h)-k+1 of them, over row bounds too), as a tree of halves."""
     n = len(h)
     if n < k:
         return np.zeros(0, np.uint64)
-    up, down = powers(n + 1)
-    with np.errstate(over="ignore"):
-        c = np.empty(n + 1, np.uint64)
-        c[0] = 0
-        np.cumsum(h * up[:n], out=c[1:])
-        return mix((c[k:] - c[:-k]) * down[: n - k + 1])
+    out, done, size = None, 0, 1
+    while True:
+        if k & size:  # h: of the `size` words from each place; out: of the `done` words
+            out = h if out is None else join_hashes(out[: n - done - size + 1], h[done:])
+            done += size
+        if done == k:
+            return out
+        h, size = join_hashes(h[:-size], h[size:]), 2 * size
+
+
+def placed(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Word hashes tied to places; their sum over a range is a hash of the sequence."""
+    most = int(place.max(initial=0)) + 1
+    if not _PLACES or len(_PLACES[0]) < most:
+        with np.errstate(over="ignore"):
+            _PLACES[:] = [mix((np.arange(1 << max(12, most.bit_length()), dtype=np.uint64) + U64(1)) * _ODD)]
+    return mix(h ^ _PLACES[0][place])
 
 
-def range_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A hash of the word hashes a[i]..b[i]-1 for each i; other salts give independent hashes."""
-    up, down = powers(len(h) + 1)
+def prefix_sums(x: np.ndarray) -> np.ndarray:
+    """len(x)+1 running sums modulo 2**64, from 0."""
+    c = np.zeros(len(x) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        c = np.empty(len(h) + 1, np.uint64)
-        c[0] = 0
-        np.cumsum((mix(h ^ U64(salt)) if salt else h) * up[: len(h)], out=c[1:])
-        return mix((c[b] - c[a]) * down[a] + (b - a).astype(np.uint64))
+        np.cumsum(x, out=c[1:])
+    return c
+
+
+def digests(text: bytes, start: list[int], end: list[int]) -> tuple[pa.Array, np.ndarray]:
+    """128-bit BLAKE2b digests of spans of the text, as a binary column and as rows of two numbers: collision-resistant, so one digest means the same bytes."""
+    joined = b"".join([blake2b(text[i:j], digest_size=16).digest() for i, j in zip(start, end)])
+    column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(start), [None, pa.py_buffer(joined)])
+    return column.cast(pa.binary()), np.frombuffer(joined, np.uint64).reshape(-1, 2)
 
 
 def row_of(first: np.ndarray) -> np.ndarray:

@@ -93,11 +93,11 @@ OP9_SQL = r"""
 WITH piece AS (SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS line FROM (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS p FROM documents)),
 line AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM piece),
 seen AS (SELECT w, min((doc_id, line_no)) AS at FROM line WHERE len(w) > 0 GROUP BY w),
-long AS (SELECT * FROM seen WHERE len(w) >= 10),
+long AS (SELECT * FROM seen WHERE len(w) >= 4),
 met AS (
   SELECT a.w AS x, b.w AS y, a.at AS p, b.at AS q FROM long AS a JOIN long AS b ON a.w[1] = b.w[1] AND len(b.w) - len(a.w) IN (0, 1)
   UNION SELECT a.w, b.w, a.at, b.at FROM long AS a JOIN long AS b ON a.w[-1] = b.w[-1] AND len(b.w) - len(a.w) IN (0, 1)),
-near AS (SELECT x, y, p, q FROM met WHERE x <> y AND CASE WHEN len(x) = len(y)
+near AS (SELECT x, y, p, q FROM met WHERE x <> y AND greatest(len(x), len(y)) >= 5 AND CASE WHEN len(x) = len(y)
   THEN len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i])) <= 1
   ELSE len(list_filter(range(0, len(x) + 1), lambda i: x[1:i] = y[1:i] AND x[i + 1:] = y[i + 2:])) > 0 END),
 late AS (SELECT x AS w FROM near WHERE q < p UNION SELECT y FROM near WHERE p < q),

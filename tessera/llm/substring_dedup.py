@@ -8,15 +8,18 @@ windows have equal minimisers at equal relative places, so a repeated edge lies
 with one minimiser. Hence, each step a Spark join or grouping:
 
 1. Paths whose minimiser occurs once hold no repeated edge and go.
-2. Occurrences of one path (same minimiser, length and two independent content hashes)
-   compact into one class; a class with two or more occurrences is repeated as a whole.
+2. Occurrences of one path compact into one class: those of one minimiser and length whose
+   words, read at their source coordinates, have one 128-bit digest. A class with two or
+   more occurrences is repeated as a whole.
 3. Where one minimiser has several classes, their paths branch: one occurrence of each is
-   expanded to its edges at its source coordinates, and edges that two classes share are
-   repeated.
+   expanded to its edges at its source coordinates, and edges that two classes share, again
+   by the digests of their words, are repeated.
 4. Spans of all occurrences glue to maximal repeated spans of each document, by coordinates.
 
-A window counts as repeated if its words also start anywhere else, in the same document or
-another; windows are judged on the input.
+64-bit hashes choose minimisers only; what is removed rests on digests of the words
+themselves (BLAKE2b, for which no two texts of one digest are known). A window counts as
+repeated if its words also start anywhere else, in the same document or another; windows are
+judged on the input.
 """
 
 from __future__ import annotations
@@ -33,7 +36,6 @@ from tessera.llm import kernels as K
 from tessera.session import store
 
 GRAM = 6
-SALT = 0x5851F42D4C957F2D
 _POS = np.uint64((1 << 28) - 1)
 
 
@@ -51,50 +53,47 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (w - have)], v[w - have :]) if have < w else v
 
 
-def _paths(docs: DataFrame, k: int) -> DataFrame:
-    """(mkey, w1, w2, cnt, doc_id, th, first): maximal runs of windows with one minimiser."""
+def _paths(docs: DataFrame, k: int, keys_only: bool = False) -> DataFrame:
+    """(mkey, w, cnt, doc_id, th, first): maximal runs of windows with one minimiser; w: the digest of their words. Or only mkey."""
+    names = ["mkey"] if keys_only else ["mkey", "w", "cnt", "doc_id", "th", "first"]
 
-    def rows(raw: np.ndarray, offsets: np.ndarray):
-        words = K.Words(raw, offsets, K.BLANK)
+    def runs(words: K.Words):
         n = len(words)
         if n < k:
             return None
-        h = words.hashes()
-        grams = K.window_hashes(h, GRAM)
+        grams = K.window_hashes(words.hashes(), GRAM)
         least = _sliding_min((grams & ~_POS) | np.arange(len(grams), dtype=np.uint64), k - GRAM + 1)
         doc = K.row_of(words.first)
         start = np.flatnonzero(doc[: n - k + 1] == doc[k - 1 :])
         if not len(start):
             return None
         at = (least[start] & _POS).astype(np.int64)
-        new = np.concatenate(([True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)))
-        i = np.flatnonzero(new)
-        cnt = np.diff(np.append(i, len(start)))
-        first = start[i]
-        end = first + cnt + k - 1
-        d = doc[first]
-        return d, grams[at[i]], K.range_hashes(h, first, end), K.range_hashes(h, first, end, SALT), cnt, first - words.first[d]
+        i = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1))))
+        return grams[at[i]].view(np.int64), start[i], np.diff(np.append(i, len(start))), doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = K.string_buffers(batch.column(2))
             for a, b, part, off in K.chunks(raw, offsets):
-                if (r := rows(part, off)) is None:
+                words = K.Words(part, off, K.BLANK)
+                if (r := runs(words)) is None:
+                    continue
+                mkey, first, cnt, doc = r
+                if keys_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(mkey)], names)
                     continue
-                d, mkey, w1, w2, cnt, first = r
-                ids = batch.slice(a, b - a)
+                text, start, end = words.joined()
+                w, _ = K.digests(text, start[first].tolist(), end[first + cnt + k - 2].tolist())
+                d, ids = doc[first], batch.slice(a, b - a)
                 take = pa.array(d)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mkey.view(np.int64)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(cnt.astype(np.int32)), ids.column(0).take(take), ids.column(1).take(take), pa.array(first.astype(np.int32))],
-                    ["mkey", "w1", "w2", "cnt", "doc_id", "th", "first"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(mkey), w, pa.array(cnt.astype(np.int32)), ids.column(0).take(take), ids.column(1).take(take), pa.array((first - words.first[d]).astype(np.int32))], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _keyed(docs).mapInArrow(run, f"mkey long, w1 long, w2 long, cnt int, doc_id {kind}, th long, first int")
+    return _keyed(docs).mapInArrow(run, "mkey long" if keys_only else f"mkey long, w binary, cnt int, doc_id {kind}, th long, first int")
 
 
 def _edges(docs: DataFrame, coords: DataFrame, k: int) -> DataFrame:
-    """(h1, h2, doc_id, th, start, single): the windows of the given paths, read at their source coordinates."""
+    """(h, doc_id, th, start, single): the windows of the given paths, read at their source coordinates; h: the digest of their words."""
     per_doc = coords.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(F.array("first", "cnt", F.col("single").cast("int")))).alias("at"))
     joined = _beside(docs, store(per_doc), "at", "inner")
 
@@ -104,19 +103,19 @@ def _edges(docs: DataFrame, coords: DataFrame, k: int) -> DataFrame:
             at, bounds = _flat(batch.column(3))
             for a, b, part, off in K.chunks(raw, offsets):
                 words = K.Words(part, off, K.BLANK)
-                h = words.hashes()
-                h1, h2 = K.window_hashes(h, k), K.window_hashes(K.mix(h ^ np.uint64(SALT)), k)
+                text, first, last = words.joined()
                 c = at[bounds[a] : bounds[b]].reshape(-1, 3)
                 d = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]) // 3)
                 n = c[:, 1]
                 rel = np.repeat(c[:, 0], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 d, single = np.repeat(d, n), np.repeat(c[:, 2], n) == 1
                 i = words.first[d] + rel
+                h, _ = K.digests(text, first[i].tolist(), last[i + k - 1].tolist())
                 ids, take = batch.slice(a, b - a), pa.array(d)
-                yield pa.RecordBatch.from_arrays([pa.array(h1[i].view(np.int64)), pa.array(h2[i].view(np.int64)), ids.column(0).take(take), ids.column(1).take(take), pa.array(rel.astype(np.int32)), pa.array(single)], ["h1", "h2", "doc_id", "th", "start", "single"])
+                yield pa.RecordBatch.from_arrays([h, ids.column(0).take(take), ids.column(1).take(take), pa.array(rel.astype(np.int32)), pa.array(single)], ["h", "doc_id", "th", "start", "single"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, th long, start int, single boolean")
+    return joined.mapInArrow(run, f"h binary, doc_id {kind}, th long, start int, single boolean")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,27 +134,23 @@ def repeated_spans(docs: DataFrame, k: int = 35) -> DataFrame:
     """(doc_id, th, spans array<int>): for documents with repeats, the sorted, disjoint, half-open word ranges, as start, end, start, end."""
     if k <= GRAM:
         raise ValueError(f"k must be over {GRAM}")
-    paths = _paths(docs, k)
     # grouped keys are stored before they meet the rows again, so that the join's sides are plain
     # exchanges, whose hot keys adaptive execution splits
-    again = store(paths.groupBy("mkey").agg(F.count("*").alias("n")).where("n > 1").select("mkey"))
-    paths = store(paths.join(again, "mkey"))
-    same = ["mkey", "w1", "w2", "cnt"]
+    again = store(_paths(docs, k, keys_only=True).groupBy("mkey").agg(F.count("*").alias("n")).where("n > 1").select("mkey"))
+    paths = store(_paths(docs, k).join(again, "mkey"))
+    same = ["mkey", "w", "cnt"]
     classes = store(paths.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "first")).alias("one")))
     branching = store(classes.groupBy("mkey").agg(F.count("*").alias("kinds")).where("kinds > 1").select("mkey"))
     coords = classes.join(branching, "mkey").select("one.doc_id", "one.th", "one.first", "cnt", (F.col("n") == 1).alias("single"))
     edges = store(_edges(docs, coords, k))
-    shared = store(edges.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
-    part = edges.where("single").join(shared, ["h1", "h2"]).select("doc_id", "th", F.col("start").alias("a"), (F.col("start") + k).alias("b"))
+    shared = store(edges.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    part = edges.where("single").join(shared, "h").select("doc_id", "th", F.col("start").alias("a"), (F.col("start") + k).alias("b"))
     full = paths.join(classes.where("n > 1").select(*same), same).select("doc_id", "th", F.col("first").alias("a"), (F.col("first") + F.col("cnt") + k - 1).alias("b"))
     spans = full.unionByName(part).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("s"))
-    empty = F.array().cast("array<int>")
-
-    def glue(acc, x):  # acc: the spans so far, flat; the last one grows while the next overlaps or touches it
-        n = F.size(acc)
-        return F.when((n > 0) & (F.get(acc, n - 1) >= x["a"]), F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.array(F.greatest(F.get(acc, n - 1), x["b"])))).otherwise(F.concat(acc, F.array(x["a"], x["b"])))
-
-    return spans.select("doc_id", "th", F.aggregate("s", empty, glue).alias("spans"))
+    # a document's paths share no window, so spans in order of their starts are in order of their ends too
+    begin = F.filter("s", lambda x, i: (i == 0) | (F.get(F.col("s"), i - 1)["b"] < x["a"]))
+    end = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (F.get(F.col("s"), i + 1)["a"] > x["b"]))
+    return spans.select("doc_id", "th", F.flatten(F.zip_with(begin, end, lambda x, y: F.array(x["a"], y["b"]))).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, k: int = 35, with_text: bool = False) -> DataFrame:

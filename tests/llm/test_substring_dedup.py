@@ -42,3 +42,14 @@ def test_random_texts_with_few_words(spark):
         rows.append((1000 + i, " ".join(w[rnd.randint(0, 9) :])))
     for k in (8, 11):
         assert run(spark, rows, k) == expected(rows, k)
+
+
+def test_contrived_words_are_told_apart(spark):
+    turned = lambda n, a, b: "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+    rows = []
+    for n in (1024, 4096):
+        other = " ".join(f"n{n}w{i}" for i in range(34))
+        rows += [(n, f"{turned(n, 'a', 'b')} {other}"), (n + 1, f"{turned(n, 'b', 'a')} {other}"), (n + 2, f"own {turned(n, 'a', 'c')} {other}")]
+    rows += [(9000, turned(1024, "no ", "yes ")), (9001, turned(1024, "yes ", "no "))]  # whole texts of two words: windows repeat
+    assert run(spark, rows, 35) == expected(rows, 35)
+    assert all(r[2] == 0 for r in run(spark, rows, 35) if r[0] < 9000)
