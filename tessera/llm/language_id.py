@@ -5,29 +5,34 @@ automaton into phrases: the longest string from the present place that the label
 holds, again and again. phrases * log2(labelled length) / length estimates the cross
 entropy, so the language that needs the fewest normalised phrases wins.
 
-The automata are made deterministic tables: a missing transition leads to where the root
-goes with that letter and is marked as a new phrase. Workers advance all texts of a batch,
-and all languages, one letter at a time with vectorised table look-ups. Long texts are
-parsed in pieces of PIECE letters, each a fresh start; every letter counts.
+The alphabet is the bytes of lower-cased letters in UTF-8, so there is one of any script and
+none is left out; anything but letters is one blank. The automata are made deterministic
+tables: a missing transition leads to where the root goes with that byte and is marked as a
+new phrase. Workers advance all texts of a batch, and all languages, one byte at a time with
+vectorised table look-ups. So that long texts go as fast, they are first parsed in pieces, each a
+fresh start; then every piece that its predecessor enters amid a phrase is parsed again from
+there, beside its last parse, until both stand in one state. The counts are those of one
+parse of the whole text.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tessera.llm import kernels as K
 
 PIECE = 1024
-SPACE, OTHER = 0, 1  # symbols: anything but letters; letters outside the alphabet
+SPACE, OTHER = 0, 1  # symbols: anything but letters; bytes that no labelled letter has
 UND = "und"
 
 
@@ -39,7 +44,7 @@ class Model:
     table: np.ndarray
     rest: np.ndarray
     bits: np.ndarray
-    symbol: np.ndarray  # code point -> symbol
+    symbol: np.ndarray  # byte of a letter -> symbol
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,6 +52,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+@cache
+def _lowered() -> np.ndarray:
+    """For each code point its lower-case letter's, or 0 if it is no letter."""
+    out = np.zeros(0x110000, np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalpha():
+            low = c.lower()
+            out[i] = ord(low) if len(low) == 1 else i
+    return out
+
+
+def _bytes(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of code points (0 for anything but letters, runs of which are one), and the row bounds `at` among them."""
+    low = _lowered()[code]
+    again = np.zeros(len(low), bool)
+    again[1:] = (low[1:] == 0) & (low[:-1] == 0)
+    again[at[(at > 0) & (at < len(low))]] = False
+    at = np.concatenate(([0], np.cumsum(~again)))[at]
+    low = low[~again]
+    size = 1 + (low >= 0x80) + (low >= 0x800) + (low >= 0x10000).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    if ends[-1] == len(low):
+        return low.astype(np.uint8), at
+    each, left = np.repeat(low, size), np.repeat(ends[1:], size) - 1 - np.arange(ends[-1])  # bytes that follow in the letter
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[np.repeat(size, size)]
+    head = np.zeros(ends[-1], bool)
+    head[ends[:-1]] = True
+    part = each >> (6 * left).astype(np.uint32)
+    return np.where(head, part | lead, (part & 0x3F) | 0x80).astype(np.uint8), ends[at]
+
+
 def sample(docs: DataFrame, rows: int, chars: int) -> list[tuple[str, str]]:
     """(lang, text) of at most `rows` labelled rows a language, in hash order of the id, each up to `chars` characters."""
     pool = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -91,36 +128,31 @@ def _automaton(s: list[int]) -> list[dict[int, int]]:
     return go
 
 
-def _symbols(text: str, of: np.ndarray) -> np.ndarray:
-    s = of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    again = np.zeros(len(s), bool)
-    again[1:] = (s[1:] == SPACE) & (s[:-1] == SPACE)
-    return s[~again]
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def fit(labelled: list[tuple[str, str]], chars: int = 40_000, all_chars: int = 200_000, alphabet: int = 120) -> Model:
-    """A model of (lang, text) rows: up to `chars` characters a language, `all_chars` in all, and the commonest letters."""
-    langs = sorted({lang for lang, _ in labelled})
-    most = min(chars, all_chars // max(1, len(langs)))
-    held: dict[str, str] = {}
+def fit(labelled: list[tuple[str, str]], most: int = 40_000, most_in_all: int = 200_000) -> Model:
+    """A model of (lang, text) rows: up to `most` bytes of letters a language, `most_in_all` in all. A language without a letter isn't learned."""
+    known = {lang for lang, text in labelled if any(c.isalpha() for c in text)}
+    langs = sorted(known)
+    most = min(most, most_in_all // max(1, len(langs)))
+    held: dict[str, list[np.ndarray]] = {}
     for lang, text in labelled:
-        have = held.get(lang, "")
-        if len(have) < most:
-            held[lang] = (have + " " + text)[:most]
-    letters = Counter(c for t in held.values() for c in t.lower() if c.isalpha())
-    known = {c: i + 2 for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:alphabet])}
-    symbol = np.zeros(0x110000, np.uint8)
-    for i in range(0x110000):
-        c = chr(i)
-        if c.isalpha():
-            symbol[i] = known.get(c.lower(), OTHER)
-    width = len(known) + 2
-    langs = [x for x in langs if any(c.isalpha() for c in held[x])]
+        if lang in known and sum(map(len, held.get(lang, []))) < most:
+            held.setdefault(lang, []).append(_bytes(_code_points(" " + text), np.array([0]))[0])
+    learned = {lang: np.concatenate(parts)[:most] for lang, parts in held.items()}
+    # after a cut in a text another follows; two blanks that meet there are no harm, as no text has two
+    used = np.unique(np.concatenate(list(learned.values()))) if langs else np.zeros(0, np.uint8)
+    symbol = np.full(256, OTHER, np.uint8)
+    symbol[used] = np.arange(len(used)) + 2  # at most 245 bytes occur in UTF-8
+    symbol[0] = SPACE
+    width = len(used) + 2
     tables, rests, bits, base = [], [], [], 0
     for lang in langs:
-        s = _symbols(held[lang], symbol)
+        s = symbol[learned[lang]]
         go = _automaton(s.tolist())
-        rest = base + len(go)  # between phrases: any letter begins one; an unseen letter is one and leads back here
+        rest = base + len(go)  # between phrases: any byte begins one; an unseen one is a phrase and leads back here
         start = np.full(width, rest * width * 2 + 1, np.int64)
         for c, to in go[0].items():
             start[c] = (base + to) * width * 2 + 1
@@ -135,63 +167,83 @@ def fit(labelled: list[tuple[str, str]], chars: int = 40_000, all_chars: int = 2
     return Model(langs, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(rests, np.int32), np.array(bits), symbol)
 
 
+def _again(table: np.ndarray, s: np.ndarray, begin: np.ndarray, size: np.ndarray, old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parses of pieces from the states `new` beside those from `old`: how many more phrases they have, and their last state (-1: they met the old parse)."""
+    more, last = np.zeros(len(begin), np.int64), np.full(len(begin), -1, np.int32)
+    who, t = np.arange(len(begin)), 0
+    while len(who):
+        c = s[begin[who] + t]
+        x, y = table[old + c], table[new + c]
+        more[who] += (y & 1) - (x & 1)
+        old, new, t = x >> 1, y >> 1, t + 1
+        over = size[who] == t
+        last[who[over]] = np.where(old[over] == new[over], -1, new[over])
+        stay = ~over & (old != new)
+        who, old, new = who[stay], old[stay], new[stay]
+    return more, last
+
+
 def phrases(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row: phrases a language (rows x languages), parsed symbols, and whether it has a letter."""
+    """For each row: phrases a language (rows x languages), parsed bytes, and whether it has a letter."""
     n_rows, n_lang = len(offsets) - 1, len(model.langs)
-    text = raw.tobytes().decode("utf-8", "replace")
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets]
-    s = model.symbol[code]
-    again = np.zeros(len(s), bool)
-    again[1:] = (s[1:] == SPACE) & (s[:-1] == SPACE)
-    again[at[(at > 0) & (at < len(s))]] = False
-    at = np.concatenate(([0], np.cumsum(~again)))[at]
-    s = s[~again].astype(np.int32)
+    code = _code_points(raw.tobytes().decode("utf-8", "replace"))
+    letters, at = _bytes(code, np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets])
     length = np.diff(at)
-    letters = np.concatenate(([0], np.cumsum(s != SPACE)))
-    has = letters[at[1:]] > letters[at[:-1]]
+    seen = np.concatenate(([0], np.cumsum(letters != 0)))
+    has = seen[at[1:]] > seen[at[:-1]]
     out = np.zeros((n_rows, n_lang), np.int64)
     pieces = -(-length // PIECE)
     row = np.repeat(np.arange(n_rows), pieces)
     if not len(row) or not n_lang:
         return out, length, has
-    begin = at[:-1][row] + PIECE * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    s = model.symbol[letters].astype(np.int32)
+    part = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = at[:-1][row] + PIECE * part
     size = np.minimum(PIECE, at[1:][row] - begin)
     order = np.argsort(-size, kind="stable")
+    place = np.empty(len(row), np.int64)
+    place[order] = np.arange(len(row))
+    after = np.full(len(row), -1)  # the place of the piece that goes on
+    after[place[:-1]] = np.where(part[1:] > 0, place[1:], -1)
     row, begin, size = row[order], begin[order], size[order]
-    state = np.repeat(model.rest[:, None], len(row), axis=1)
-    count = np.zeros(state.shape, np.int32)
-    active = np.searchsorted(-size, -np.arange(size[0]), "left")  # pieces that reach letter t
+    rest = np.repeat(model.rest[:, None], len(row), axis=1)
+    state, count = rest.copy(), np.zeros(rest.shape, np.int32)
+    active = np.searchsorted(-size, -np.arange(size[0]), "left")  # pieces that reach byte t
     for t in range(int(size[0])):
         m = active[t]
         entry = model.table[state[:, :m] + s[begin[:m] + t]]
         count[:, :m] += entry & 1
         np.right_shift(entry, 1, out=state[:, :m])
+    lang, who = np.nonzero((after >= 0) & (state != rest))  # pieces that end amid a phrase
+    begun = rest  # the states that the pieces' counts hold for
+    while len(who):
+        nxt = after[who]
+        new = state[lang, who]
+        more, last = _again(model.table, s, begin[nxt], size[nxt], begun[lang, nxt], new)
+        count[lang, nxt] += more
+        begun[lang, nxt] = new
+        turned = last >= 0
+        state[lang[turned], nxt[turned]] = last[turned]
+        turned &= after[nxt] >= 0
+        lang, who = lang[turned], nxt[turned]
     for i in range(n_lang):
         out[:, i] = np.bincount(row, count[i], n_rows).astype(np.int64)
     return out, length, has
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns with lang_pred and score, a row of docs each.
-
-    lang_pred is `und` and score 0 if the text is null, empty or without a letter, or if no
-    language was learned. score is one less the ratio of the least to the next normalised
-    phrase count, so 0 is a tie, in which the first language by name wins; beside a single
-    language stands a parse of one phrase a letter. Texts are parsed whole, whatever their
-    length; repeated rows each give a row; clashing columns are replaced; empty tables stay empty.
-    """
-    keep = [c for c in keep if c not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()'s all_chars
+def _parsed(docs: DataFrame, model: Model, keep: list[str], text_col: str, pred_name: str, score_name: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()'s most_in_all
+    names = [f"c{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             raw, offsets = K.string_buffers(batch.column(len(keep)))
-            best, score = np.full(len(batch), -1), np.zeros(len(batch))
+            best, score = np.full(len(batch), -2), np.zeros(len(batch))
             for a, b, part, off in K.chunks(raw, offsets, 2 << 20):
                 n, length, has = phrases(m, part, off)
                 if not m.langs:
+                    best[a:b] = np.where(has, -1, -2)
                     continue
                 cost = n * m.bits
                 first = cost.argmin(1)
@@ -201,42 +253,44 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
                 nxt = other.min(1) if len(m.langs) > 1 else length * m.bits[0]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     score[a:b] = np.where(has & (nxt > 0), np.clip(1 - low / nxt, 0, 1), 0)
-                best[a:b] = np.where(has, first, -1)
-            names = pa.array([*m.langs, UND], pa.string())
-            pred = names.take(pa.array(np.where(best < 0, len(m.langs), best)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pred, pa.array(score)], [*keep, "lang_pred", "score"])
+                best[a:b] = np.where(has, first, -2)
+            langs = pa.array([*m.langs, UND, None], pa.string())  # null: letters, but no language is known
+            pred = langs.take(pa.array(np.where(best == -2, len(m.langs), np.where(best == -1, len(m.langs) + 1, best))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pred, pa.array(score)], [*names, pred_name, score_name])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    kept = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)])
+    schema = StructType(list(kept.schema.fields)).add(pred_name, "string").add(score_name, "double")
+    out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], pred_name, score_name)
 
 
-def learn(docs: DataFrame, rows: int = 200, chars: int = 40_000) -> Model:
-    """A model learned from the text and lang of the table's rows that are not held out."""
-    return fit(sample(docs, rows, chars), chars)
+def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The kept columns with lang_pred and score, a row of docs each.
 
+    lang_pred is `und` and score 0 if the text is null, empty or without a letter, or if no
+    language was learned. score is one less the ratio of the least to the next normalised
+    phrase count, so 0 is a tie, in which the first language by name wins; beside a single
+    language stands a parse of one phrase a byte. Texts are parsed whole, whatever their
+    length; repeated rows each give a row; clashing columns are replaced; empty tables stay empty.
+    """
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    return _parsed(docs, model, keep, text_col, "lang_pred", "score").fillna(UND, ["lang_pred"])
 
-def _with_letters(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with a letter in their text. Columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = K.string_buffers(batch.column(batch.num_columns - 1))
-            has = np.zeros(len(batch), bool)
-            for a, b, part, off in K.chunks(raw, offsets, 2 << 20):
-                has[a:b] = phrases(shared.value, part, off)[2]
-            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(has))
+def learn(docs: DataFrame, rows: int = 200, chars: int = 1_000, most: int = 40_000) -> Model:
+    """A model learned from the text and lang of the table's rows that are not held out.
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").alias("__text")).mapInArrow(run, docs.schema)
+    At most `rows` rows a language by a hash of the id, `chars` characters of each, go to the
+    driver, and up to `most` bytes of their letters are learned. Of rows with one id and
+    language all texts count.
+    """
+    return fit(sample(docs, rows, chars), most)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents in a language: those whose text is null or has no letter go. Columns stay as they are.
+    """The documents in a language: those whose text is null or has no letter go. Columns stay as they are, whatever their names.
 
     Without a usable label no language is known, and all texts with a letter stay.
     """
-    model = learn(docs)
-    if not model.langs:
-        return _with_letters(docs, model)
-    found = identify(docs, model, docs.columns)
-    return found.where(F.col("lang_pred") != UND).select(*[f"`{c}`" for c in docs.columns])
+    found = _parsed(docs, learn(docs), docs.columns, "text", "__lang", "__score")
+    return found.where(~F.col("__lang").eqNullSafe(UND)).select(*[F.col(f"`{c}`") for c in docs.columns])
