@@ -2,15 +2,18 @@
 
 For each benchmark item, every window of as many words of a document (the whole document, if
 it is shorter) is a possible copy. Windows and items have 64-bit SimHash fingerprints over
-their five-word shingles, weighted by how often each occurs. A multi-index of PARTS bit
-blocks holds each item under every block value within RADIUS // PARTS bits of its own, so
-look-ups find all items within RADIUS bits of a window's fingerprint: with more differing
-bits in every block the whole would differ in more than RADIUS. Candidates are verified by
-the exact weighted Jaccard similarity of the shingle multisets.
-
-Two lossless steps come first, as fingerprints of all windows of all sizes would cost more
-than everything else: windows are left out if they hold too few shingles of any item to
-reach the similarity, which a running count of such shingles tells.
+their five-word shingles, weighted by how often each occurs. Fingerprints are compared in
+PARTS bit blocks: two within RADIUS bits are within RADIUS // PARTS bits in a block at least,
+as with more differing bits in every block the whole would differ in more than RADIUS.
+Pairs within the radius are verified by the exact weighted Jaccard similarity of the
+shingle multisets.
+
+At such a radius a table of block values would name half of all items for any window, and
+hold each item a thousand times. So the index is entered by the rarest shared shingle, which
+loses nothing: a window as similar as SIMILARITY lacks less than a fifth of the item's
+shingles, so of any more of them, here those that the fewest items have, it holds one. The
+items that this names for a document are few, and only windows with enough shingles of such
+an item are fingerprinted and held against its blocks.
 
 The items are the stated query set. They are taken in blocks of bounded size, each broadcast
 and held against all documents.
@@ -26,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, LongType, StructType
 
 from tessera.llm import kernels as K
 from tessera.llm.common import row_key, without, without_rows
@@ -35,27 +40,32 @@ SIMILARITY = 0.8
 #: Fingerprints of texts as similar as SIMILARITY differ in 9.7 bits of 64 on average, with a deviation of 2.9.
 RADIUS, PARTS = 20, 5
 WIDTHS = (13, 13, 13, 13, 12)
-BLOCK_CHARS = 8_000_000
+#: Characters of a block of items, each item counted as ITEM_CHARS more. A model has some 8 bytes for each.
+BLOCK_CHARS, ITEM_CHARS = 8_000_000, 20
+#: Windows that are fingerprinted at a time.
+STEP = 1 << 14
 
 
 @dataclass
-class Item:
-    item_id: object
-    n_words: int
+class Model:
+    """Flat arrays; items in the order of their rows."""
+
+    ids: pa.Array
+    times: np.ndarray  # rows of the item
+    n_words: np.ndarray
+    prints: np.ndarray
+    start: np.ndarray  # bounds of each item's part of values and counts
     values: np.ndarray  # its distinct shingle hashes, sorted
     counts: np.ndarray
-    total: int
+    rare: np.ndarray  # the shingles by which items are found, sorted
+    rare_start: np.ndarray  # bounds of each one's part of rare_items
+    rare_items: np.ndarray
+    sieve: np.ndarray  # by the top 20 bits of such a shingle
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # words, under SHINGLE -> sorted hashes of all words, items
 
 
-@dataclass
-class Model:
-    items: list[Item]
-    prints: np.ndarray
-    sizes: dict[int, np.ndarray]  # words -> items of that size
-    index: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # words -> for each block: bounds by value, items
-    shingles: np.ndarray  # of all items with SHINGLE words or more, sorted
-    sieve: np.ndarray  # by the hash's top 20 bits
-    short: dict[int, dict[int, list[int]]]  # words, under SHINGLE -> hash of all words -> items
+def _signs(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(h).view(np.uint8), bitorder="little").reshape(-1, 64).astype(np.int32) * 2 - 1
 
 
 def _simhash(bits_sum: np.ndarray) -> np.ndarray:
@@ -63,102 +73,141 @@ def _simhash(bits_sum: np.ndarray) -> np.ndarray:
     return np.packbits(bits_sum > 0, axis=-1, bitorder="little").view(np.uint64).ravel()
 
 
-def _signs(h: np.ndarray) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(h).view(np.uint8), bitorder="little").reshape(-1, 64).astype(np.int32) * 2 - 1
+def _window_prints(s: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
+    """Fingerprints of the windows of w shingles at sorted starts, from running sums over a bounded stretch at a time."""
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = int(np.searchsorted(start, start[i] + STEP))
+        if w > STEP:  # few windows of a long item: each is summed in pieces
+            j = i + 1
+            total = sum(_signs(s[x : min(x + STEP, start[i] + w)]).sum(0) for x in range(int(start[i]), int(start[i]) + w, STEP))
+            out[i] = _simhash(total[None, :])[0]
+        else:
+            lo = int(start[i])
+            sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_signs(s[lo : int(start[j - 1]) + w]), axis=0, dtype=np.int32)))
+            at = start[i:j] - lo
+            out[i:j] = _simhash(sums[at + w] - sums[at])
+        i = j
+    return out
 
 
-def _near_values(width: int, radius: int) -> np.ndarray:
-    every = np.arange(1 << width)
-    return every[np.bitwise_count(every) <= radius]
+def within_radius(prints: np.ndarray, item: np.ndarray | np.uint64) -> np.ndarray:
+    """Which fingerprints are within RADIUS bits of the item's: first within the least radius of one block, then as a whole."""
+    x, shift = prints ^ item, 0
+    near = np.zeros(len(x), bool)
+    for width in WIDTHS:
+        near |= np.bitwise_count((x >> np.uint64(shift)) & np.uint64((1 << width) - 1)) <= RADIUS // PARTS
+        shift += width
+    near[near] = np.bitwise_count(x[near]) <= RADIUS
+    return near
+
+
+def prepare(rows: list[tuple[object, str, int]], id_type: DataType | None = None) -> Model:
+    """A model of (item_id, text, times) rows; items without words match nothing."""
+    texts = [(text or "").encode() for _, text, _ in rows]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    words = K.Words(raw, np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64), K.NON_WORD)
+    h, n_words, item_of = words.hashes(lower=True), np.diff(words.first), K.row_of(words.first)
+    s = K.window_hashes(h, SHINGLE)
+    whole = np.flatnonzero(item_of[: len(s)] == item_of[SHINGLE - 1 :]) if len(s) else np.zeros(0, np.int64)
+    s, of = s[whole], item_of[whole]
+    sums = np.zeros((len(rows), 64), np.int32)
+    for x in range(0, len(s), STEP):
+        g = of[x : x + STEP]
+        cut = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        sums[g[cut]] += np.add.reduceat(_signs(s[x : x + STEP]), cut, axis=0)
+    order = np.lexsort((s, of))
+    s, of = s[order], of[order]
+    cut = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (of[1:] != of[:-1])))) if len(s) else np.zeros(0, np.int64)
+    flat, item, each = s[cut], of[cut].astype(np.int32), np.diff(np.append(cut, len(s))).astype(np.int32)
+    start = np.searchsorted(item, np.arange(len(rows) + 1))
+    short = {}
+    for k in range(1, SHINGLE):
+        mine = np.flatnonzero(n_words == k)
+        if len(mine):
+            t = K.window_hashes(h, k)[words.first[mine]]
+            by = np.argsort(t, kind="stable")
+            short[k] = (t[by], mine[by])
+    # an item's shingles, those that the fewest items have first, until so many are taken that one must be in a copy
+    _, back, shared = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((flat, shared[back], item)) if len(flat) else np.zeros(0, np.int64)
+    before = np.cumsum(each[order]) - each[order]
+    first = before[start[:-1][np.diff(start) > 0]] if len(flat) else before
+    within = before - np.repeat(first, np.diff(start)[np.diff(start) > 0])
+    total = n_words - SHINGLE + 1
+    enough = total - np.ceil(SIMILARITY * total - 1e-9).astype(np.int64) + 1  # one more than a copy may lack
+    taken = order[within < enough[item[order]]]
+    by = taken[np.argsort(flat[taken], kind="stable")]
+    rare, bounds = np.unique(flat[by], return_index=True)
+    sieve = np.zeros(1 << 20, bool)
+    sieve[(rare >> np.uint64(44)).astype(np.int64)] = True
+    ids = pa.array([i for i, _, _ in rows], to_arrow_type(id_type or LongType()))
+    return Model(ids, np.array([m for _, _, m in rows], np.int64), n_words, _simhash(sums), start, flat, each, rare, np.append(bounds, len(by)), item[by], sieve, short)
 
 
-def prepare(rows: list[tuple[object, str]]) -> Model:
-    """A model of (item_id, text) rows; items without words match nothing."""
-    items, prints, shingles = [], [], []
-    short: dict[int, dict[int, list[int]]] = {}
-    for item_id, text in rows:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        h = K.Words(raw, np.array([0, len(raw)]), K.NON_WORD).hashes(lower=True)
-        if not len(h):
-            continue
-        s = K.window_hashes(h, min(SHINGLE, len(h)))
-        if len(h) < SHINGLE:
-            short.setdefault(len(h), {}).setdefault(int(s[0]), []).append(len(items))
-        else:
-            shingles.append(s)
-        values, counts = np.unique(s, return_counts=True)
-        items.append(Item(item_id, len(h), values, counts, len(s)))
-        prints.append(_simhash(_signs(s).sum(0))[0])
-    sizes: dict[int, list[int]] = {}
-    for i, item in enumerate(items):
-        if item.n_words >= SHINGLE:
-            sizes.setdefault(item.n_words, []).append(i)
-    fp = np.array(prints, np.uint64)
-    index = {}
-    for n, of in sizes.items():
-        blocks, shift = [], 0
-        for width in WIDTHS:
-            mine = ((fp[of] >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            near = _near_values(width, RADIUS // PARTS)
-            value = (mine[:, None] ^ near[None, :]).ravel()
-            order = np.argsort(value, kind="stable")
-            who = np.repeat(np.array(of, np.int32), len(near))[order]
-            blocks.append((np.searchsorted(value[order], np.arange((1 << width) + 1)).astype(np.int32), who))
-            shift += width
-        index[n] = blocks
-    every = np.unique(np.concatenate(shingles)) if shingles else np.zeros(0, np.uint64)
-    sieve = np.zeros(1 << 20, bool)
-    sieve[(every >> np.uint64(44)).astype(np.int64)] = True
-    return Model(items, fp, {n: np.array(v) for n, v in sizes.items()}, index, every, sieve, short)
+def _similarity(values: np.ndarray, counts: np.ndarray, total: int, window: np.ndarray) -> float:
+    v, c = np.unique(window, return_counts=True)
+    at = np.minimum(np.searchsorted(values, v), len(values) - 1)
+    both = np.minimum(np.where(values[at] == v, counts[at], 0), c).sum()
+    return float(both / (total + len(window) - both))
+
 
+def _rare_hits(m: Model, s: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where rare shingles stand, and their numbers."""
+    maybe = np.flatnonzero(inside & m.sieve[(s >> np.uint64(44)).astype(np.int64)])
+    if not len(maybe) or not len(m.rare):
+        return maybe[:0], maybe[:0]
+    at = np.minimum(np.searchsorted(m.rare, s[maybe]), len(m.rare) - 1)
+    same = m.rare[at] == s[maybe]
+    return maybe[same], at[same]
 
-def _similarity(item: Item, window: np.ndarray) -> float:
-    values, counts = np.unique(window, return_counts=True)
-    at = np.minimum(np.searchsorted(item.values, values), len(item.values) - 1)
-    both = np.minimum(np.where(item.values[at] == values, item.counts[at], 0), counts).sum()
-    return float(both / (item.total + len(window) - both))
 
+def _postings(m: Model, rare: np.ndarray) -> np.ndarray:
+    """The distinct items of distinct rare shingles."""
+    n = m.rare_start[rare + 1] - m.rare_start[rare]
+    return np.unique(m.rare_items[np.repeat(m.rare_start[rare], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
 
-def _search(m: Model, s: np.ndarray, n_words: int) -> dict[int, tuple[float, int, int, int]]:
-    """The best window for each item in one document: item -> (similarity, -start, words, differing bits). s: its shingles."""
-    hit = np.zeros(len(s), bool)
-    maybe = np.flatnonzero(m.sieve[(s >> np.uint64(44)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(m.shingles, s[maybe]), len(m.shingles) - 1)
-    hit[maybe[m.shingles[at] == s[maybe]]] = True
+
+def _search(m: Model, s: np.ndarray, n_words: int, rare: np.ndarray) -> dict[int, tuple[float, int, int, int]]:
+    """The best window for each item in one document: item -> (similarity, -start, words, differing bits). s: its shingles; rare: those that name items."""
     best: dict[int, tuple[float, int, int, int]] = {}
-    if not hit.any():
-        return best
-    total = np.concatenate(([0], np.cumsum(hit)))
-    sums = None
-    for size, of in m.sizes.items():
-        words = min(size, n_words)
+    order = np.argsort(s, kind="stable")
+    ordered = s[order]
+    for i in _postings(m, np.unique(rare)).tolist():
+        values, counts = m.values[m.start[i] : m.start[i + 1]], m.counts[m.start[i] : m.start[i + 1]]
+        total, words = int(m.n_words[i]) - SHINGLE + 1, min(int(m.n_words[i]), n_words)
         w = words - SHINGLE + 1  # shingles of a window
-        need = math.ceil(SIMILARITY / (1 + SIMILARITY) * (w + size - SHINGLE + 1) - 1e-9)
-        start = np.flatnonzero(total[w:] - total[:-w] >= need)
+        need = math.ceil(SIMILARITY / (1 + SIMILARITY) * (w + total) - 1e-9)
+        lo, hi = np.searchsorted(ordered, values, "left"), np.searchsorted(ordered, values, "right")
+        n = hi - lo
+        if n.sum() < need:
+            continue
+        p = np.sort(order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])  # places of the item's shingles
+        a, b = p[: len(p) - need + 1], p[need - 1 :]
+        a, b = a[b - a < w], b[b - a < w]  # a window with `need` of them starts after b - w and at a at the latest
+        a, b = np.minimum(a, len(s) - w), np.maximum(b - w + 1, 0)
+        b = np.maximum(b, np.concatenate(([0], a[:-1] + 1)))  # both grow, so starts that an earlier range has are left out
+        n = np.maximum(a - b + 1, 0)
+        start = np.repeat(b, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         if not len(start):
             continue
-        if sums is None:
-            sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_signs(s), axis=0, dtype=np.int32)))
-        prints = _simhash(sums[start + w] - sums[start])
-        pairs, shift = [], 0
-        for width, (bounds, who) in zip(WIDTHS, m.index[size]):
-            v = ((prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            n = bounds[v + 1] - bounds[v]
-            j = np.repeat(np.arange(len(start)), n)
-            pairs.append(j * len(m.items) + who[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[v], n)])
-            shift += width
-        pairs = np.unique(np.concatenate(pairs))
-        j, i = pairs // len(m.items), pairs % len(m.items)
-        bits = np.bitwise_count(prints[j] ^ m.prints[i])
-        for j, i, b in zip(*(x[bits <= RADIUS].tolist() for x in (j, i, bits))):
-            a = int(start[j])
-            sim = _similarity(m.items[i], s[a : a + w])
+        prints = _window_prints(s, start, w)
+        near = within_radius(prints, m.prints[i])
+        start, bits = start[near], np.bitwise_count(prints[near] ^ m.prints[i])
+        have = np.minimum(np.searchsorted(p, start + w) - np.searchsorted(p, start), w)
+        bound = have / (total + w - have)
+        for j in np.lexsort((start, -bound)).tolist():  # best first, until no bound reaches what was found
+            if bound[j] < max(SIMILARITY, best[i][0] if i in best else 0.0) - 1e-12:
+                break
+            x = int(start[j])
+            sim = _similarity(values, counts, total, s[x : x + w])
             if sim >= SIMILARITY:
-                best[i] = max(best.get(i, (0.0, 0, 0, 0)), (sim, -a, words, b))
+                best[i] = max(best.get(i, (0.0, 0, 0, 0)), (sim, -x, words, int(bits[j])))
     return best
 
 
-def _block(docs: DataFrame, model: Model, id_type: str) -> DataFrame:
+def _block(docs: DataFrame, model: Model, id_type: DataType) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "item_id", "first_word", "n_words", "differing_bits", "similarity"]
 
@@ -175,31 +224,30 @@ def _block(docs: DataFrame, model: Model, id_type: str) -> DataFrame:
                 first = words.first
                 s = K.window_hashes(h, SHINGLE)
                 doc = K.row_of(first)
-                inside = doc[: len(s)] == doc[SHINGLE - 1 :] if len(s) else np.zeros(0, bool)
-                hit = inside & m.sieve[(s >> np.uint64(44)).astype(np.int64)]
-                for d in np.unique(doc[: len(s)][hit]).tolist():
+                at, rare = _rare_hits(m, s, doc[: len(s)] == doc[SHINGLE - 1 :] if len(s) else np.zeros(0, bool))
+                docs_hit, where = np.unique(doc[at], return_index=True)
+                for d, x, y in zip(docs_hit.tolist(), where.tolist(), np.append(where[1:], len(at)).tolist()):
                     n = int(first[d + 1] - first[d])
-                    for i, (sim, start, w, bits) in _search(m, s[first[d] : first[d + 1] - SHINGLE + 1], n).items():
+                    for i, (sim, start, w, bits) in _search(m, s[first[d] : first[d + 1] - SHINGLE + 1], n, rare[x:y]).items():
                         row.append(a + d)
-                        found.append((m.items[i].item_id, -start, w, bits, sim))
-                for k, of in m.short.items():
+                        found.append((i, -start, w, bits, sim))
+                for k, (hashes, of) in m.short.items():
                     t = K.window_hashes(h, k)
-                    place = np.flatnonzero(np.isin(t, np.array(list(of), np.uint64)) & (doc[: len(t)] == doc[k - 1 :])) if len(t) else []
-                    seen = set()
-                    for p in place:
-                        for i in of[int(t[p])]:
-                            if (doc[p], i) not in seen:
-                                seen.add((doc[p], i))
-                                row.append(a + int(doc[p]))
-                                found.append((m.items[i].item_id, int(p - first[doc[p]]), k, 0, 1.0))
+                    place = np.flatnonzero(np.isin(t, hashes) & (doc[: len(t)] == doc[k - 1 :])) if len(t) else np.zeros(0, np.int64)
+                    lo, hi = np.searchsorted(hashes, t[place], "left"), np.searchsorted(hashes, t[place], "right")
+                    n = hi - lo
+                    item = of[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                    p = np.repeat(place, n)
+                    for j in np.unique(doc[p] * len(m.ids) + item, return_index=True)[1].tolist():  # the first place of each
+                        row.append(a + int(doc[p[j]]))
+                        found.append((int(item[j]), int(p[j] - first[doc[p[j]]]), k, 0, 1.0))
             if row:
-                columns = list(zip(*found))
-                types = (batch_item, pa.int32(), pa.int32(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
+                item, *columns = (np.array(c) for c in zip(*found))
+                often = np.repeat(np.arange(len(row)), m.times[item])  # repeated items each give a row
+                types = (pa.int32(), pa.int32(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(row)[often])), m.ids.take(pa.array(item[often])), *[pa.array(c[often], t) for c, t in zip(columns, types)]], names)
 
-    batch_item = pa.string() if id_type == "string" else pa.int64()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {'string' if id_type == 'string' else 'bigint'}, first_word int, n_words int, differing_bits int, similarity double"
+    schema = StructType([docs.schema["doc_id"]]).add("item_id", id_type).add("first_word", "integer").add("n_words", "integer").add("differing_bits", "integer").add("similarity", "double")
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -209,16 +257,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
     A row for each document and item, with the most similar window (of equal ones the first).
     Words are runs of ASCII letters and digits and non-ASCII characters, A-Z lower-cased.
     Items under five words must occur as they are. Null and empty texts, on either side, match
-    nothing; repeated rows and items each give rows; empty tables give none.
+    nothing; repeated rows and items each give rows; empty tables give none. Ids may be of any
+    type that Arrow has.
     """
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").groupBy("item_id", "text").agg(F.count("*").alias("times"))
+    chars = items.agg(F.sum(F.length("text") + ITEM_CHARS)).first()[0] or 0
     n = max(1, -(-chars // block_chars))
-    kind = benchmark.schema["item_id"].dataType.simpleString()
+    kind = benchmark.schema["item_id"].dataType
     out = None
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()  # about block_chars characters
-        part = _block(docs, prepare(sorted(((r.item_id, r.text) for r in rows), key=str)), kind)
+        part = _block(docs, prepare(sorted(((r.item_id, r.text, r.times) for r in rows), key=str), kind), kind)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -1,9 +1,12 @@
 """Operator 6 against a plain search of all windows."""
 
+import pickle
 import random
 import re
+import string
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessera.llm import decontamination as D
@@ -74,3 +77,35 @@ def test_edge_rows(spark, block):
     kept = D.decontaminate(d, b)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs if i is None or i not in {f[0] for f in found}}
     assert D.contaminated(d.limit(0), b).collect() == [] and D.contaminated(d, b.limit(0)).collect() == []
+
+
+def test_many_short_items_stay_small_and_few_are_compared():
+    rnd = random.Random(3)
+    pool = ["".join(rnd.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(3000)]
+    items = [(i, " ".join(rnd.choice(pool) for _ in range(9)), 1) for i in range(150_000)]
+    model = D.prepare(items)
+    assert len(pickle.dumps(model)) < 60_000_000
+    text = " ".join(rnd.choice(pool) for _ in range(5000)) + " " + items[77][1]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    s = D.K.window_hashes(D.K.Words(raw, np.array([0, len(raw)]), D.K.NON_WORD).hashes(lower=True), D.SHINGLE)
+    _, rare = D._rare_hits(model, s, np.ones(len(s), bool))
+    assert len(D._postings(model, np.unique(rare))) < 0.01 * len(items)  # for all windows together
+    assert {i: b[0] for i, b in D._search(model, s, 5009, rare).items()} == {77: 1.0}
+
+
+def test_radius_by_blocks_is_whole():
+    rnd = np.random.default_rng(4)
+    for n in range(0, 40):
+        bits = np.zeros((200, 64), np.uint8)
+        for row in bits:
+            row[rnd.choice(64, n, replace=False)] = 1
+        x = np.packbits(bits, axis=1).view(np.uint64).ravel()
+        assert D.within_radius(x, np.uint64(0)).all() == (n <= D.RADIUS)
+        assert D.within_radius(x, np.uint64(0)).any() == (n <= D.RADIUS)
+
+
+def test_string_ids_and_repeated_items(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    d = spark.createDataFrame([("a", f"x {item} y"), (None, item), ("b", "none")], "doc_id string, text string")
+    b = spark.createDataFrame([("k", item), ("k", item), (None, item)], "item_id string, text string")
+    assert got(D.contaminated(d, b)) == sorted([(i, k, p, 30, 1.0) for i, p in (("a", 1), (None, 0)) for k in ("k", "k", None)], key=str)
