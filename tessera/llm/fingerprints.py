@@ -14,17 +14,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
+from tessera.llm.common import sized
 from tessera.session import checkpoint
 
 K, S = 5, 2
 SKETCH = 128
 #: Bits of a position beside a 32-bit hash.
 POS = 31
-#: Documents a bucket, and the most buckets; the bucket table is broadcast, so it has a bound.
-BUCKET_ROWS, MOST_BUCKETS = 1_000, 65_536
+#: Documents that a bucket is to have, and how many times as many it may have before it is cut again.
+BUCKET_ROWS, HOT = 1_000, 8
 LEAST_ID = -(1 << 63)
+#: Adjacent blocks of ids, as a power of two, whose buckets are put in order together.
+GROUP_BITS = 12
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -98,43 +102,64 @@ def with_displacement(df: DataFrame, a: str, b: str, shift: str, aligned: str) -
     return df.withColumn(aligned, F.when(F.col(shift).isNull(), F.lit(0)).otherwise(met))
 
 
-def _bucket(doc_id: Column, cuts: list[int]) -> Column:
-    """The number of cuts below the id, by binary search."""
-    if not cuts:
-        return F.lit(0)
-    array = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
+def _bits(n: Column) -> Column:
+    return F.length(F.bin(n))
 
-    def step(a, _):
-        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-        right = (a["lo"] < a["hi"]) & (F.get(array, mid) < doc_id)
-        return F.struct(F.when(right, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(right | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
 
-    zero = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), zero, step, lambda a: a["lo"])
+def _cut(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, id, text, th, u) rows with `bucket`, an array of numbers in the order of (id, th, u), and how often hot ones were cut.
+
+    A bucket is a block of adjacent ids. Those that hold too many rows are cut by finer blocks
+    of ids, by the texts' hashes where all ids are equal, and by row where the texts are too.
+    """
+    n, lo, hi = rows.where("doc_id IS NOT NULL").agg(F.count("*"), F.min("id"), F.max("id")).first()
+    shift = max(0, ((hi - lo + 1) // max(1, n // BUCKET_ROWS)).bit_length() - 1) if n else 0
+    rows, rounds = rows.withColumn("bucket", F.array(F.shiftright("id", min(shift, 63)))), 0
+    hot = checkpoint(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT * BUCKET_ROWS).select("bucket"))
+    while not hot.isEmpty():
+        rounds += 1
+        span = lambda c: F.min(c).bitwiseXOR(F.max(c)).alias(f"{c}_span")
+        inner = rows.join(sized(hot), "bucket").groupBy("bucket").agg(F.count("*").alias("n"), span("id"), span("th"), span("u"))
+        by = F.when(F.col("id_span") != 0, "id").when(F.col("th_span") != 0, "th").otherwise("u")
+        spread = F.when(F.col("id_span") != 0, F.col("id_span")).when(F.col("th_span") != 0, F.col("th_span")).otherwise(F.col("u_span"))
+        parts = _bits(F.floor(F.col("n") / BUCKET_ROWS).cast("long"))  # cut at the first bit that differs, so each round cuts
+        rule = checkpoint(inner.select("bucket", by.alias("by"), F.greatest(_bits(spread) - parts, F.lit(0)).cast("int").alias("shift")))
+        finer = F.expr("shiftright(CASE by WHEN 'id' THEN id WHEN 'th' THEN th ELSE u END, shift)")
+        rows = rows.join(sized(rule), "bucket", "left").withColumn("bucket", F.when(F.col("by").isNull(), F.col("bucket")).otherwise(F.concat("bucket", F.array(finer)))).drop("by", "shift")
+        hot = checkpoint(rows.where(F.size("bucket") > rounds).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT * BUCKET_ROWS).select("bucket"))
+    return rows, rounds
+
+
+def _with_taker(tops: DataFrame) -> DataFrame:
+    """tops with `taker`: the next bucket in order, of the last one the first. Buckets are put in order group by group, then the groups."""
+    tops = tops.withColumn("g", F.shiftright(F.get("bucket", F.lit(0)), GROUP_BITS))
+    firsts = tops.groupBy("g").agg(F.min("bucket").alias("lo"))
+    up = Window.orderBy("g")
+    firsts = firsts.select("g", F.coalesce(F.lead("lo").over(up), F.first("lo").over(up)).alias("next"))
+    return tops.join(sized(checkpoint(firsts)), "g").withColumn("taker", F.coalesce(F.lead("bucket").over(Window.partitionBy("g").orderBy("bucket")), "next")).drop("g", "next")
 
 
 def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, id, text, bucket, order, copy): rows dealt into buckets of adjacent ids.
+    """(doc_id, id, text, th, bucket, copy): rows dealt into buckets of adjacent ids.
 
-    Within a bucket, in (copy, order) order, each row of copy 0 is followed by the next
+    Within a bucket, by copy and then id, th and u descending, each row of copy 0 is followed by the next
     document in descending id: the first rows of the next lower bucket are there again, as
-    copy 1 (of the highest bucket for the lowest). Only ids are looked at to cut the buckets.
+    copy 1 (of the highest bucket for the lowest). Only ids are looked at to cut the buckets,
+    and hashes of texts where many rows share an id.
     """
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be a whole number, so that next documents are defined; it is {kind.simpleString()}")
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = base.count()
-    n = max(1, min(MOST_BUCKETS, rows // BUCKET_ROWS))
-    cuts = []
-    if n > 1:
-        cuts = sorted(set(base.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0]))
-    base = base.withColumn("bucket", _bucket(F.col("id"), cuts))
-    tops = base.groupBy("bucket").agg(F.max("id").alias("top"))
-    up = Window.orderBy("bucket")
-    taker = F.coalesce(F.lead("bucket").over(up), F.min("bucket").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    tops = checkpoint(tops.withColumn("taker", taker))  # at most MOST_BUCKETS rows
+    base = base.withColumn("th", F.xxhash64("text")).withColumn("u", F.xxhash64(F.monotonically_increasing_id()))
+    base, rounds = _cut(base)
+    # of a bucket's rows the first goes to the one before it; rows that share its id go along, unless those may be many
+    key = F.struct("id", "th", "u") if rounds else F.col("id")
+    tops = checkpoint(_with_taker(base.groupBy("bucket").agg(F.max(key).alias("top"))))
     own = F.struct("bucket", F.lit(0).alias("copy"))
-    places = F.when(F.col("id") == F.col("top"), F.array(own, F.struct(F.col("taker").alias("bucket"), F.lit(1).alias("copy")))).otherwise(F.array(own))
-    dealt = base.join(F.broadcast(tops), "bucket").withColumn("p", F.explode(places))
-    return dealt.select("doc_id", "id", "text", F.col("p.bucket").alias("bucket"), F.col("p.copy").alias("copy"))
+    places = F.when(key == F.col("top"), F.array(own, F.struct(F.col("taker").alias("bucket"), F.lit(1).alias("copy")))).otherwise(F.array(own))
+    dealt = base.join(sized(tops), "bucket").withColumn("p", F.explode(places))
+    return dealt.select("doc_id", "id", "text", "th", "u", F.col("p.bucket").alias("bucket"), F.col("p.copy").alias("copy"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -146,14 +171,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     estimate of share_.
 
     A null text is empty: no characters, no anchors, fingerprint "". Ids in descending order,
-    null last; rows of one id in the order of their texts' hashes, so equal rows are each
+    null last; rows of one id in descending order of their texts' hashes, so equal rows are each
     other's next. A single row is its own next. The edited text has the first characters of
     the next document for its own last half. Empty tables stay empty; other columns aren't
-    looked at.
+    looked at. Ids must be whole numbers; others raise a TypeError.
     """
     dealt = with_next(docs).repartition("bucket")  # the one shuffle of the texts; anchors are taken after it
     dealt = with_anchors(dealt, "text", "a").withColumn("ka", placed(F.col("a"))).drop("a")
-    w = Window.partitionBy("bucket").orderBy("copy", F.col("id").desc(), F.xxhash64("text"), "text")
+    w = Window.partitionBy("bucket").orderBy("copy", F.col("id").desc(), F.col("th").desc(), F.col("u").desc())
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     df = dealt.select("doc_id", "copy", "text", "ka", F.lead("text").over(w).alias("nt"), F.lead("ka").over(w).alias("kn"), F.lead("doc_id").over(w).alias("next_id")).where("copy = 0")

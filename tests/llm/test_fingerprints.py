@@ -115,3 +115,26 @@ def test_all_anchors_count_with_their_positions(spark):
             assert (shift is None) == (not a & b) and n == (0 if shift is None else len({(p + shift, x) for p, x in mine} & set(other)))
     assert rows[9].next_id == 8 and rows[9].shift_next == -1300 and rows[9].aligned_next > 20 and len(rows[9].anchors) > 1000
     assert rows[8].shift_edited == 0 and rows[6].aligned_next == 1 and rows[7].aligned_next == 0 and rows[3].shift_next == 1
+
+
+def next_of(rows):
+    """The multiset of (text, next text) where documents stand by id descending, then by the text's hash descending."""
+    signed = lambda t: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(rows, key=lambda r: (r[0] if r[0] is not None else P.LEAST_ID, signed(r[1])), reverse=True)
+    return sorted((r[1], order[(j + 1) % len(order)][1]) for j, r in enumerate(order))
+
+
+def test_hot_ids_are_cut_and_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(P, "GROUP_BITS", 1)
+    rows = [(7, f"seven {i}") for i in range(90)] + [(8, "the same text")] * 70 + [(None, f"none {i}") for i in range(60)]
+    rows += [(10**12 + i, f"crowd {i}") for i in range(80)] + [(i * 10**15, f"wide {i}") for i in range(-20, 20)] + [((1 << 63) - 1, "last"), (-(1 << 63) + 1, "first")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = P.with_next(df)
+    sizes = [r["count"] for r in dealt.where("copy = 0").groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= P.HOT * 3 and dealt.count() - len(rows) == len(sizes)
+    w = P.Window.partitionBy("bucket").orderBy("copy", *[P.F.col(c).desc() for c in ("id", "th", "u")])
+    found = dealt.withColumn("nt", P.F.lead("text").over(w)).where("copy = 0").select("text", "nt").collect()
+    assert sorted(tuple(r) for r in found) == next_of(rows)
+    with pytest.raises(TypeError):
+        P.fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
