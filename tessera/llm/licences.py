@@ -31,23 +31,43 @@ BASE = [
 ]
 #: Label, passage of the licence or its notice, mandatory key phrase.
 TEMPLATES = [
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
     ("agpl", "gnu affero general public license", "affero general public license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "software distributed under the license is distributed on an as is basis"),
+    ("apache", "spdx license identifier apache 2 0", "spdx license identifier apache"),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license version 2 0"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    ("bsd", "spdx license identifier bsd", "spdx license identifier bsd"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software"),
     ("boost", "boost software license version 1 0", "boost software license"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc", "this work is licensed under a creative commons attribution license", "creative commons"),
+    ("cc0", "has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide", "dedicated the work to the public domain"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "terms of the eclipse public license"),
     ("epl", "eclipse public license", "eclipse public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", "copy of the gnu general public license"),
+    ("gpl", "spdx license identifier gpl", "spdx license identifier gpl"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
     ("gpl", "licensed under the gnu general public license version 3", "general public license"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties", "the author disclaims all warranties"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose with or without fee"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
     ("lgpl", "gnu lesser general public license", "lesser general public license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies"),
+    ("mit", "spdx license identifier mit", "spdx license identifier mit"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
     ("mit", "released under the mit license", "mit license"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl was not distributed with this file"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy modify publish use compile sell or distribute this software"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "in no event will the authors be held liable"),
 ]
 COVERAGE = 0.75
 RARE = 3
@@ -165,6 +185,8 @@ def scan(docs: DataFrame, rarity: dict[str, float] | None = None) -> DataFrame:
     of which COVERAGE or more stands in place with the key phrase whole; score is the largest
     part of a template found, 0 without any. A null text is empty; texts are scanned whole;
     repeated rows each give a row; empty tables stay empty; other columns aren't looked at.
+    Of words as rare the first in the alphabet is looked up; as every place with its key
+    phrase whole is found, that, and how rare words are, only decides how fast.
     """
     index = templates(idf(docs) if rarity is None else rarity)
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]

@@ -58,3 +58,35 @@ def test_places_without_the_rarest_words(spark):
     altered = " ".join("other" if w in changed else w for w in text.split())
     r = L.scan(spark.createDataFrame([(1, f"lead in {altered} end")], "doc_id long, text string"), rarity).first()
     assert "bsd" in r.labels.split(",") and r.score >= L.COVERAGE
+
+
+def plain_labels(text):
+    """Every position of every template is tried."""
+    w, labels, best = words(text), set(), 0.0
+    for label, passage, key in [(b, p, p) for p, b in L.BASE] + L.TEMPLATES:
+        p, k = passage.split(), key.split()
+        at = next(i for i in range(len(p)) if p[i : i + len(k)] == k)
+        for i in range(-len(p), len(w)):
+            if i + at >= 0 and w[i + at : i + at + len(k)] == k:
+                cover = sum(0 <= i + j < len(w) and w[i + j] == x for j, x in enumerate(p)) / len(p)
+                if cover >= L.COVERAGE:
+                    labels.add(label)
+                    best = max(best, cover)
+    return ",".join(sorted(labels)), best
+
+
+def test_labels_match_a_scan_of_all_positions(spark):
+    rnd = random.Random(11)
+    rows = []
+    for _, passage, _ in L.TEMPLATES * 6:
+        w = passage.split()
+        for _ in range(rnd.randint(0, len(w) // 3)):
+            w[rnd.randrange(len(w))] = rnd.choice(["other", "license", "software", "public"])
+        rows.append((len(rows), " ".join(rnd.choice(L._vocabulary()[0]) for _ in range(rnd.randint(0, 3))) + " " + " ".join(w[rnd.choice((0, 0, 0, 2)) :])))
+    want = {i: plain_labels(t) for i, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rarity in (None, {w: -float(len(w)) for w in L._vocabulary()[0]}):
+        got = {r.doc_id: (r.labels, r.score) for r in L.scan(df, rarity).collect()}
+        assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+        assert all(abs(got[i][1] - want[i][1]) < 1e-9 for i in got)
+    assert len({x[0] for x in want.values()}) > 15
