@@ -131,6 +131,61 @@ def _chain(raw: np.ndarray, eight: np.ndarray, start: np.ndarray, length: np.nda
     return h
 
 
+_P1, _P2, _P3, _P4, _P5 = (U64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Longer spans are hashed one by one.
+LONG_SPAN = 1024
+
+
+def _turn(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << U64(r)) | (x >> U64(64 - r))
+
+
+def _lane(acc: np.ndarray | np.uint64, x: np.ndarray) -> np.ndarray:
+    return _turn(acc + x * _P2, 31) * _P1
+
+
+def xxh64(text: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The XXH64 of byte spans, as the algorithm is published, all spans a step at a time."""
+    n, seed_ = len(text), U64(seed)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = text
+    eight = np.ndarray(n + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
+    with np.errstate(over="ignore"):
+        h, at = length.astype(np.uint64) + (seed_ + _P5), np.zeros(len(start), np.int64)
+        long = np.flatnonzero((length >= 32) & (length <= LONG_SPAN))
+        if len(long):
+            acc = [np.full(len(long), seed_ + x) for x in (_P1 + _P2, _P2, U64(0), U64(0) - _P1)]
+            go, s, rest, pos = np.arange(len(long)), start[long], length[long], 0
+            while len(go):
+                for j in range(4):
+                    acc[j][go] = _lane(acc[j][go], eight[s[go] + (pos + 8 * j)])
+                pos += 32
+                go = go[rest[go] - pos >= 32]
+            g = _turn(acc[0], 1) + _turn(acc[1], 7) + _turn(acc[2], 12) + _turn(acc[3], 18)
+            for j in range(4):
+                g = (g ^ _lane(U64(0), acc[j])) * _P1 + _P4
+            h[long], at[long] = g + rest.astype(np.uint64), rest // 32 * 32
+        go = np.flatnonzero((length - at >= 8) & (length <= LONG_SPAN))
+        while len(go):
+            h[go] = _turn(h[go] ^ _lane(U64(0), eight[start[go] + at[go]]), 27) * _P1 + _P4
+            at[go] += 8
+            go = go[length[go] - at[go] >= 8]
+        go = np.flatnonzero((length - at >= 4) & (length <= LONG_SPAN))
+        h[go] = _turn(h[go] ^ ((eight[start[go] + at[go]] & _KEEP[4]) * _P1), 23) * _P2 + _P3
+        at[go] += 4
+        go = np.flatnonzero((length > at) & (length <= LONG_SPAN))
+        while len(go):
+            h[go] = _turn(h[go] ^ (padded[start[go] + at[go]].astype(np.uint64) * _P5), 11) * _P1
+            at[go] += 1
+            go = go[length[go] > at[go]]
+        h = (h ^ (h >> U64(33))) * _P2
+        h = (h ^ (h >> U64(29))) * _P3
+        h = h ^ (h >> U64(32))
+    for i in np.flatnonzero(length > LONG_SPAN).tolist():
+        h[i] = xxhash.xxh64_intdigest(text[start[i] : start[i] + length[i]].tobytes(), seed)
+    return h
+
+
 def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of each pair of neighbouring sequences, of theirs."""
     with np.errstate(over="ignore"):

@@ -18,7 +18,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +44,7 @@ def _fingerprint_rows(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> np.
     at = np.arange(len(row)) - np.repeat(np.cumsum(n_sh) - n_sh, n_sh)
     a = words.first[:-1][row] + at
     b = np.minimum(a + shingle, words.first[1:][row]) - 1
-    digest, seed = xxhash.xxh64_intdigest, SEED
-    h = np.fromiter((digest(text[i:j], seed) for i, j in zip(starts[a].tolist(), ends[b].tolist())), np.uint64, len(a))
+    h = K.xxh64(np.frombuffer(text, np.uint8), starts[a], ends[b] - starts[a], SEED)
     full = np.flatnonzero(n_sh)
     first = (np.cumsum(n_sh) - n_sh)[full]
     ones = np.zeros((len(full), 64), np.int64)
