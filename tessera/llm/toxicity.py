@@ -76,8 +76,22 @@ def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
 
 
+def risk_gradient(w: np.ndarray, bias: float, xp: np.ndarray, xu: np.ndarray, prior: float, decay: float) -> tuple[np.ndarray, float]:
+    """The step's direction (weights, then bias) and the corrected risk of calling U clean.
+
+    Where that is not negative, the direction is the gradient of the whole risk, else away
+    from the gradient of that part alone, as the non-negative estimator has it.
+    """
+    zp, zu = xp @ w + bias, xu @ w + bias
+    sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
+    rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    g_pos, away_p, away_u = prior * (sp - 1) / len(xp), -prior * sp / len(xp), su / len(xu)
+    g_p, g_u = (g_pos + away_p, away_u) if rest >= 0 else (-away_p, -away_u)
+    return np.append(g_p @ xp + g_u @ xu + decay * w, g_p.sum() + g_u.sum()), rest
+
+
 def _telling(row: np.ndarray, col: np.ndarray, n_p: int, n: int, most: int, least_z: float) -> np.ndarray:
-    """The features that P has in more documents than U, beyond chance, the strongest first."""
+    """The features that P has in more documents than U, beyond chance, the strongest first; of equally strong ones at the bound the lowest numbers."""
     in_p, in_u = (np.bincount(col[m], minlength=1 << BITS) for m in (row < n_p, row >= n_p))
     share = (in_p + in_u) / n
     z = (in_p / n_p - in_u / (n - n_p)) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / (n - n_p)) + 1e-12)
@@ -111,12 +125,7 @@ def fit(toxic: list[str], unlabelled: list[str], prior: float, steps: int = 800,
     order_p, order_u = (np.concatenate([rng.permutation(m) for _ in range(-(-steps * batch // m))]) for m in (n_p, n - n_p))
     for k in range(steps):
         xp, xu = x[order_p[k * batch : (k + 1) * batch]], x[n_p + order_u[k * batch : (k + 1) * batch]]
-        zp, zu = xp @ w + bias, xu @ w + bias
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_pos, away_p, away_u = prior * (sp - 1) / len(xp), -prior * sp / len(xp), su / len(xu)
-        g_p, g_u = (g_pos + away_p, away_u) if rest >= 0 else (-away_p, -away_u)
-        grad = np.append(g_p @ xp + g_u @ xu + decay * w, g_p.sum() + g_u.sum())
+        grad, _ = risk_gradient(w, bias, xp, xu, prior, decay)
         t += 1
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.999 * m2 + 0.001 * grad * grad
@@ -141,7 +150,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 2_000, most_unla
     """A model of at most so many documents, the first by a hash of the id, each up to most_chars characters.
 
     Labels count only of rows that aren't held out, and text only of such documents. The
-    class prior is the toxic share of the labels.
+    class prior is the toxic share of the labels. An id with several labels is toxic if one
+    says so; of ids with one hash the smaller goes first.
     """
     mine = lambda df: df.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = mine(labels).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -159,8 +169,8 @@ def scores(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
     """The kept columns, score (0 to 1, higher: toxic likelier) and predicted (1 from THRESHOLD on), a row of docs each.
 
     A null or empty text has the score of a text without features, the bias alone. Texts are
-    scored whole; repeated rows each give a row; clashing columns are replaced; empty tables
-    stay empty.
+    scored whole; repeated rows each give a row, and equal texts equal scores; clashing columns
+    are replaced; empty tables stay empty.
     """
     keep = [c for c in keep if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights

@@ -1,5 +1,7 @@
 """Operator 1: targets against the iterative reading of the contract; takes near targets."""
 
+import math
+import random
 import re
 from collections import defaultdict
 
@@ -72,3 +74,28 @@ def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mix(df, columns=["doc_id"]).collect()
     assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+
+
+def plain_rate(sizes, target, cap=2.0):
+    """The tilt whose tokens meet the target, by bisection, and the rate of each size at it."""
+    mean = sum(sizes) / len(sizes)
+    at = lambda lam, n: cap / (1 + math.exp(max(-60.0, min(60.0, -lam * n / mean))))
+    lo, hi = -60.0 * mean, 60.0 * mean
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(n * at(mid, n) for n in sizes) < target else (lo, mid)
+    return {n: at((lo + hi) / 2, n) for n in set(sizes)}
+
+
+def test_rates_meet_the_targets_by_one_tilt_a_source(spark):
+    rnd = random.Random(4)
+    rows = [(i, "w " * int(rnd.lognormvariate(3, 1)), f"s{rnd.choice((0, 0, 0, 1, 1, 2, 3))}") for i in range(400)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), columns=["doc_id", "source"]).collect()
+    for source in {r.source for r in got}:
+        mine = [r for r in got if r.source == source and r["size"]]
+        target = mine[0].target
+        if target < 2 * mine[0].source_size - 1e-6:
+            want = plain_rate([r["size"] for r in mine], target)
+            assert all(r.rate == pytest.approx(want[r["size"]], abs=1e-4) for r in mine)
+        else:
+            assert all(r.rate == pytest.approx(2.0) and r.copies == 2 for r in mine)
