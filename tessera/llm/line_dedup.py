@@ -182,7 +182,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame
     key = first.select("lh", F.explode(F.array_compact(F.array(*_KEYS))).alias("k"))
     again = store(key.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k"))
     shares = key.join(again, "k").select("lh").distinct()
-    where = first.join(shares, "lh").select("lh", "first", "none")
+    where = store(first.join(shares, "lh").select("lh", "first", "none"))  # so that both sides of the next join are plain exchanges
     coords = store(lines.join(where, "lh").where(~_after_first()).select("doc_id", "th", "line_no"))
     cand = _candidates(docs, coords).dropDuplicates(["lh"])  # rows of one document agree
     # ranks follow the order of (document, line): partitions are ranges, and ids grow within and along them
