@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, language_id, line_dedup, mixing, simhash_dedup
-from tessera.session import store, table
+from tessera.session import in_steps, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,5 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after the other, over documents; each result is written to the shared folder as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir))
-    return docs
+    step = lambda stage: lambda docs: stage(spark, docs, sf_dir)
+    return in_steps(table(spark, sf_dir, "documents"), [step(stage) for _, stage in STAGES])
