@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructType
 
 #: Query vectors are taken in blocks of so many, each sent to the tasks with the closure.
 QUERY_BLOCK = 1_000
@@ -30,21 +32,26 @@ def similarities(queries: list[tuple[object, list[float]]], rows: DataFrame, lea
     One matrix product a batch of rows and block of queries; rows that miss every query never leave the task.
     """
     kind = rows.select(*keep).schema
+    id_type = pa.array([q for q, _ in queries]).type if queries else pa.int64()
+    schema = StructType().add("query_id", from_arrow_type(id_type))
+    for f in kind:
+        schema = schema.add(f)
+    schema = schema.add("cosine", "double")
     out = None
-    for i in range(0, len(queries), QUERY_BLOCK):
-        ids = [q for q, _ in queries[i : i + QUERY_BLOCK]]
+    for i in range(0, max(1, len(queries)), QUERY_BLOCK):
+        ids = pa.array([q for q, _ in queries[i : i + QUERY_BLOCK]], id_type)
         matrix = np.array([v for _, v in queries[i : i + QUERY_BLOCK]], np.float64).T
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v = batch.column(len(keep))
-                x = np.asarray(v.flatten(), np.float64).reshape(len(batch), -1)
+                if not len(batch) or not len(ids):
+                    continue
+                x = np.asarray(batch.column(len(keep)).flatten(), np.float64).reshape(len(batch), -1)
                 score = x @ matrix
                 r, q = np.nonzero(score >= least)
                 take = pa.array(r)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in q.tolist()], pa.int64()), *[batch.column(j).take(take) for j in range(len(keep))], pa.array(score[r, q])], ["query_id", *keep, "cosine"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), *[batch.column(j).take(take) for j in range(len(keep))], pa.array(score[r, q])], ["query_id", *keep, "cosine"])
 
-        fields = ", ".join(["query_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in kind), "cosine double"])
-        part = rows.where(F.col(vector).isNotNull()).select(*keep, vector).mapInArrow(run, fields)
+        part = rows.where(F.col(vector).isNotNull()).select(*keep, vector).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out

@@ -9,6 +9,7 @@ are walked line by line inside Arrow batches, a document at a time, without a sh
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -284,31 +285,28 @@ def faq_pairs(text: str) -> Iterator[dict]:
 
 
 _VISUAL = re.compile(r"\[VISUAL DESCRIPTION\](.*?)\[/VISUAL DESCRIPTION\]", re.S)
+_BREAK = re.compile(r"(?<=[.!?])\s+|\n{2,}")
+
+
+def _windows(text: str, most: int) -> Iterator[str]:
+    """text in pieces of up to `most` characters, each as long as it can be to end at a break, else of `most`."""
+    breaks = [m.end() for m in _BREAK.finditer(text)]
+    begin = 0
+    while begin < len(text):
+        i = bisect_right(breaks, begin + most)
+        end = breaks[i - 1] if i and breaks[i - 1] > begin else begin + most
+        yield text[begin:end]
+        begin = end
 
 
 def other_chunks(text: str, most: int = 1200) -> Iterator[dict]:
-    """Visual descriptions whole, other text cut at its last sentence end or blank line within `most` characters."""
-    pieces: list[tuple[bool, str]] = []
-    at = 0
-    for m in [*_VISUAL.finditer(text), None]:
-        plain = text[at : m.start() if m else len(text)]
-        if plain.strip():
-            ends = sorted({x.end() for x in re.finditer(r"(?<=[.!?])\s+|\n{2,}", plain)} | {x.end() for x in re.finditer(r"\n{2,}", plain)})
-            a = 0
-            while a < len(plain):
-                stop = min(a + most, len(plain))
-                fit = [e for e in ends if a < e <= stop]
-                b = fit[-1] if fit else stop
-                pieces.append((False, plain[a:b]))
-                a = b
-        if m:
-            pieces.append((True, m[1]))
-            at = m.end()
-    n = 0
-    for visual, piece in pieces:
-        if len(piece := piece.strip()) >= LEAST:
-            n += 1
-            yield {"section": f"{'Visual' if visual else 'Section'} {n}", "content": piece}
+    """Visual descriptions whole, the text between them in windows that end at a sentence's end or a blank line."""
+    number = 0
+    for i, part in enumerate(_VISUAL.split(text)):  # every second part is a description
+        for piece in [part] if i % 2 else _windows(part, most):
+            if len(piece := piece.strip()) >= LEAST:
+                number += 1
+                yield {"section": f"{'Visual' if i % 2 else 'Section'} {number}", "content": piece}
 
 
 def _walk(docs: DataFrame, parser: Callable[[str], Iterator[dict]]) -> DataFrame:

@@ -148,5 +148,14 @@ def correction_route(agent: Column) -> Column:
     return F.when(agent == "form_mapping", "mapping").when(agent == "retrieval", "retrieval").when(agent == "generation", "prompt").otherwise("none")
 
 
-def stats(failures: DataFrame) -> DataFrame:
-    return failures.agg(F.count("*").alias("total"), F.count_if(F.size("auto_issues") == 0).alias("without_issue"))
+def stats(failures: DataFrame, latest: int = 5) -> DataFrame:
+    """One row: total, without_issue, counts (type, n and share of all failures, by type) and the latest failures, newest first.
+
+    failures: (query_hash, query, root_agent, auto_issues, ts).
+    """
+    each = failure_rates(failures).agg(F.array_sort(F.collect_list(F.struct("type", "n"))).alias("counts"))
+    last = recent(failures, latest).select(F.struct("ts", "query_hash", F.left("query", F.lit(80)).alias("query"), "root_agent", F.transform("auto_issues", lambda i: i["type"]).alias("issues")).alias("r"))
+    last = last.agg(F.transform(F.sort_array(F.collect_list("r"), False), lambda r: F.struct(r["query"].alias("query"), r["root_agent"].alias("root_agent"), r["issues"].alias("issues"), r["ts"].alias("ts"))).alias("recent"))
+    total = failures.agg(F.count("*").alias("total"), F.count_if(F.size("auto_issues") == 0).alias("without_issue"))
+    share = F.transform("counts", lambda c: F.struct(c["type"].alias("type"), c["n"].alias("n"), F.try_divide(c["n"], F.col("total")).alias("share")))
+    return total.join(F.broadcast(each)).join(F.broadcast(last)).select("total", "without_issue", share.alias("counts"), "recent")  # a row each

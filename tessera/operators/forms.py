@@ -115,3 +115,55 @@ def classifier_patches(patches: DataFrame) -> DataFrame:
     return kept.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "patch_text"))), lambda x: F.concat(F.lit("- "), x["patch_text"])), "\n").alias("block"))
 
 
+# ---- resolved forms that are kept, and queries that were rated down ----
+
+#: Resolutions that are kept; the oldest go first.
+KEPT = 200
+
+
+def cache_key(query: Column, lang: Column, user: Column) -> Column:
+    """One key for keeping, invalidating and clearing: the user, a query's first 100 characters, the language."""
+    some = lambda c: F.coalesce(c, F.lit(""))
+    return F.md5(F.concat(some(user), F.lit(":"), F.left(some(query), F.lit(100)), F.lit("_"), some(lang)).cast("binary"))
+
+
+def _keys(queries: DataFrame) -> DataFrame:
+    return queries.select(cache_key(F.col("text"), F.col("lang"), F.col("user")).alias("cache_key")).distinct()
+
+
+def invalidate(kept: DataFrame, negatives: DataFrame, down: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, negatives) after queries (text, lang, user) were rated down: their resolutions go, their keys are flagged once."""
+    keys = _keys(down)
+    return kept.join(keys, "cache_key", "left_anti").select(*kept.columns), negatives.select("cache_key").unionByName(keys).distinct()
+
+
+def clear_negative(negatives: DataFrame, up: DataFrame) -> DataFrame:
+    """negatives without the keys of queries (text, lang, user) that were rated up."""
+    return negatives.join(_keys(up), "cache_key", "left_anti")
+
+
+def remember(kept: DataFrame, new: DataFrame, most: int = KEPT) -> DataFrame:
+    """kept (cache_key, path, form_id, seq) with new rows, which replace those of their key in its place; of more than `most` the oldest go."""
+    old = kept.join(new.select("cache_key", F.col("path").alias("p"), F.col("form_id").alias("f")), "cache_key", "left")
+    old = old.select("cache_key", F.coalesce("p", "path").alias("path"), F.when(F.col("p").isNotNull(), F.col("f")).otherwise(F.col("form_id")).alias("form_id"), "seq")
+    every = old.unionByName(new.join(kept, "cache_key", "left_anti").select(*old.columns))
+    return every.orderBy(F.desc("seq"), "cache_key").limit(most)
+
+
+def resolve_kept(queries: DataFrame, kept: DataFrame, negatives: DataFrame, intents: DataFrame, freq: DataFrame, forms: DataFrame, overrides: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(resolved, negatives): first forms as of resolve(), kept ones first, of queries (query_id, text, lang, user, seq).
+
+    A kept resolution counts unless its key is flagged; a stored correction counts only where
+    it is, and clears the flag when it leads to forms. resolved: (query_id, cache_key, seq,
+    was_kept, path, form_id).
+    """
+    q = queries.withColumn("cache_key", cache_key(F.col("text"), F.col("lang"), F.col("user")))
+    flagged = q.join(negatives, "cache_key", "left_semi")
+    hits = q.join(negatives, "cache_key", "left_anti").join(kept.select("cache_key", "path", "form_id"), "cache_key")
+    todo = q.join(hits.select("query_id"), "query_id", "left_anti")
+    fixable = flagged.select(query_hash(F.col("text")).alias("query_hash")).distinct()
+    fixes = corrections.join(fixable, "query_hash", "left_semi")
+    new = resolve(todo.select("query_id", "text"), intents, freq, forms, overrides, fixes).where("rank IS NULL OR rank = 1").select("query_id", "path", "form_id")
+    out = hits.withColumn("was_kept", F.lit(True)).unionByName(todo.join(new, "query_id").withColumn("was_kept", F.lit(False)))
+    cured = flagged.withColumn("query_hash", query_hash(F.col("text"))).join(fixes, "query_hash", "left_semi").join(new.where("path = 'agent'"), "query_id", "left_semi")
+    return out.select("query_id", "cache_key", "seq", "was_kept", "path", "form_id"), negatives.join(cured.select("cache_key"), "cache_key", "left_anti")

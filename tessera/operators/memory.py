@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -127,19 +131,26 @@ def conversation_text(messages: DataFrame) -> DataFrame:
 def accepted_hits(hits: DataFrame, limit: int = 20, window: int = 60, by: str = "user", ts: str = "ts", order: str = "seq") -> DataFrame:
     """hits with accepted: fewer than `limit` accepted ones of the user in the `window` seconds before; refused ones don't count.
 
-    What is accepted depends on what was, so a user's hits are folded in order.
+    What is accepted depends on what was, so a user's hits are walked in order: sorted within
+    partitions, batch by batch. Only the accepted times of one window are held, however many
+    hits a user has; one user's hits are one task's, as each depends on the one before.
     """
     schema = StructType([*hits.schema.fields, StructField("accepted", BooleanType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
-        held: list = []
-        out = []
-        for t in pdf[ts]:
-            held = [h for h in held if (t - h).total_seconds() < window]
-            ok = len(held) < limit
-            held += [t] if ok else []
-            out.append(ok)
-        return pdf.assign(accepted=out)
-
-    return hits.groupBy(by).applyInPandas(fold, schema)
+    at, who = hits.columns.index(ts), hits.columns.index(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, held = object(), deque()
+        for batch in batches:
+            out = []
+            times = batch.column(at).cast(pa.timestamp("us", batch.column(at).type.tz)).cast(pa.int64()).to_pylist()
+            for u, t in zip(batch.column(who).to_pylist(), times):
+                if u != user:
+                    user, held = u, deque()
+                while held and t - held[0] >= window * 1_000_000:
+                    held.popleft()
+                out.append(len(held) < limit)
+                if out[-1]:
+                    held.append(t)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, "accepted"])
+
+    return hits.repartition(by).sortWithinPartitions(by, ts, order).mapInArrow(run, schema)

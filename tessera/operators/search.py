@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.functions.vectors import similarities
-from tessera.session import store
+from tessera.session import small, store
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 WEIGHT, THRESHOLD, PER_SOURCE, OVERALL, PENALTY = 0.2, 0.35, 4, 12, 0.4
@@ -46,7 +46,8 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def term_stats(chunks: DataFrame, posts: DataFrame) -> DataFrame:
     """(source_key, term, df, n_chunks, avgdl, idf): Okapi idf, negative ones raised to EPSILON times the source's mean."""
-    size = chunks.groupBy("source_key").agg(F.count("*").alias("n_chunks"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl"))
+    words = posts.groupBy("source_key").agg(F.sum("tf").alias("words"))  # so that texts are cut into words only once
+    size = chunks.groupBy("source_key").agg(F.count("*").alias("n_chunks")).join(words, "source_key").withColumn("avgdl", F.col("words") / F.col("n_chunks")).drop("words")
     df = posts.groupBy("source_key", "term").agg(F.count("*").alias("df")).join(size, "source_key")
     raw = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean = df.groupBy("source_key").agg(F.avg(raw).alias("mean"))
@@ -58,7 +59,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, posts: DataFrame | None = None,
     posts = store(postings(chunks)) if posts is None else posts  # read twice below
     stats = term_stats(chunks, posts) if stats is None else stats
     q = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hit = posts.join(q, "term").join(stats.select("source_key", "term", "avgdl", "idf"), ["source_key", "term"])
+    hit = posts.join(small(store(q)), "term").join(stats.select("source_key", "term", "avgdl", "idf"), ["source_key", "term"])
     score = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query_id", "source_key", "chunk_no").agg(F.sum(score).alias("bm25"))
 
@@ -68,7 +69,7 @@ def _top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank")
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD, weight: float = WEIGHT, boosts: DataFrame | None = None) -> DataFrame:
-    """(query_id, source_key, chunk_no, score) of candidates at the threshold or over it.
+    """(query_id, source_key, chunk_no, digest, score) of candidates at the threshold or over it; digest: of the text, which is left where it is.
 
     queries: (query_id, text, lang, embedding), a stated set, whose vectors are gathered.
     score = (1-w) cosine + w bm25 / the source's best; w is 0 for Malay queries; chunks on
@@ -79,8 +80,9 @@ def hybrid(queries: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD,
     vectors = [(r.query_id, r.embedding) for r in queries.select("query_id", "embedding").where("embedding IS NOT NULL").collect()]
     most_boost = 0.0 if boosts is None else max(0.0, boosts.agg(F.max("delta")).first()[0] or 0.0)
     floor = (threshold - weight - most_boost) / (1 - weight)
-    keep = ["source_key", "chunk_no", "text"] + (["section"] if boosts is not None else [])
-    near = similarities(vectors, chunks, floor - 1e-9, keep)
+    keep = ["source_key", "chunk_no", "digest", "clbg"] + (["section"] if boosts is not None else [])
+    rows = chunks.withColumns({"digest": F.unhex(F.md5(F.col("text").cast("binary"))), "clbg": T.mentions_clbg(F.col("text"))})
+    near = similarities(vectors, rows, floor - 1e-9, keep)
     words = bm25(queries, chunks)
     best = words.groupBy("query_id", "source_key").agg(F.max("bm25").alias("best"))
     words = words.join(best, ["query_id", "source_key"])
@@ -88,12 +90,12 @@ def hybrid(queries: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD,
     q = queries.select("query_id", F.when(F.col("lang") == "ms", 0.0).otherwise(weight).alias("w"), T.mentions_clbg(F.col("text")).alias("asks"), T.query_hash(F.col("text")).alias("query_hash"))
     df = near.join(words, ["query_id", "source_key", "chunk_no"], "left").join(q, "query_id")
     score = (1 - F.col("w")) * F.col("cosine") + F.col("w") * lexical
-    score = F.when(~F.col("asks") & T.mentions_clbg(F.col("text")), score * PENALTY).otherwise(score)
+    score = F.when(~F.col("asks") & F.col("clbg"), score * PENALTY).otherwise(score)
     if boosts is not None:
         b = boosts.select("query_hash", T.normal_section(F.col("section_parent")).alias("sec"), "delta")
         df = df.withColumn("sec", T.normal_section(F.col("section"))).join(b, ["query_hash", "sec"], "left")
         score = score + F.coalesce("delta", F.lit(0.0))
-    return df.withColumn("score", score).where(F.col("score") >= threshold).select("query_id", "source_key", "chunk_no", "text", "score")
+    return df.withColumn("score", score).where(F.col("score") >= threshold).select("query_id", "source_key", "chunk_no", "digest", "score")
 
 
 def prune_sources(queries: DataFrame, sources: DataFrame, selected: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
@@ -105,7 +107,7 @@ def prune_sources(queries: DataFrame, sources: DataFrame, selected: list[str] |
         s = s.where(F.col("category").isin(categories))
     q = queries.select("query_id", T.detect_act(F.col("text")).alias("act"))
     fits = F.col("act").isNull() | (F.size("relates_to_acts") <= 0) | F.array_contains("relates_to_acts", F.col("act"))
-    return q.join(s, fits).select("query_id", F.col("key").alias("source_key"))
+    return q.join(small(s.select("key", "relates_to_acts")), fits).select("query_id", F.col("key").alias("source_key"))
 
 
 def search(queries: DataFrame, chunks: DataFrame, allowed: DataFrame | None = None, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -118,8 +120,9 @@ def search(queries: DataFrame, chunks: DataFrame, allowed: DataFrame | None = No
         hits = hits.join(allowed, ["query_id", "source_key"], "left_semi")
     order = [F.desc("score"), "source_key", "chunk_no"]
     hits = _top(hits, ["query_id", "source_key"], order, PER_SOURCE, "in_source")
-    hits = _top(hits.withColumn("digest", F.md5(F.col("text").cast("binary"))), ["query_id", "digest"], order, 1, "copy")
-    return _top(hits, ["query_id"], order, OVERALL).select("query_id", "rank", "source_key", "chunk_no", "score", "text")
+    hits = _top(hits, ["query_id", "digest"], order, 1, "copy")
+    best = store(_top(hits, ["query_id"], order, OVERALL).select("query_id", "rank", "source_key", "chunk_no", "score"))
+    return small(best).join(chunks.select("source_key", "chunk_no", "text"), ["source_key", "chunk_no"]).select("query_id", "rank", "source_key", "chunk_no", "score", "text")
 
 
 def summary(ranked: DataFrame, sources: DataFrame) -> DataFrame:
@@ -146,25 +149,34 @@ def dedupe_exact(docs: DataFrame, order: list[str], text: str = "text") -> DataF
 def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b, jaccard): pairs of classes of equal token sets, by their smallest keys, whose overlap is over `least`.
 
-    A prefix-filtered set join: tokens are ordered from rare to frequent, and two sets over
-    the bound share one of their first |s| - ceil(least |s|) + 1 tokens. Rows of equal sets
-    are one class and never paired.
+    A prefix-filtered set join: tokens are numbered from rare to frequent, and two sets over
+    the bound share one of their first |s| - ceil(least |s|) + 1 tokens. What a pair shares of
+    these, and what may still follow the last of them, must suffice for the overlap; only
+    then are the sets compared. Rows of equal sets are one class and never paired.
     """
     sets = docs.select(key, F.array_sort(F.array_distinct(T.tokens(F.col(text)))).alias("t")).where(F.size("t") > 0)
-    classes = store(sets.groupBy("t").agg(F.min(key).alias("k")))
-    words = classes.select("k", F.size("t").alias("n"), F.explode("t").alias("term"))
-    df = words.groupBy("term").agg(F.count("*").alias("df"))
-    ranked = words.join(df, "term").withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("df", "term")))
-    prefix = store(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("k", "n", "term", "at"))
+    classes = store(sets.groupBy(F.unhex(F.md5(F.array_join("t", " "))).alias("digest")).agg(F.min(key).alias("k"), F.any_value("t").alias("t")).select("k", "t"))
+    words = classes.select("k", F.explode("t").alias("term"))
+    # numbers follow (df, term): partitions are ranges, and ids grow within and along them
+    number = store(words.groupBy("term").agg(F.count("*").alias("df")).orderBy("df", "term").select("term", "df", F.monotonically_increasing_id().alias("no")))
+    # a token of one set only is shared with none: it counts by its absence
+    numbered = words.join(number.where("df > 1"), "term").groupBy("k").agg(F.array_sort(F.collect_list("no")).alias("s"))
+    numbered = store(classes.select("k", F.size("t").alias("n")).join(numbered, "k"))
+    n, own = F.col("n"), F.col("n") - F.size("s")  # own tokens come first in the order, as they are the rarest
+    longest = n - F.ceil(n * least) + 1
+    prefix = store(numbered.withColumn("own", own).select("k", "n", "own", F.posexplode(F.slice("s", 1, F.greatest(longest - own, F.lit(0)).cast("int"))).alias("pos", "no")).select("k", "n", (F.col("own") + F.col("pos") + 1).alias("at"), "no"))
     a, b = prefix.alias("a"), prefix.alias("b")
+    need = least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9
     size = (F.col("a.n") * least <= F.col("b.n")) & (F.col("b.n") * least <= F.col("a.n"))
-    # what may still be shared from here on must suffice for the overlap
-    left = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    size = size & (F.least("a.at", "b.at") - 1 + left >= least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9)
-    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.k") < F.col("b.k")) & size).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    full = pairs.join(classes.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(classes.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return full.select("a", "b", (both / (F.size("ta") + F.size("tb") - both)).alias("jaccard")).where(F.col("jaccard") > least)
+    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    size = size & (F.least("a.at", "b.at") + left >= need)
+    met = a.join(b, (F.col("a.no") == F.col("b.no")) & (F.col("a.k") < F.col("b.k")) & size)
+    last = met.groupBy(F.col("a.k").alias("a"), F.col("b.k").alias("b")).agg(F.count("*").alias("c"), F.max("a.at").alias("i"), F.max("b.at").alias("j"), F.max("a.n").alias("na"), F.max("b.n").alias("nb"))
+    enough = F.col("c") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = last.where(enough).select("a", "b", "na", "nb")
+    full = pairs.join(numbered.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(numbered.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return full.select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard")).where(F.col("jaccard") > least)
 
 
 # ---- embedding cache and index lifecycle ----
@@ -200,6 +212,12 @@ def index_status(sources: DataFrame, indexed: DataFrame, processed: DataFrame, l
     return s.select("key", F.when(F.col("loaded"), "ready").when(F.col("cached"), "cached").when(F.col("done"), "not_indexed").otherwise("needs_preprocess").alias("status"))
 
 
+def sound(indexed: DataFrame, version: int = 3) -> DataFrame:
+    """(key, state) of indexes (key, version, n_chunks, n_vectors, n_terms): sound, stale (another version), without_terms or torn (chunks and vectors differ); all but sound ones are built again."""
+    state = F.when(~F.col("version").eqNullSafe(F.lit(version)), "stale").when(F.coalesce("n_terms", F.lit(0)) == 0, "without_terms").when(~F.col("n_vectors").eqNullSafe(F.col("n_chunks")), "torn").otherwise("sound")
+    return indexed.select("key", state.alias("state"))
+
+
 def build_index(chunks: DataFrame, path: str, version: int = 3) -> None:
     """Write chunks, postings and statistics below path, partitioned by source; a rebuild replaces its sources only."""
     posts = postings(chunks)
