@@ -4,7 +4,8 @@
     python -m tessera.cli scan ROOT
     python -m tessera.cli process ROOT TEXTS OUT [--key KEY] [--force] [--overrides FILE]
 
-TEXTS is a Parquet table (key, text) of what readers got from the files.
+TEXTS is a Parquet table (key, text) of what a reader got from PDF files; CSV and presentation
+files are read here.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def process(spark: SparkSession, root: str, texts: str, out: str, key: str | Non
     keys = spark.read.parquet(out).select("source_key").distinct().collect() if there else []  # a row a source
     done = spark.createDataFrame(keys, "key string")
     todo = registry.unprocessed(sources, done, force)
-    chunks, report = registry.process(todo, spark.read.parquet(texts))
+    chunks, report = registry.process(todo, spark.read.parquet(texts), registry.read_external(spark, todo), registry.read_presentations(spark, todo))
     report = spark.createDataFrame(report.collect(), report.schema)  # a row a source, before the chunks change what is done
     registry.write_chunks(chunks, out)
     skipped = sources.join(todo.select("key"), "key", "left_anti").select("key", F.lit("skipped").alias("status"), F.lit(0).cast("long").alias("n"))

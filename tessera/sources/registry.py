@@ -10,7 +10,10 @@ from pyspark.sql.window import Window
 
 from tessera.functions import constants as C
 from tessera.functions import text as T
-from tessera.operators.chunking import CHUNK_COLUMNS, LEAST, parse
+from tessera.functions.models import TextModel, VisionModel
+from tessera.operators.chunking import CHUNK_COLUMNS, LEAST, parse, parse_slides
+from tessera.operators.generation import chunks_of_images
+from tessera.sources.extract import read_slides
 
 SOURCE_SCHEMA = "key string, name string, category string, type string, doc_type string, enabled boolean, relates_to_acts array<string>, url string, local_path string"
 
@@ -43,7 +46,7 @@ def overrides(spark: SparkSession, path: str) -> DataFrame:
 def override_defaults(raw: DataFrame) -> DataFrame:
     df = raw.where("_note IS NULL AND _comment IS NULL AND key IS NOT NULL") if "_note" in raw.columns else raw
     some = lambda c, d: F.coalesce(c, F.lit(d)).alias(c)
-    return df.select("key", F.coalesce("name", "key").alias("name"), some("category", ""), some("type", "pdf"), some("doc_type", "act"), some("enabled", True), F.coalesce("relates_to_acts", F.array().cast("array<string>")).alias("relates_to_acts"), "url", "local_path")
+    return df.select("key", F.coalesce("name", "key").alias("name"), some("category", ""), F.when(F.col("type").isin(C.SOURCE_TYPES), F.col("type")).otherwise("pdf").alias("type"), some("doc_type", "act"), some("enabled", True), F.coalesce("relates_to_acts", F.array().cast("array<string>")).alias("relates_to_acts"), "url", "local_path")
 
 
 def merge(folder: DataFrame, json: DataFrame) -> DataFrame:
@@ -65,6 +68,13 @@ def enabled(sources: DataFrame) -> DataFrame:
     return sources.where("enabled").orderBy("category", "name")
 
 
+def by_category(sources: DataFrame) -> DataFrame:
+    """(category, names) of enabled sources, in order of their names; known categories without any have an empty array."""
+    known = sources.sparkSession.createDataFrame([(c,) for c in C.CATEGORIES], "category string")
+    names = sources.where("enabled").groupBy("category").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return known.join(names, "category", "full_outer").select("category", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+
+
 def get(sources: DataFrame, key: str) -> DataFrame:
     return sources.where(F.col("key") == key)
 
@@ -116,10 +126,54 @@ def external_chunks(df: DataFrame, key: str, name: str) -> DataFrame:
     return out.where(F.length("content") >= LEAST)
 
 
-def process(sources: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunks, report): texts (key, text) of sources by the parser of their type. report: (key, status, n), ok or failed."""
-    docs = sources.join(texts, "key").select(F.col("key").alias("source_key"), F.col("name").alias("source_name"), "doc_type", "text")
-    chunks = parse(docs)
+def read_external(spark: SparkSession, sources: DataFrame) -> DataFrame | None:
+    """The rows of CSV sources' files as chunks, with row_no in file order; files without a content column have none. One read a file."""
+    out = None
+    for r in sources.where("type = 'csv' AND local_path IS NOT NULL").collect():  # a row a source
+        df = spark.read.csv(r.local_path, header=True, multiLine=True, quote='"', escape='"')
+        if any(c.lower() in ("content", "text", "body") for c in df.columns):
+            part = external_chunks(df, r.key, r.name).withColumn("row_no", F.monotonically_increasing_id())
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def read_presentations(spark: SparkSession, sources: DataFrame) -> DataFrame | None:
+    """The slides of presentation sources' files."""
+    files = sources.where("type = 'pptx' AND local_path IS NOT NULL").select("key", "local_path")
+    paths = [r.local_path for r in files.collect()]  # a row a source
+    if not paths:
+        return None
+    read = spark.read.format("binaryFile").load(paths)
+    name = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return read_slides(read.join(files, name(F.col("path")) == name(F.col("local_path"))).select("key", "content"))
+
+
+def route(sources: DataFrame) -> DataFrame:
+    """sources with `route`: how each is read, csv, image, slides or the parser of a PDF's doc_type; null where type or doc_type is unknown."""
+    pdf = F.when(F.col("doc_type").isin(C.DOC_TYPES), F.when(F.col("doc_type") == "slide", "others").otherwise(F.col("doc_type")))
+    by_type = F.when(F.col("type") == "csv", "csv").when(F.col("type") == "image", "image").when(F.col("type") == "pptx", "slides").when(F.col("type") == "pdf", pdf)
+    return sources.withColumn("route", by_type)
+
+
+def process(sources: DataFrame, texts: DataFrame, rows: DataFrame | None = None, slides: DataFrame | None = None, images: DataFrame | None = None, vision: VisionModel | None = None, model: TextModel | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, report): sources through the reader of their route. report: (key, status, n), ok or failed.
+
+    texts: (key, text) of PDFs; rows: chunk columns of CSV sources, as of external_chunks();
+    slides: (key, slide_number, title, body, tables, notes); images: (key, mime, content), read
+    by vision and cut by model. A source without input, of an unknown kind or without a chunk has failed.
+    """
+    known = route(sources if "type" in sources.columns else sources.withColumn("type", F.lit("pdf"))).where("route IS NOT NULL").select("key", "name", "route")
+    named = lambda kind: known.where(F.col("route") == kind).select("key", F.col("name").alias("source_name"))
+    pdfs = known.where(~F.col("route").isin("csv", "image", "slides")).join(texts, "key")
+    chunks = parse(pdfs.select(F.col("key").alias("source_key"), F.col("name").alias("source_name"), F.col("route").alias("doc_type"), "text"))
+    if rows is not None:
+        w = Window.partitionBy("source_key").orderBy("row_no")
+        mine = rows.join(named("csv").select(F.col("key").alias("source_key")), "source_key", "left_semi")
+        chunks = chunks.unionByName(mine.withColumn("chunk_no", F.row_number().over(w).cast("long")).select(*CHUNK_COLUMNS, "chunk_no"))
+    if slides is not None:
+        chunks = chunks.unionByName(parse_slides(slides.join(named("slides"), "key").withColumnRenamed("key", "source_key")))
+    if images is not None and vision is not None and model is not None:
+        chunks = chunks.unionByName(chunks_of_images(images.join(named("image"), "key").withColumnRenamed("key", "source_key"), vision, model))
     n = chunks.groupBy("source_key").agg(F.count("*").alias("n"))
     report = sources.join(n, sources["key"] == n["source_key"], "left").select("key", F.when(F.col("n") > 0, "ok").otherwise("failed").alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
     return chunks, report
