@@ -23,13 +23,17 @@ def _literal(v) -> str:
     return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
 
+def expected_sql(columns: str, rows: list[tuple], **types: str) -> str:
+    """SQL that lists the rows; types: of columns whose literals have another."""
+    swap = f" REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())})" if types else ""
+    return f"SELECT *{swap} FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS t({columns})"
+
+
 def expect(columns: str, rows: list[tuple], **types: str):
-    """Registers a query with its expected rows, as SQL that lists them; types: of columns whose literals have another."""
+    """Registers a query with its expected rows."""
 
     def mark(f):
-        swap = f" REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())})" if types else ""
-        sql = f"SELECT *{swap} FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS t({columns})"
-        QUERIES.append((f, sql))
+        QUERIES.append((f, expected_sql(columns, rows, **types)))
         return f
 
     return mark

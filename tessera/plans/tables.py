@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import constants as C
+from tessera.functions import responses as R
 from tessera.functions import text as T
 from tessera.functions.vectors import dot
 from tessera.operators import chunking, feedback, memory, search, store
@@ -116,11 +118,31 @@ def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.pack_sentences(F.col("text"))).alias("pos", "page")).select("doc_id", "pos", F.length("page").alias("n_chars"), "page")
 
 
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+PACK_SQL = rf"""WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+|\n{{2,}}', '\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')} <> '') AS parts FROM documents),
+f AS (SELECT doc_id, list_reduce(list_concat([{{'done': []::VARCHAR[], 'cur': ''}}], list_transform(parts, lambda p: {{'done': []::VARCHAR[], 'cur': p}})), lambda a, x:
+  CASE WHEN length(a.cur) + length(x.cur) + 1 > 1000 AND a.cur <> '' THEN {{'done': list_append(a.done, {_STRIP.format('a.cur')}), 'cur': x.cur}}
+  ELSE {{'done': a.done, 'cur': CASE WHEN a.cur = '' THEN x.cur ELSE {_STRIP.format("a.cur || ' ' || x.cur")} END}} END) AS r FROM d),
+p AS (SELECT doc_id, CASE WHEN {_STRIP.format('r.cur')} <> '' THEN list_append(r.done, {_STRIP.format('r.cur')}) ELSE r.done END AS pages FROM f),
+u AS (SELECT doc_id, (unnest(range(len(pages))))::INTEGER AS pos, unnest(pages) AS page FROM p)
+SELECT doc_id, pos, length(page)::INTEGER AS n_chars, page FROM u"""
+
+
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_key"), F.col("source").alias("source_name"), "text")
     return chunking.parse_others(d)
 
 
+WINDOWS_SQL = rf"""WITH RECURSIVE p AS (SELECT doc_id, source, text, string_split(regexp_replace(text, '([.!?]\s+|\n{{2,}})', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+n AS (SELECT doc_id, i, sum(k) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, unnest(range(len(parts) - 1)) AS i, unnest(list_transform(parts[:-2], lambda x: length(x))) AS k FROM p)),
+d AS (SELECT p.doc_id, source, text, coalesce(list(e) FILTER (e IS NOT NULL), []) AS ends FROM p LEFT JOIN n ON p.doc_id = n.doc_id GROUP BY ALL),
+w AS (SELECT doc_id, 0 AS no, 0::BIGINT AS a, 0::BIGINT AS b FROM d WHERE length(text) > 0
+  UNION ALL SELECT w.doc_id, no + 1, w.b, coalesce(list_max(list_filter(ends, lambda x: x > w.b AND x <= w.b + 1200)), least(w.b + 1200, length(text)))::BIGINT FROM w JOIN d USING (doc_id) WHERE w.b < length(text)),
+c AS (SELECT doc_id, source, no, {_STRIP.format('substr(text, a + 1, b - a)')} AS content FROM w JOIN d USING (doc_id) WHERE no > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS chunk_no FROM c WHERE length(content) >= 60)
+SELECT doc_id::VARCHAR AS source_key, source AS source_name, '' AS part, '' AS division, '' AS subdivision, 'Section ' || chunk_no AS section, '' AS section_title, content, chunk_no FROM r"""
+
+
 def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.explode(T.lines(F.col("text"))).alias("line"))
     return d.groupBy(chunking.line_class(F.col("line")).alias("class")).agg(F.count("*").alias("n"))
@@ -146,7 +168,7 @@ SELECT k.category, count(c.category) AS n FROM k LEFT JOIN c USING (category) GR
 
 
 def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of documents that have no document numbered below 30 yet."""
+    """Sources of documents that have no document numbered below 15 yet."""
     d = table(spark, sf_dir, "documents")
     s = d.select(F.col("source").alias("key"), F.lit(True).alias("enabled")).distinct()
     return sources.unprocessed(s, d.where("doc_id < 15").select(F.col("source").alias("key"))).select("key")
@@ -246,6 +268,19 @@ def history_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.history_block(_turns(spark, sf_dir)).select("session", "kept", F.length("block").alias("n_chars"))
 
 
+def _history_budget_sql() -> str:
+    frame = len(C.HISTORY_HEAD) + 2 * (len(memory.RULE) + 1) + 2
+    facts = [(r"[Ss]ection\s+\d+[A-Za-z]?(?:\(\d+\))?", 3), (r"RM\s?[\d,]+(?:\.\d{2})?", 2), (r"\d+\s+(?:days?|months?|years?)", 2)]
+    found = "list_concat(list_concat(" + "), ".join(", ".join(f"regexp_extract_all(r, '{p}')[1:{n}]" for p, n in part) for part in (facts[:2], facts[2:])) + ")"
+    return rf"""WITH t AS (SELECT c.conv_id AS session, c.turn, c.text AS q, a.text AS r FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1 WHERE c.role = 'user' AND a.role = 'assistant'),
+b AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn DESC) AS back, list_filter(list_transform(string_split(regexp_replace(r, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS s, {found} AS f FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) AS no, array_to_string(list_transform(s[1:2], lambda x: left(x, 120)), ' ') AS head, CASE WHEN len(s) > 1 THEN left(s[-1], 150) ELSE '' END AS tail FROM b WHERE back <= 6),
+l AS (SELECT session, back, length('[Turn ' || no || ']' || chr(10) || 'User: ' || q || chr(10) || 'Assistant: ' || CASE WHEN back = 1 THEN left(r, 500) || '…'
+  ELSE left(head || CASE WHEN len(f) > 0 THEN ' [' || array_to_string(f, ', ') || ']' ELSE '' END || CASE WHEN tail <> '' AND tail <> head THEN ' | ' || tail ELSE '' END, 600) END) AS n FROM k),
+z AS (SELECT *, sum(n + 2) OVER (PARTITION BY session ORDER BY back) - 2 + {frame} AS size FROM l)
+SELECT session, count(*) AS kept, (sum(n + 2) - 2 + {frame})::INTEGER AS n_chars FROM z WHERE back = 1 OR size <= 2400 GROUP BY 1"""
+
+
 def language_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
     return memory.streaks(e, None, 3, "user_id", "event_type", ("ts", "event_id")).select("user_id", "event_id", "event_type")
@@ -367,15 +402,64 @@ def section_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOOST_SQL = "SELECT user_id::VARCHAR AS query_hash, event_type AS section_parent, CASE WHEN bool_or(event_id % 10 = 0) THEN 0.15 ELSE 0.0 END::DOUBLE AS delta FROM events GROUP BY 1, 2"
 
+def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation as a query: greeting, follow-up, act, language, guarantee companies, and its expansion."""
+    c, text = table(spark, sf_dir, "conversations"), F.col("text")
+    return c.select("conv_id", "turn", T.is_greeting(text).alias("greeting"), T.is_followup(text, F.col("turn")).alias("followup"), T.detect_act(text).alias("act"), T.detect_language(text).alias("lang"), T.mentions_clbg(text).alias("clbg"), F.md5(T.expand_query(text).cast("binary")).alias("expanded"))
+
+
+def _analysis_sql() -> str:
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    strong = " ".join(rf"WHEN regexp_matches(low, '\b{p}\b') THEN {q(act)}" for act, phrases in C.STRONG_PHRASES for p in phrases)
+    hits = [" + ".join(rf"regexp_matches(low, '\b{w}\b')::INT" for w in words) for _, words in C.WEAK_WORDS]
+    weak = " ".join(f"WHEN greatest(w0, w1, w2) >= 2 AND w{i} = greatest(w0, w1, w2) THEN {q(act)}" for i, (act, _) in enumerate(C.WEAK_WORDS))
+    expanded = "text"
+    for pattern, new in C.SYNONYMS:
+        expanded = f"regexp_replace({expanded}, {q('(?i)' + pattern)}, {q(new)}, 'g')"
+    any_of = lambda words: "(?:" + "|".join(words) + ")"
+    return rf"""WITH t AS (SELECT conv_id, turn, text, lower(text) AS low, lower({_STRIP.format('text')}) AS s, {", ".join(f"{h} AS w{i}" for i, h in enumerate(hits))} FROM (SELECT *, lower(text) AS low FROM conversations)),
+n AS (SELECT *, len(regexp_extract_all(s, '[a-zA-Z'']+')) AS words, len(regexp_extract_all(s, {q('(?i)' + chr(92) + 'b' + any_of(C.MALAY_MARKERS) + chr(92) + 'b')})) AS malay FROM t)
+SELECT conv_id, turn, regexp_matches(text, {q('(?i)^' + any_of(C.GREETINGS) + chr(92) + 'W*$')}) AS greeting,
+  turn > 0 AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) <= 5 AND (regexp_matches(text, {q('(?i)' + chr(92) + 'b' + any_of(C.BACK_REFERENCES) + chr(92) + 'b')}) OR regexp_matches({_STRIP.format('text')}, {q('(?i)^' + any_of(C.CONTINUATIONS) + chr(92) + 'b')})) AS followup,
+  CASE {strong} {weak} END AS act, CASE WHEN words = 0 THEN 'en' WHEN malay / words >= 0.25 THEN 'ms' WHEN malay / words >= 0.10 THEN 'mixed' ELSE 'en' END AS lang,
+  regexp_matches(text, '(?i)\bCLBG\b|company limited by guarantee|Checklist for CLBG') AS clbg, md5({expanded}) AS expanded FROM n"""
+
+
+def response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every answer of every conversation, with no form shown: diagnosed issues, the failure that they mean, and the checks that it fails."""
+    t = _turns(spark, sf_dir).withColumn("i", R.diagnose(F.col("query"), F.col("response"), F.array().cast("array<string>")))
+    checks = R.validation_issues(F.col("response"), F.array().cast("array<struct<name:string,url:string>>"))
+    return t.select("session", "turn", F.array_join(F.transform("i", lambda x: x["type"]), ",").alias("issues"), R.failure_type(F.col("i"), F.lit("retrieval")).alias("failure"), F.array_join(checks, ",").alias("checks"))
+
+
+def _checks_sql() -> str:
+    q = lambda p: "'(?i)" + p.replace("'", "''") + "'"
+    return rf"""WITH t AS (SELECT c.conv_id AS session, c.turn, c.text AS q, a.text AS r, {_STRIP.format('a.text')} AS s FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1 WHERE c.role = 'user' AND a.role = 'assistant'),
+f AS (SELECT *, len(regexp_extract_all(r, '(?i)\[([^\]]+)\]\(https?://[^\)]+\)')) > 0 AS links, regexp_matches(r, {q(C.NOT_FOUND)}) AS unknown FROM t),
+k AS (SELECT *, links AS a, regexp_matches(q, {q(C.PROCEDURAL)}) AND NOT links AND NOT unknown AS b, length(s) > 120 AND NOT regexp_matches(r, {q(C.CITATION)}) AND NOT unknown AS c, regexp_matches(r, {q(C.CUT_OFF)}) AS d FROM f)
+SELECT session, turn, concat_ws(',', CASE WHEN a THEN 'form_hallucination' END, CASE WHEN b THEN 'missing_form' END, CASE WHEN c THEN 'uncited_answer' END, CASE WHEN d THEN 'truncation' END) AS issues,
+  CASE WHEN d THEN 'incomplete' WHEN a OR b THEN 'wrong_form' WHEN c THEN 'hallucination' ELSE 'wrong_source' END AS failure,
+  concat_ws(',', CASE WHEN s <> '' AND NOT regexp_matches(r, '[.!?)\]`*|\-\w]\s*$') THEN 'Response appears truncated' END, CASE WHEN regexp_matches(r, {q(C.WRONG_AGENCY_CHECKED)}) THEN 'Wrong SSM name used' END, CASE WHEN length(s) < 30 THEN 'response_too_short' END) AS checks FROM k"""
+
+
+def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's messages of one session; another user's are not seen."""
+    m = _messages(spark, sf_dir)
+    return store.load_session(m, "u", "3").unionByName(store.load_session(m, "v", "3")).select("qa_id", "query", "created_at")
+
+
+MESSAGES_SQL = "SELECT conv_id || '-' || turn AS qa_id, text AS query, turn AS created_at FROM conversations WHERE conv_id = 3"
+
 QUERIES = [
     (hybrid_search_topk, HYBRID_SQL), (bm25_topk, BM25_SQL), (bm25_term_stats, STATS_SQL),
     (vector_topk_per_label, _nearest_sql("query_id, label", 4, "query_id, label")), (vector_topk_global, _nearest_sql("query_id", 12, "query_id")),
     (self_similarity, "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length FROM embeddings"),
-    (clean_text, CLEAN_SQL), (sentence_split, SENTENCE_SQL), (sentence_pack, None), (chunk_windows, None), (line_classes, _line_sql()),
+    (clean_text, CLEAN_SQL), (sentence_split, SENTENCE_SQL), (sentence_pack, PACK_SQL), (chunk_windows, WINDOWS_SQL), (line_classes, _line_sql()),
     (registry_stats, REGISTRY_SQL), (incremental_skip, INCREMENTAL_SQL), (dedupe_exact_md5, DEDUPE_SQL), (near_dup_jaccard, JACCARD_SQL),
     (embedding_cache_hits, _cache_sql("IN")), (embedding_cache_misses, _cache_sql("NOT IN")),
     (feedback_summary, SUMMARY_SQL), (failure_counts, COUNTS_SQL), (patch_activation, PATCH_SQL), (failure_rates, RATES_SQL),
-    (bounded_history, _history_sql("<=")), (evicted_turns, _history_sql(">")), (history_budget, None), (language_streak, STREAK_SQL),
+    (bounded_history, _history_sql("<=")), (evicted_turns, _history_sql(">")), (history_budget, _history_budget_sql()), (language_streak, STREAK_SQL),
     (rate_limit, RATE_SQL), (memory_ttl, TTL_SQL), (memory_rank, MEMORY_SQL), (message_upsert, UPSERT_SQL), (sessions_list, SESSIONS_SQL),
     (session_delete, DELETE_SQL), (confirm_lock, LOCK_SQL), (correction_upsert, CORRECTION_SQL), (section_boost, BOOST_SQL),
+    (query_analysis, _analysis_sql()), (response_checks, _checks_sql()), (session_messages, MESSAGES_SQL),
 ]
