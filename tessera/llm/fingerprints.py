@@ -49,8 +49,13 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(n >= K, many).otherwise(few)).drop(w, h, s)
 
 
-def sketch(anchors: Column) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(F.array_compact(anchors))), 1, SKETCH)
+def hashes(keys: Column) -> Column:
+    """The distinct anchor hashes of placed anchors."""
+    return F.array_distinct(F.transform(keys, lambda x: F.shiftright(x, POS)))
+
+
+def sketch(distinct: Column) -> Column:
+    return F.slice(F.sort_array(distinct), 1, SKETCH)
 
 
 def as_text(sk: Column) -> Column:
@@ -59,7 +64,7 @@ def as_text(sk: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two sketches: the share of the smallest SKETCH of their union that both have; two empty ones are equal."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
     both = F.array_intersect(union, F.array_intersect(a, b))
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(F.size(both) / F.size(union))
 
@@ -70,9 +75,9 @@ def placed(anchors: Column) -> Column:
 
 
 def share(a: Column, b: Column) -> Column:
-    """Of two texts' placed anchors: the distinct hashes that both have as a share of all; two empty ones are equal."""
-    hashes = lambda k: F.array_distinct(F.transform(k, lambda x: F.shiftright(x, POS)))
-    both, every = F.size(F.array_intersect(hashes(a), hashes(b))), F.size(F.array_union(hashes(a), hashes(b)))
+    """Of two texts' distinct anchor hashes: those that both have as a share of all; two empty ones are equal."""
+    both = F.size(F.array_intersect(a, b))
+    every = F.size(a) + F.size(b) - both
     return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
 
 
@@ -176,7 +181,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the next document for its own last half. Empty tables stay empty; other columns aren't
     looked at. Ids must be whole numbers; others raise a TypeError.
     """
-    dealt = with_next(docs).repartition("bucket")  # the one shuffle of the texts; anchors are taken after it
+    dealt = with_next(docs).repartitionByRange("bucket")  # the one shuffle of the texts; anchors are taken after it. Ranges, as hashes of so few buckets are uneven
     dealt = with_anchors(dealt, "text", "a").withColumn("ka", placed(F.col("a"))).drop("a")
     w = Window.partitionBy("bucket").orderBy("copy", F.col("id").desc(), F.col("th").desc(), F.col("u").desc())
     n = F.length("text")
@@ -184,15 +189,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     df = dealt.select("doc_id", "copy", "text", "ka", F.lead("text").over(w).alias("nt"), F.lead("ka").over(w).alias("kn"), F.lead("doc_id").over(w).alias("next_id")).where("copy = 0")
     df = df.select("doc_id", "next_id", "ka", "kn", n.cast("long").alias("n_chars"), F.concat(F.left(F.col("text"), n - half), F.left(F.col("nt"), half)).alias("edited"))
     df = with_anchors(df, "edited", "e").withColumn("ke", placed(F.col("e"))).drop("e")
-    for k, sk in (("ka", "sk"), ("kn", "nsk"), ("ke", "esk")):
-        df = df.withColumn(sk, sketch(F.transform(k, lambda x: F.shiftright(x, POS))))
+    for k, d, sk in (("ka", "da", "sk"), ("kn", "dn", "nsk"), ("ke", "de", "esk")):
+        df = df.withColumn(d, hashes(F.col(k))).withColumn(sk, sketch(F.col(d)))
     df = with_displacement(df, "ka", "ke", "shift_edited", "aligned_edited")
     df = with_displacement(df, "ka", "kn", "shift_next", "aligned_next")
     every = F.transform("ka", lambda x: F.struct(x.bitwiseAND(F.lit((1 << POS) - 1)).cast("int").alias("pos"), F.shiftright(x, POS).alias("anchor")))
     return df.select(
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("sk")).alias("fingerprint"), as_text(F.col("esk")).alias("edited_fingerprint"),
         likeness(F.col("sk"), F.col("esk")).alias("near_edited"), likeness(F.col("sk"), F.col("nsk")).alias("near_next"), "next_id", every.alias("anchors"),
-        share(F.col("ka"), F.col("ke")).alias("share_edited"), "shift_edited", "aligned_edited", share(F.col("ka"), F.col("kn")).alias("share_next"), "shift_next", "aligned_next",
+        share(F.col("da"), F.col("de")).alias("share_edited"), "shift_edited", "aligned_edited", share(F.col("da"), F.col("dn")).alias("share_next"), "shift_next", "aligned_next",
     )
 
 
