@@ -18,6 +18,8 @@ from tessera.session import small, store
 K1, B, EPSILON = 1.5, 0.75, 0.25
 WEIGHT, THRESHOLD, PER_SOURCE, OVERALL, PENALTY = 0.2, 0.35, 4, 12, 0.4
 LEAST_CHARS = 40
+#: 64-bit words of a set's parity bitmap.
+BITMAP = 4
 
 
 def chunk_text(section: Column, title: Column, part: Column, content: Column) -> Column:
@@ -151,8 +153,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
 
     A prefix-filtered set join: tokens are numbered from rare to frequent, and two sets over
     the bound share one of their first |s| - ceil(least |s|) + 1 tokens. What a pair shares of
-    these, and what may still follow the last of them, must suffice for the overlap; only
-    then are the sets compared. Rows of equal sets are one class and never paired.
+    these, and what may still follow the last of them, must suffice for the overlap; and sets
+    whose parity bitmaps differ in more bits than they may have tokens of their own are no
+    pair. Only then are the sets compared. Rows of equal sets are one class and never paired.
     """
     sets = docs.select(key, F.array_sort(F.array_distinct(T.tokens(F.col(text)))).alias("t")).where(F.size("t") > 0)
     classes = store(sets.groupBy(F.unhex(F.md5(F.array_join("t", " "))).alias("digest")).agg(F.min(key).alias("k"), F.any_value("t").alias("t")).select("k", "t"))
@@ -160,16 +163,20 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     # numbers follow (df, term): partitions are ranges, and ids grow within and along them
     number = store(words.groupBy("term").agg(F.count("*").alias("df")).orderBy("df", "term").select("term", "df", F.monotonically_increasing_id().alias("no")))
     # a token of one set only is shared with none: it counts by its absence
-    numbered = words.join(number.where("df > 1"), "term").groupBy("k").agg(F.array_sort(F.collect_list("no")).alias("s"))
+    h = F.xxhash64("no")
+    bit = lambda i: F.bit_xor(F.when(F.pmod(F.shiftright(h, 6), F.lit(BITMAP)) == i, F.expr("shiftleft(1L, CAST(pmod(xxhash64(no), 64) AS INT))")).otherwise(F.lit(0).cast("long"))).alias(f"b{i}")
+    bits = [f"b{i}" for i in range(BITMAP)]
+    numbered = words.join(number.where("df > 1"), "term").groupBy("k").agg(F.sort_array(F.collect_list("no")).alias("s"), *[bit(i) for i in range(BITMAP)])
     numbered = store(classes.select("k", F.size("t").alias("n")).join(numbered, "k"))
     n, own = F.col("n"), F.col("n") - F.size("s")  # own tokens come first in the order, as they are the rarest
     longest = n - F.ceil(n * least) + 1
-    prefix = store(numbered.withColumn("own", own).select("k", "n", "own", F.posexplode(F.slice("s", 1, F.greatest(longest - own, F.lit(0)).cast("int"))).alias("pos", "no")).select("k", "n", (F.col("own") + F.col("pos") + 1).alias("at"), "no"))
+    prefix = store(numbered.withColumn("own", own).select("k", "n", "own", *bits, F.posexplode(F.slice("s", 1, F.greatest(longest - own, F.lit(0)).cast("int"))).alias("pos", "no")).select("k", "n", "own", *bits, (F.col("own") + F.col("pos") + 1).alias("at"), "no"))
     a, b = prefix.alias("a"), prefix.alias("b")
     need = least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9
     size = (F.col("a.n") * least <= F.col("b.n")) & (F.col("b.n") * least <= F.col("a.n"))
     left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    size = size & (F.least("a.at", "b.at") + left >= need)
+    apart = F.col("a.own") + F.col("b.own") + sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in bits), F.lit(0))
+    size = size & (F.least("a.at", "b.at") + left >= need) & (apart <= (1 - least) / (1 + least) * (F.col("a.n") + F.col("b.n")) + 1e-9)
     met = a.join(b, (F.col("a.no") == F.col("b.no")) & (F.col("a.k") < F.col("b.k")) & size)
     last = met.groupBy(F.col("a.k").alias("a"), F.col("b.k").alias("b")).agg(F.count("*").alias("c"), F.max("a.at").alias("i"), F.max("b.at").alias("j"), F.max("a.n").alias("na"), F.max("b.n").alias("nb"))
     enough = F.col("c") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9
