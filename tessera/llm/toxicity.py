@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
 
-BITS = 18
+BITS = 22  # so many buckets that features of a corpus sample rarely share one
 BEGINNINGS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 SCALE = 5.0
