@@ -32,27 +32,39 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _ranked(df: DataFrame, order: Column) -> DataFrame:
+    """df, checkpointed, with `place`: its rows' numbers in the order, from 0. Rows are sorted in ranges; only the ranges' sizes meet in one task."""
+    df = checkpoint(df.orderBy(order).withColumn("place", F.monotonically_increasing_id()))  # the range's number above 33 bits of the row's
+    part, row = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = df.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("part", before.alias("before"))
+    return df.withColumn("part", part).withColumn("row", row).join(F.broadcast(sizes), "part").withColumn("place", F.col("before") + F.col("row")).drop("part", "row", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(source, source_size, target) of (source, size) rows.
+    """(source, source_size, n_docs, target) of (source, size) rows.
 
     Sources in code point order, null last, have the weights in turn, repeating. They share
     `share` times all sizes; a target over `cap` times its source's size stops there and the
-    excess goes to the others by weight. The table has a row a source.
+    excess goes to the others by weight, round after round until none is above. A round is
+    three sums over the table, which has a row a source; however many there are, no task holds all.
     """
     if share > cap:
         raise ValueError("share must not be over cap: no such targets exist")
-    s = checkpoint(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    s = s.withColumn("w", weight).withColumn("top", F.col("source_size") * F.lit(cap))
-    fill = Window.orderBy(F.col("top") / F.col("w"), F.col("source").asc_nulls_last())
-    before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.lit(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("top").over(before), F.lit(0.0))
-    s = s.withColumn("full", F.col("top") / F.col("w") <= left / F.sum("w").over(after))
-    rest = F.lit(share) * F.sum("source_size").over(every) - F.sum(F.when(F.col("full"), F.col("top")).otherwise(0.0)).over(every)
-    open_w = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).over(every)
-    return s.withColumn("target", F.when(F.col("full"), F.col("top")).otherwise(F.least("top", F.try_divide(rest, open_w) * F.col("w")))).select("source", "source_size", "n_docs", "target")
+    s = _ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    s = checkpoint(s.select("source", "source_size", "n_docs", weight.alias("w"), (F.col("source_size") * F.lit(float(cap))).alias("top")))
+    every = s.agg(F.sum("source_size")).first()[0] or 0
+    level, full = 0.0, None  # targets are level * weight where that is under the cap
+    while True:
+        stopped = F.lit(False) if full is None else F.col("top") <= F.lit(level) * F.col("w")
+        n, held, w = s.agg(F.count_if(stopped), F.sum(F.when(stopped, F.col("top")).otherwise(0.0)), F.sum(F.when(stopped, 0.0).otherwise(F.col("w")))).first()
+        if n == full or not w:
+            break
+        full, level = n, (share * every - held) / w
+    target = F.col("top") if not w else F.least("top", F.lit(level) * F.col("w"))
+    return s.select("source", "source_size", "n_docs", target.alias("target"))
 
 
 def _rate(lam: Column, size: Column, mean: Column, cap: float) -> Column:
