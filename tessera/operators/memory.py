@@ -37,20 +37,26 @@ def memory_id(content: Column, ts: Column) -> Column:
 def suppress_repeats(records: DataFrame, least: float = 0.8) -> DataFrame:
     """Records of a user, in (ts, pos) order, without those whose words overlap an already kept one by more than `least`.
 
-    A greedy fold, as what is kept depends on what was; memories a user are few by their caps.
+    What is kept depends on what was, so a user's records are walked in order: sorted within
+    partitions, batch by batch. Only the words of one user's kept records are held, which
+    their caps bound; equal times and places are told apart by content.
     """
     df = records.withColumn("words", F.array_distinct(T.tokens(F.col("content"))))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, seen = [], []
-        for i, words in zip(pdf.sort_values(["ts", "pos"]).index, pdf.sort_values(["ts", "pos"]).words):
-            w = set(words)
-            if not w or all(len(w & s) <= least * len(w | s) for s in seen):
-                kept.append(i)
-                seen += [w] if w else []
-        return pdf.loc[kept]
-
-    return df.groupBy("user").applyInPandas(fold, df.schema).drop("words")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, seen = object(), []
+        for pdf in batches:
+            kept = []
+            for u, words in zip(pdf.user, pdf.words):
+                if u != user:
+                    user, seen = u, []
+                w = set(words)
+                kept.append(not w or all(len(w & s) <= least * len(w | s) for s in seen))
+                if w and kept[-1]:
+                    seen.append(w)
+            yield pdf[kept]
+
+    return df.repartition("user").sortWithinPartitions("user", "ts", "pos", "content").mapInPandas(run, df.schema).drop("words")
 
 
 def alive(records: DataFrame, now: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import models
 from tessera.functions import responses as R
 from tessera.functions import text as T
-from tessera.functions.vectors import unit
+from tessera.functions.vectors import similarities, unit
 from tessera.operators import chunking, feedback, memory, search, store
 from tessera.sources import extract, registry
 
@@ -172,3 +172,17 @@ def test_models_and_json():
     assert models.accept_description("too few words") == "" and models.FixedAnswer("a").complete("p") == "a" and models.Unseeing().read(b"", "") == ""
     assert models.HashedWords().embed(["", "a"])[0] is None
     assert R.repair_json('{"a": "b\tc\\d"}') == json.dumps({"a": "b\tc\\d"}) and R.repair_json("{") is None and R.repair_json(None) is None
+
+
+def test_query_ids_of_any_type(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "vec_id long, embedding array<double>")
+    got = similarities([("a", [1.0, 0.0]), ("b", [0.6, 0.8])], rows, 0.5, ["vec_id"]).collect()
+    assert sorted((r.query_id, r.vec_id, round(r.cosine, 6)) for r in got) == [("a", 1, 1.0), ("b", 1, 0.6), ("b", 2, 0.8)]
+    assert similarities([], rows, 0.5, ["vec_id"]).collect() == []
+
+
+def test_suppression_walks_users_in_order(spark):
+    at = datetime(2024, 1, 1)
+    rows = [("a", at, i, f"w{i % 3} x y z") for i in range(40)] + [("b", at, 0, "w0 x y z"), (None, at, 0, "w0 x y z"), (None, at, 1, "x w0 y z"), ("c", at, 0, ""), ("c", at, 1, "")]
+    got = memory.suppress_repeats(spark.createDataFrame(rows, "user string, ts timestamp, pos int, content string")).collect()
+    assert sorted(((r.user or "", r.pos) for r in got)) == [("", 0), ("a", 0), ("a", 1), ("a", 2), ("b", 0), ("c", 0), ("c", 1)]
