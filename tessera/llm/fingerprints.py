@@ -18,7 +18,7 @@ from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from tessera.llm.common import sized
-from tessera.session import checkpoint
+from tessera.session import checkpoint, store
 
 K, S = 5, 2
 SKETCH = 128
@@ -119,7 +119,7 @@ def _cut(rows: DataFrame) -> tuple[DataFrame, int]:
     """
     n, lo, hi = rows.where("doc_id IS NOT NULL").agg(F.count("*"), F.min("id"), F.max("id")).first()
     shift = max(0, ((hi - lo + 1) // max(1, n // BUCKET_ROWS)).bit_length() - 1) if n else 0
-    rows, rounds = rows.withColumn("bucket", F.array(F.shiftright("id", min(shift, 63)))), 0
+    rows, rounds, stored = rows.withColumn("bucket", F.array(F.shiftright("id", min(shift, 63)))), 0, False
     hot = checkpoint(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT * BUCKET_ROWS).select("bucket"))
     while not hot.isEmpty():
         rounds += 1
@@ -129,6 +129,8 @@ def _cut(rows: DataFrame) -> tuple[DataFrame, int]:
         spread = F.when(F.col("id_span") != 0, F.col("id_span")).when(F.col("th_span") != 0, F.col("th_span")).otherwise(F.col("u_span"))
         parts = _bits(F.floor(F.col("n") / BUCKET_ROWS).cast("long"))  # cut at the first bit that differs, so each round cuts
         rule = checkpoint(inner.select("bucket", by.alias("by"), F.greatest(_bits(spread) - parts, F.lit(0)).cast("int").alias("shift")))
+        if not stored and not rule.where("by = 'u'").isEmpty():
+            rows, stored = store(rows), True  # u must stay as it is from here on, also where an executor is lost
         finer = F.expr("shiftright(CASE by WHEN 'id' THEN id WHEN 'th' THEN th ELSE u END, shift)")
         rows = rows.join(sized(rule), "bucket", "left").withColumn("bucket", F.when(F.col("by").isNull(), F.col("bucket")).otherwise(F.concat("bucket", F.array(finer)))).drop("by", "shift")
         hot = checkpoint(rows.where(F.size("bucket") > rounds).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT * BUCKET_ROWS).select("bucket"))
