@@ -88,3 +88,20 @@ def test_command_line(spark, tmp_path):
     assert run() == [("a", "skipped"), ("b", "failed")]
     assert run(force=True, key="a") == [("a", "ok")]
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_command_line_reads_tables_and_presentations(spark, tmp_path):
+    from tessera.plans.cases import _deck
+    from tessera.sources import registry
+
+    long = "A row of a table that is long enough to be kept as a chunk by itself."
+    files = {"FAQ/others/t.csv": f'Title,Content\nOne,"{long}"\nTwo,short\n'.encode(), "FAQ/others/u.csv": b"a,b\n1,2\n", "FAQ/slide/deck one.pptx": _deck()}
+    for name, content in files.items():
+        (tmp_path / "src" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / name).write_bytes(content)
+    sources = registry.enabled(registry.discover(spark, f"{tmp_path}/src"))
+    assert [(r["key"], r.slide_number, r.title) for r in registry.read_presentations(spark, sources).orderBy("slide_number").collect()] == [("deck_one", 1, "Fees of names"), ("deck_one", 2, ""), ("deck_one", 3, "Table")]
+    spark.createDataFrame([], "key string, text string").write.parquet(f"{tmp_path}/texts")
+    report = cli.process(spark, f"{tmp_path}/src", f"{tmp_path}/texts", f"{tmp_path}/out")
+    assert sorted((r.key, r.status, r.n) for r in report.collect()) == [("deck_one", "ok", 1), ("t", "ok", 1), ("u", "failed", 0)]  # one slide has 60 characters, with its notes
+    assert sorted((r.section, r.section_title) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("", "One"), ("Slide 3: Table", "Table")]
