@@ -92,11 +92,12 @@ def risk_gradient(w: np.ndarray, bias: float, xp: np.ndarray, xu: np.ndarray, pr
 
 def _telling(row: np.ndarray, col: np.ndarray, n_p: int, n: int, most: int, least_z: float) -> np.ndarray:
     """The features that P has in more documents than U, beyond chance, the strongest first; of equally strong ones at the bound the lowest numbers."""
-    in_p, in_u = (np.bincount(col[m], minlength=1 << BITS) for m in (row < n_p, row >= n_p))
+    seen, number = np.unique(col, return_inverse=True)
+    in_p, in_u = (np.bincount(number[m], minlength=len(seen)) for m in (row < n_p, row >= n_p))
     share = (in_p + in_u) / n
     z = (in_p / n_p - in_u / (n - n_p)) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / (n - n_p)) + 1e-12)
     best = np.argsort(-z, kind="stable")[:most]
-    return best[(z[best] >= least_z) & (in_p[best] >= 3)]
+    return seen[best[(z[best] >= least_z) & (in_p[best] >= 3)]]
 
 
 def fit(toxic: list[str], unlabelled: list[str], prior: float, steps: int = 800, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, most_features: int = 600, least_z: float = 3.5, precision: float = 0.98, seed: int = 7) -> Model:
@@ -114,11 +115,11 @@ def fit(toxic: list[str], unlabelled: list[str], prior: float, steps: int = 800,
     used = _telling(row, col, n_p, n, most_features, least_z)
     if not len(used):
         return none
-    number = np.full(1 << BITS, -1)
-    number[used] = np.arange(len(used))
-    mine = number[col] >= 0
+    order = np.argsort(used)
+    at = np.minimum(np.searchsorted(used[order], col), len(used) - 1)
+    mine = used[order][at] == col
     x = np.zeros((n, len(used)), np.float32)
-    x[row[mine], number[col[mine]]] = val[mine] * SCALE
+    x[row[mine], order[at[mine]]] = val[mine] * SCALE
     w, bias = np.zeros(len(used)), np.log(prior / (1 - prior))
     m1, m2, t = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 0
     rng = np.random.default_rng(seed)
