@@ -116,9 +116,66 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"))
+
+
+#: Operator 12 holds the table against a copy whose texts are lower-cased where 5 divides the id's CRC-32.
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.manifest import manifest
+
+    low = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest(table(spark, sf_dir, "documents"), {"text": F.when(hit, low).otherwise(F.col("text"))})
+
+
+def _op12_sql(deep: int = 8, groups_deep: int = 3) -> str:
+    """The tree's levels one by one: `deep` of them for 16**deep rows a source, `groups_deep` for 16**groups_deep sources."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    steps = "list_transform(range(1, 8 * strlen(doc_id::VARCHAR) + 1), lambda i: CASE WHEN i % 8 = 1 THEN ascii(substr(doc_id::VARCHAR, 1 + (i - 1) // 8, 1)) ELSE 0 END)"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+    out = [f"""d AS (SELECT doc_id, source, {leaf('text')} AS h, CASE WHEN {crc} % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS now FROM documents)""",
+           "t0 AS (SELECT doc_id, source AS g, h, coalesce(now, h) AS now, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d)"]
+
+    def level(name: str, k: int) -> None:
+        out.append(f"{name}{k + 1} AS (SELECT g, i // 16 AS i, (any_value(n) + 15) // 16 AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY g, i // 16)")
+
+    for k in range(deep):
+        level("t", k)
+    out.append(f"s0 AS (SELECT 0 AS g, g AS source, h, row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t{deep})")
+    for k in range(groups_deep):
+        level("s", k)
+
+    def path(name: str, k: int, keep: str) -> str:
+        return f"""SELECT {keep} a.g, a.i, a.n, CASE WHEN a.n > 1 THEN [{{'l': coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), ''), 'r': coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '')}}] ELSE [] END AS own
+  FROM {name}{k} AS a JOIN {name}{k} AS b ON a.g IS NOT DISTINCT FROM b.g AND a.i // 16 = b.i // 16 GROUP BY {keep} a.g, a.i, a.n"""
+
+    def down(name: str, deep: int, top: str, keep: str) -> None:
+        out.append(f"{name}p{deep} AS ({top})")
+        for k in reversed(range(deep)):
+            mine = keep if k == 0 else ""
+            out.append(f"{name}o{k} AS ({path(name, k, ', '.join(f'a.{c}' for c in mine.split()) + ',' if mine else '')})")
+            out.append(f"{name}p{k} AS (SELECT {', '.join(f'o.{c}' for c in mine.split()) + ',' if mine else ''} o.g, o.i, list_concat(o.own, p.path) AS path, p.root, p.subroot FROM {name}o{k} AS o JOIN {name}p{k + 1} AS p ON o.g IS NOT DISTINCT FROM p.g AND o.i // 16 = p.i)")
+
+    down("s", groups_deep, f"SELECT g, i, []::STRUCT(l VARCHAR, r VARCHAR)[] AS path, h AS root, '' AS subroot FROM s{groups_deep}", "source h")
+    down("t", deep, "SELECT source AS g, 0 AS i, path, root, h AS subroot FROM sp0", "doc_id h now")
+    return "WITH " + ",\n".join(out) + """,
+f AS (SELECT *, sha256(array_to_string(list_transform(path, lambda x: x.l || x.r), '')) AS proof_sha256, list_reduce(list_concat([{'l': now, 'r': ''}], path), lambda a, x: {'l': sha256(x.l || a.l || x.r), 'r': ''}).l AS folded_root FROM tp0)
+SELECT doc_id, h AS leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f"""
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents")).drop("found")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_licences, op3_language_id, op4_substring_dedup, op5_fingerprints, op6_decontamination, op7_html_extraction, op8_simhash_dedup, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_licences, op3_language_id, op4_substring_dedup, op5_fingerprints, op6_decontamination, op7_html_extraction, op8_simhash_dedup, op9_line_dedup, op10_toxicity, op11_alignment, op12_manifest, op13_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op7_html_extraction": OP7_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op7_html_extraction": OP7_SQL, "op9_line_dedup": OP9_SQL, "op12_manifest": _op12_sql()}
