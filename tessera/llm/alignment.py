@@ -7,7 +7,8 @@ each B id: the document, the A id and how often. These are shuffled by B id, dea
 several cells where an id has many, and each cell's rows come as a sorted stream that Spark
 spills as it needs to: first the counts of the id's pairs, summed beforehand where they were
 made, from which the id's highest count follows, then its postings. A cell gives out what it
-adds to each document, and these parts are summed by document.
+adds to each document, a row a chunk of documents, and these rows, sorted by chunk before its
+documents, are summed by document.
 """
 
 from __future__ import annotations
@@ -330,7 +331,35 @@ def _cogroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key, kind="stable")
         key = key[order]
         new = np.flatnonzero(np.diff(key, prepend=-1))
-        yield pa.RecordBatch.from_arrays([pa.array(chunks[key[new] >> 32]), pa.array(key[new] & 0xFFFFFFFF, pa.int32()), pa.array(np.add.reduceat(best[order], new)), pa.array(np.add.reduceat(total[order], new))], ["chunk", "doc", "n_best", "count_sum"])
+        bounds = np.append(np.searchsorted(key[new] >> 32, np.arange(len(chunks))), len(new))
+        lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, kind))  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([pa.array(chunks), lists(key[new] & 0xFFFFFFFF, pa.int32()), lists(np.add.reduceat(best[order], new), pa.int64()), lists(np.add.reduceat(total[order], new), pa.int64())], ["chunk", "docs", "best", "total"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of chunks: what cells add to a chunk's documents, then the documents, which get their sums."""
+    now, held = None, np.zeros((2, 0), np.int64)
+    for batch in batches:
+        chunk, tag, doc = (np.asarray(batch.column(i).fill_null(0)) for i in range(3))
+        docs, best, total = (np.asarray(batch.column(i).flatten()) for i in range(8, 11))
+        at = np.append(0, np.cumsum(np.asarray(batch.column(8).value_lengths().fill_null(0))))
+        sums = np.zeros((2, len(chunk)), np.int64)
+        edge = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)] if len(chunk) else []
+        for x, y in zip(edge, edge[1:]):
+            if chunk[x] != now:
+                now, held = chunk[x], np.zeros((2, 0), np.int64)
+            cut = x + int(np.searchsorted(tag[x:y], 1))
+            i, j = at[x], at[cut]
+            if j > i:
+                more = int(docs[i:j].max()) + 1 - held.shape[1]
+                held = np.pad(held, ((0, 0), (0, max(0, more))))
+                np.add.at(held[0], docs[i:j], best[i:j])
+                np.add.at(held[1], docs[i:j], total[i:j])
+            known = cut + np.flatnonzero(doc[cut:y] < held.shape[1])
+            sums[:, known] = held[:, doc[known]]
+        own = pa.array(np.flatnonzero(tag == 1))
+        row = [batch.column(i).take(own) for i in range(3, 8)]
+        yield pa.RecordBatch.from_arrays([*row, *[pa.array(s).take(own) for s in sums]], ["id", "n_a", "n_b", "n_groups", "groups_sha256", "n_best", "count_sum"])
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str = f"{TOKENIZERS}/{A_FILE}", b_path: str = f"{TOKENIZERS}/{B_FILE}", chunk: int = CHUNK) -> DataFrame:
@@ -357,8 +386,9 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_pat
     then = posts.join(F.broadcast(of.select("b", "cells")), "b")  # a vocabulary's ids, two numbers each
     then = then.select("b", dealt.alias("salt"), F.lit(1).alias("tag"), "chunk", "a", F.lit(None).cast("array<long>").alias("n"), "at", "docs", "m")
     stream = first.unionByName(then).repartition("b", "salt").sortWithinPartitions("b", "salt", "tag", "chunk")
-    parts = stream.mapInArrow(_cogroup, "chunk long, doc int, n_best long, count_sum long")
-    sums = parts.groupBy("chunk", "doc").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    own = all_rows.where("b IS NULL").select("chunk", "doc", "id", "n_a", "n_b", "n_groups", "groups_sha256")
-    got = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return own.join(sums, ["chunk", "doc"], "left").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), got("n_best"), got("count_sum"), "groups_sha256")
+    parts = stream.mapInArrow(_cogroup, "chunk long, docs array<int>, best array<long>, total array<long>")
+    own = all_rows.where("b IS NULL").select("chunk", F.lit(1).alias("tag"), "doc", "id", "n_a", "n_b", "n_groups", "groups_sha256")
+    rows = own.unionByName(parts.withColumn("tag", F.lit(0)), allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "tag", "doc")
+    schema = StructType([f for f in own.schema.fields if f.name not in ("chunk", "tag", "doc")]).add("n_best", "long").add("count_sum", "long")
+    out = rows.mapInArrow(_by_document, schema)
+    return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
