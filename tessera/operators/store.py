@@ -59,3 +59,60 @@ def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not done:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(max(done, key=lambda p: int(p.getName().split("=")[1])).toString())
+
+
+class UpsertTable:
+    """A keyed table that batches are put into: a folder of rows a batch, read as the latest value a key and column.
+
+    put() of a batch that is there replaces it, so a batch may be run again. compact() writes
+    what is read as one base and removes the batches that are in it; a reader takes the latest
+    base that is committed and the batches after it. Rows of a key meet in a grouped maximum,
+    which is summed up where they are read first, so a key with many rows is no hot one.
+    """
+
+    def __init__(self, path: str, key: list[str]):
+        self.path, self.key = path, key
+
+    @staticmethod
+    def merged(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
+        """A row a key with the latest value, that isn't null, of each other column."""
+        others = [c for c in rows.columns if c not in key]
+        keyed = rows.withColumn("__order", order)
+        some = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__order"))).alias(c)
+        return keyed.groupBy(*key).agg(*[some(c) for c in others]).select(*rows.columns)
+
+    def put(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/delta/batch={batch}")
+
+    def _versions(self, spark: SparkSession, kind: str) -> dict[int, str]:
+        """The committed folders of a kind by their number."""
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        root = path(f"{self.path}/{kind}")
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return {int(p.getName().split("=")[1]): p.toString() for p in found if fs.exists(path(p, "_SUCCESS"))}
+
+    def read(self, spark: SparkSession, schema: str, below: int | None = None) -> DataFrame:
+        """The table as of all batches, or of those with a lower number than `below`, which must not be compacted."""
+        base, delta = self._versions(spark, "base"), self._versions(spark, "delta")
+        last = max(base, default=-1)
+        if below is not None and below <= last:
+            raise ValueError(f"batch {below} is in the base of batch {last}")
+        parts = [(last, base[last])] if base else []
+        parts += sorted((n, p) for n, p in delta.items() if n > last and (below is None or n < below))
+        if not parts:
+            return spark.createDataFrame([], schema)
+        folder = F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/[^/]*$", 1).cast("long")
+        rows = spark.read.schema(schema).parquet(*[p for _, p in parts]).withColumn("__batch", folder)
+        return self.merged(rows, self.key, F.col("__batch")).drop("__batch")
+
+    def compact(self, spark: SparkSession, schema: str) -> None:
+        delta = self._versions(spark, "delta")
+        if not delta:
+            return
+        last = max(delta)
+        self.read(spark, schema).write.mode("overwrite").parquet(f"{self.path}/base/batch={last}")
+        path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        old = [p for n, p in self._versions(spark, "base").items() if n < last]
+        for p in [*old, *delta.values()]:
+            path(p).getFileSystem(conf).delete(path(p), True)

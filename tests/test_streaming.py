@@ -1,35 +1,41 @@
 """Streaming forms against their batch twins."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import memory
+from tessera.operators.store import UpsertTable, append_messages
 from tessera.session import table
 from tessera.streaming import jobs
 
+#: Longer than the events last, so that their files may come in any order.
+DELAY = "400 days"
+
 
 @pytest.fixture
 def events(spark, sf_dir, tmp_path):
-    """The events in three files that come in by time."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("value")).cache()
-    cut = e.select(F.percentile_approx(F.unix_timestamp("ts"), [0.33, 0.66])).first()[0]
-    part = F.when(F.unix_timestamp("ts") <= cut[0], 0).when(F.unix_timestamp("ts") <= cut[1], 1).otherwise(2)
-    for i in range(3):
-        e.where(part == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    """The events in three files that come in out of order, and one event long after them, which moves the watermark past them."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("value")).cache()
+    last = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 900 DAYS")).alias("ts"), F.lit("end").alias("value"))
+    for i in (2, 0, 1):
+        e.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    last.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     return e, spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
 
 
 def drain(stream, name, tmp_path):
     q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q.awaitTermination(240)
     return stream.sparkSession.table(name)
 
 
 def test_rate_limit(events, tmp_path):
     batch, stream = events
-    got = drain(jobs.rate_limit(stream.select("user_id", "event_id", "ts"), 3, 86_400), "limited", tmp_path)
+    got = drain(jobs.rate_limit(stream.select("user_id", "event_id", "ts"), 3, 86_400, DELAY), "limited", tmp_path).where("user_id >= 0")
     want = memory.accepted_hits(batch, 3, 86_400, "user_id", "ts", "event_id")
     rows = lambda df: sorted((r.event_id, r.accepted) for r in df.select("event_id", "accepted").collect())
     assert rows(got) == rows(want) and not all(a for _, a in rows(got))
@@ -37,26 +43,70 @@ def test_rate_limit(events, tmp_path):
 
 def test_streaks(events, tmp_path):
     batch, stream = events
-    got = drain(jobs.streaks(stream), "runs", tmp_path)
+    got = drain(jobs.streaks(stream, 3, DELAY), "runs", tmp_path)
     want = memory.streaks(batch, None, 3, "user_id", "value", ("ts", "event_id"))
     assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect()) != []
 
 
+def test_memories_end(events, tmp_path):
+    batch, stream = events
+    ends = F.when(F.col("event_id") % 2 == 0, F.col("ts") + F.expr("INTERVAL 7 DAYS"))
+    as_memories = lambda df: df.select("user_id", F.col("event_id").alias("id"), "ts", ends.alias("expires_at"))
+    got = drain(jobs.memories(as_memories(stream), DELAY), "memories", tmp_path).where("user_id >= 0")
+    state = lambda s: sorted(r.id for r in got.where(F.col("state") == s).collect())
+    assert state("kept") == sorted(r.event_id for r in batch.collect())
+    assert state("ended") == sorted(r.event_id for r in batch.collect() if r.event_id % 2 == 0)
+
+
+def test_state_ends_by_the_clock(spark, tmp_path):
+    df = spark.createDataFrame([("a",)], "action string")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("action string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = jobs.confirmations(stream, 2, ttl_ms=2_000)
+    got = []
+    for wait in (0, 0, 4):
+        time.sleep(wait)
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(once=True).start()  # with processing time, availableNow runs on and on
+        assert q.awaitTermination(60)
+        got.append(sorted((r.confirmed, r.locked) for r in spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert got[-1].count((1, False)) >= 2  # counted anew after the end
+
+
 def test_confirmations_and_repeats(events, tmp_path):
     batch, stream = events
-    got = drain(jobs.confirmations(stream.select(F.col("value").alias("action"))), "confirmed", tmp_path)
+    got = drain(jobs.confirmations(stream.select(F.col("value").alias("action"))), "confirmed", tmp_path).where("action <> 'end'")
     last = {r.action: (r.n, r.locked) for r in got.groupBy("action").agg(F.max("confirmed").alias("n"), F.max("locked").alias("locked")).collect()}
     assert last == {r.value: (r["count"], True) for r in batch.groupBy("value").count().collect()}
-    twice = stream.select(F.explode(F.array(F.lit(1), F.lit(2))), F.col("event_id").cast("string").alias("qa_id"), F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("created_at"))
-    once = drain(jobs.once(twice, "400 days"), "fresh", tmp_path)
-    assert once.count() == batch.count()
+
+
+def test_messages_once_and_those_without_an_id(events, tmp_path):
+    batch, stream = events
+    name = F.when(F.col("event_id") % 5 == 0, "").when(F.col("event_id") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("event_id").cast("string"))
+    messages = lambda df: df.where("user_id >= 0").select(F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"), name.alias("qa_id"), F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("created_at"))
+    got = drain(jobs.once(messages(stream), DELAY), "fresh", tmp_path).drop("copy")
+    want = append_messages(messages(batch).drop("copy").limit(0), messages(batch).drop("copy"))
+    rows = lambda df: sorted(map(str, df.select("qa_id", "session_id", "created_at").collect()))
+    assert rows(got) == rows(want) and got.where("coalesce(qa_id, '') = ''").count() > batch.where("event_id % 5 = 0").count()
 
 
 def test_feedback_loop(spark, tmp_path):
     at = datetime(2024, 1, 1)
-    rows = [("a", at, "how to register", "You can.", 1), ("b", at + timedelta(1), "what is it", "It is so.", 5), ("c", at, "what is it", "It was cut off before completion", None)]
-    df = spark.createDataFrame(rows, "qa_id string, ts timestamp, query string, response string, rating int").withColumns({"failure_type": F.lit(""), "comment": F.lit(""), "form_ids": F.array().cast("array<string>")})
-    df.coalesce(1).write.parquet(f"{tmp_path}/fb")
-    jobs.feedback_loop(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/fb"), f"{tmp_path}/kept", f"{tmp_path}/ck").awaitTermination(60)
-    kept = {r.qa_id: r.failure_type for r in spark.read.parquet(f"{tmp_path}/kept").collect()}
-    assert kept == {"a": "wrong_form", "b": "", "c": "incomplete"}
+    rows = [[("a", at, "how to register", "You can.", 1), ("b", at + timedelta(1), "what is it", "It is so.", 5), ("c", at, "what is it", "It was cut off before completion", None), ("d", at, "what is it", "No.", None)], [("c", at + timedelta(2), None, None, 2), ("b", at + timedelta(3), None, None, 4)], [("c", at + timedelta(4), None, None, 1), ("d", at + timedelta(4), None, None, 5)]]
+    frame = lambda part: spark.createDataFrame(part, "qa_id string, ts timestamp, query string, response string, rating int").withColumns({"failure_type": F.lit(""), "comment": F.lit(None).cast("string"), "form_ids": F.lit(None).cast("array<string>")})
+    for part in rows:
+        df = frame(part)
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/fb")
+        jobs.feedback_loop(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/fb"), f"{tmp_path}/kept", f"{tmp_path}/ck").awaitTermination(60)
+    kept = UpsertTable(f"{tmp_path}/kept", ["qa_id"])
+    now = lambda: {r.qa_id: (r.query, r.rating, r.failure_type) for r in kept.read(spark, jobs.FEEDBACK_SCHEMA).collect()}
+    want = {"a": ("how to register", 1, "wrong_form"), "b": ("what is it", 4, None), "c": ("what is it", 1, "incomplete"), "d": ("what is it", 5, None)}
+    assert now() == want
+    jobs.learn_feedback(kept, frame(rows[2]), 2)  # a batch that is run again
+    assert now() == want
+    kept.compact(spark, jobs.FEEDBACK_SCHEMA)
+    assert now() == want and not kept._versions(spark, "delta")
+    jobs.learn_feedback(kept, frame([("d", at + timedelta(9), None, None, 1)]), 3)
+    assert now()["d"][1:] == (1, "other")
+    with pytest.raises(ValueError):
+        kept.read(spark, jobs.FEEDBACK_SCHEMA, below=2)
