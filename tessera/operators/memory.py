@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,29 +33,74 @@ def memory_id(content: Column, ts: Column) -> Column:
     return F.left(F.md5(F.concat(content, ts.cast("string")).cast("binary")), F.lit(12))
 
 
-def suppress_repeats(records: DataFrame, least: float = 0.8) -> DataFrame:
-    """Records of a user, in (ts, pos) order, without those whose words overlap an already kept one by more than `least`.
-
-    What is kept depends on what was, so a user's records are walked in order: sorted within
-    partitions, batch by batch. Only the words of one user's kept records are held, which
-    their caps bound; equal times and places are told apart by content.
+class Held:
+    """One user's memories as they stand: the newest of each tier up to its cap, by token, so that a new one meets only those it shares a token with."""
+
+    def __init__(self, caps: dict[str, int]):
+        self.caps, self.tiers, self.of, self.size, self.next = caps, {}, {}, {}, 0
+
+    def repeats(self, words: set[str], least: float) -> bool:
+        shared = Counter(i for w in words for i in self.of.get(w, ()))
+        return any(n > least * (len(words) + self.size[i] - n) for i, n in shared.items())
+
+    def add(self, words: set[str], tier: str, ends) -> None:
+        for w in words:
+            self.of.setdefault(w, set()).add(self.next)
+        self.size[self.next] = len(words)
+        held = self.tiers.setdefault(tier, deque())
+        held.append((self.next, words, ends))
+        self.next += 1
+        if len(held) > self.caps.get(tier, MOST_LONG):
+            self._drop(held.popleft())
+
+    def expire(self, now) -> None:
+        for tier, held in self.tiers.items():
+            gone = [r for r in held if r[2] is not None and r[2] < now]
+            if gone:
+                self.tiers[tier] = deque(r for r in held if r[2] is None or r[2] >= now)
+                for r in gone:
+                    self._drop(r)
+
+    def _drop(self, record: tuple) -> None:
+        i, words, _ = record
+        del self.size[i]
+        for w in words:
+            self.of[w].discard(i)
+            if not self.of[w]:
+                del self.of[w]
+
+
+def suppress_repeats(records: DataFrame, least: float = 0.8, most_long: int = MOST_LONG, most_mid: int = MOST_MID) -> DataFrame:
+    """Records of a user, in (ts, pos) order, without those whose words overlap one that is held then by more than `least`.
+
+    Held are the newest most_long long-term and most_mid mid-term ones that have not ended
+    when a record comes in, so what was held long ago may be stored again. What is held
+    depends on what was, so a user's records are walked in order: sorted within partitions,
+    batch by batch, with the held ones of one user in memory and bounded work a record.
+    records: (user, ts, pos, content) and, if they have them, tier and expires_at; equal times
+    and places are told apart by content. A record without a word is never a repeat.
     """
-    df = records.withColumn("words", F.array_distinct(T.tokens(F.col("content"))))
+    tier = F.col("tier") if "tier" in records.columns else F.lit("longterm")
+    ends = F.col("expires_at") if "expires_at" in records.columns else F.lit(None).cast("timestamp")
+    df = records.withColumns({"words_": F.array_distinct(T.tokens(F.col("content"))), "tier_": tier, "at_": F.unix_micros(F.col("ts").cast("timestamp")), "ends_": F.unix_micros(ends.cast("timestamp"))})
+    caps = {"longterm": most_long, "midterm": most_mid}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, seen = object(), []
-        for pdf in batches:
-            kept = []
-            for u, words in zip(pdf.user, pdf.words):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, held = object(), Held(caps)
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: B023, E731
+            keep = []
+            for u, words, t, at, end in zip(column("user"), column("words_"), column("tier_"), column("at_"), column("ends_")):
                 if u != user:
-                    user, seen = u, []
-                w = set(words)
-                kept.append(not w or all(len(w & s) <= least * len(w | s) for s in seen))
-                if w and kept[-1]:
-                    seen.append(w)
-            yield pdf[kept]
-
-    return df.repartition("user").sortWithinPartitions("user", "ts", "pos", "content").mapInPandas(run, df.schema).drop("words")
+                    user, held = u, Held(caps)
+                held.expire(at)
+                w = set(words or ())
+                keep.append(not w or not held.repeats(w, least))
+                if keep[-1]:
+                    held.add(w, t, end)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.repartition("user").sortWithinPartitions("user", "ts", "pos", "content").mapInArrow(run, df.schema).drop("words_", "tier_", "at_", "ends_")
 
 
 def alive(records: DataFrame, now: Column) -> DataFrame:

@@ -7,6 +7,10 @@ the one-row case.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,6 +70,129 @@ def bm25(queries: DataFrame, chunks: DataFrame, posts: DataFrame | None = None,
     return hit.groupBy("query_id", "source_key", "chunk_no").agg(F.sum(score).alias("bm25"))
 
 
+#: Chunks of a cell of a source's postings, and of a block, which has one upper bound a term.
+CELL, BLOCK = 4096, 8
+
+
+def impacts(posts: DataFrame, stats: DataFrame) -> DataFrame:
+    """(source_key, cell, term, chunks, parts): posting lists of up to CELL chunks each with every chunk's part of a BM25 score, sorted by chunk.
+
+    A source's chunks are dealt over cells by hash, so a source of any size is many lists.
+    """
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    cell = F.pmod(F.xxhash64("chunk_no"), F.ceil(F.col("n_chunks") / CELL)).cast("int")
+    df = posts.join(stats.select("source_key", "term", "n_chunks", "avgdl", "idf"), ["source_key", "term"]).select("source_key", cell.alias("cell"), "term", "chunk_no", part.alias("part"))
+    rows = F.array_sort(F.collect_list(F.struct("chunk_no", "part")))
+    return df.groupBy("source_key", "cell", "term").agg(rows.alias("r")).select("source_key", "cell", "term", F.col("r.chunk_no").alias("chunks"), F.col("r.part").alias("parts"))
+
+
+class Postings:
+    """The lists of a cell over its chunks' places, with the greatest part of each block."""
+
+    def __init__(self, lists: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.chunks = np.unique(np.concatenate([c for c, _ in lists.values()]))
+        self.blocks = -(-len(self.chunks) // BLOCK)
+        self.of = {}
+        for term, (chunks, parts) in lists.items():
+            at = np.searchsorted(self.chunks, chunks)
+            most = np.zeros(self.blocks)
+            np.maximum.at(most, at // BLOCK, parts)
+            self.of[term] = (at, parts, most)
+
+    def best(self, terms: list[tuple[str, int]], k: int, digits: int = 6) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """(chunks, scores) of the k best by (rounded score, chunk), the postings scored, and all postings of the terms.
+
+        Lists are taken from the one that can give most. A posting is scored only if its chunk,
+        with what it has so far and what its block can still get, may reach the k-th best so
+        far; parts below zero are taken first, so that what is had never falls again.
+        """
+        mine = [(at, n * part, n * most) for t, n in terms if t in self.of for at, part, most in [self.of[t]]]
+        below = [x for x in mine if x[1].min() < 0]
+        above = sorted((x for x in mine if x[1].min() >= 0), key=lambda x: -x[2].max())
+        have, seen = np.zeros(len(self.chunks)), np.zeros(len(self.chunks), bool)
+        scored = 0
+        for at, part, _ in below:
+            have[at] += part
+            seen[at] = True
+            scored += len(at)
+        rest = np.zeros((len(above) + 1, self.blocks))
+        if above:
+            rest[:-1] = np.cumsum([x[2] for x in above][::-1], axis=0)[::-1]
+        floor, whole, at_least = -np.inf, np.zeros(len(self.chunks), bool), 1
+        for i, (at, part, _) in enumerate(above):
+            hope = (have[at] + rest[i][at // BLOCK] >= floor - 2e-6) & ~whole[at]
+            at = at[hope]
+            have[at] += part[hope]
+            seen[at] = True
+            scored += len(at)
+            if i + 1 >= at_least and seen.sum() >= k:  # ever more seldom: the most hopeful chunks are scored whole, which raises the floor
+                at_least *= 2
+                open_ = np.flatnonzero(seen & ~whole)
+                if len(open_):
+                    hopeful = have[open_] + rest[i + 1][open_ // BLOCK]
+                    top = open_[np.argpartition(hopeful, -min(k, len(open_)))[-k:]]
+                    for later, more, _ in above[i + 1 :]:
+                        j = np.minimum(np.searchsorted(later, top), len(later) - 1)
+                        hit = later[j] == top
+                        have[top[hit]] += more[j[hit]]
+                        scored += int(hit.sum())
+                    whole[top] = True
+                known = have[seen]
+                floor = max(floor, np.partition(known, -k)[-k])
+        at = np.flatnonzero(seen)
+        order = np.lexsort((self.chunks[at], -np.floor(have[at] * 10**digits + 0.5)))[:k]
+        return self.chunks[at[order]], have[at[order]], scored, sum(len(x[0]) for x in mine)
+
+
+def bm25_best(queries: DataFrame, chunks: DataFrame, k: int, posts: DataFrame | None = None, stats: DataFrame | None = None, counted: bool = False) -> DataFrame:
+    """(query_id, source_key, chunk_no, bm25): for each query at least the k best chunks of each source, at most k a cell; rank them to cut.
+
+    A cell's lists come first in a sorted stream, then the queries, so a task holds one cell,
+    whose size is bounded, and no query set is gathered. chunk_no and query_id are whole
+    numbers. counted: instead (scored, matched) postings a task.
+    """
+    posts = store(postings(chunks)) if posts is None else posts  # read twice below
+    stats = store(term_stats(chunks, posts)) if stats is None else stats
+    words = store(queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n")))
+    asked_for = small(store(words.select("term").distinct()))
+    lists = impacts(posts.join(asked_for, "term", "left_semi"), stats)
+    cells = stats.groupBy("source_key").agg(F.ceil(F.max("n_chunks") / CELL).cast("int").alias("cells")).select("source_key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    asked = words.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "n"))).alias("t"))
+    asked = cells.join(asked)  # the stated query set against all cells
+    none = lambda kind: F.lit(None).cast(kind)
+    stream = lists.select("source_key", "cell", F.lit(0).alias("tag"), none("long").alias("query_id"), F.array("term").alias("terms"), F.col("chunks").cast("array<long>").alias("nos"), "parts")
+    stream = stream.unionByName(asked.select("source_key", "cell", F.lit(1).alias("tag"), F.col("query_id").cast("long").alias("query_id"), F.col("t.term").alias("terms"), F.col("t.n").alias("nos"), none("array<double>").alias("parts")))
+    stream = stream.repartition("source_key", "cell").sortWithinPartitions("source_key", "cell", "tag", "query_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lists, built = None, {}, None
+        done = matched = 0
+        for batch in batches:
+            source, cell, tag, query, terms = (batch.column(i).to_pylist() for i in range(5))
+            nos, parts = batch.column(5), batch.column(6)
+            out = []
+            for i in range(len(batch)):
+                if (source[i], cell[i]) != now:
+                    now, lists, built = (source[i], cell[i]), {}, None
+                if tag[i] == 0:
+                    lists[terms[i][0]] = (np.asarray(nos[i].values), np.asarray(parts[i].values))
+                    continue
+                if built is None:
+                    if not lists:
+                        continue
+                    built = Postings(lists)
+                found, score, n, every = built.best(list(zip(terms[i], nos[i].as_py())), k)
+                done, matched = done + n, matched + every
+                out += [(query[i], source[i], int(c), float(s)) for c, s in zip(found, score)]
+            if not counted:
+                cols = list(zip(*out)) if out else [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], batch.schema.field(0).type), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], ["query_id", "source_key", "chunk_no", "bm25"])
+        if counted:
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([matched], pa.int64())], ["scored", "matched"])
+
+    return stream.mapInArrow(run, "scored long, matched long" if counted else "query_id long, source_key string, chunk_no long, bm25 double")
+
+
 def _top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
@@ -142,10 +269,18 @@ def section_frequency(ranked: DataFrame) -> DataFrame:
 
 
 def dedupe_exact(docs: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """Of rows with equal text the first in order, found by a grouped minimum and a join on the digest."""
+    """Of rows with equal text the first in order, with digest and copies.
+
+    The grouped minimum, a row a text, is stored and meets the rows on what it chose, the
+    digest and the order, so the copies of one text are dealt out by their order.
+    """
     d = docs.withColumn("digest", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    first = d.groupBy("digest").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("copies"))
-    return d.join(first, "digest").where(F.struct(*order) == F.col("first")).drop("first")
+    first = store(d.groupBy("digest").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("copies")))
+    first = first.select("digest", "copies", *[F.col(f"first.{c}").alias(c) for c in order])
+    on = d["digest"] == first["digest"]
+    for c in order:
+        on = on & d[c].eqNullSafe(first[c])
+    return d.join(first, on).select(*[d[c] for c in d.columns], first["copies"])
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

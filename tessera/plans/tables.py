@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import constants as C
 from tessera.functions import responses as R
 from tessera.functions import text as T
-from tessera.functions.vectors import dot
+from tessera.functions.vectors import dot, nearest
 from tessera.operators import chunking, feedback, memory, search, store
 from tessera.session import table
 from tessera.sources import registry as sources
@@ -53,7 +53,7 @@ FROM d QUALIFY rank <= 12"""
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = search.bm25(_questions(spark, sf_dir), _chunks(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
+    scored = search.bm25_best(_questions(spark, sf_dir), _chunks(spark, sf_dir), search.PER_SOURCE).withColumn("bm25", F.round("bm25", 6))
     return search._top(scored, ["query_id", "source_key"], [F.desc("bm25"), "chunk_no"], 4).select("query_id", "source_key", "rank", "chunk_no", "bm25")
 
 
@@ -79,12 +79,11 @@ def vector_topk_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nearest(spark: SparkSession, sf_dir: str, by: list[str], k: int) -> DataFrame:
-    from tessera.functions.vectors import similarities
-
     e = table(spark, sf_dir, "embeddings")
-    asked = [(r.vec_id, r.embedding) for r in e.where("vec_id % 50 = 0").collect()]  # the stated query set
-    scored = similarities(asked, e, -1.0, ["vec_id", "label"]).withColumn("score", F.round("cosine", 6))
-    return search._top(scored, by, [F.desc("score"), "vec_id"], k)
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")  # the stated query set
+    group = "label" if "label" in by else None
+    found = nearest(asked, e.withColumnRenamed("vec_id", "row_id"), k, group).withColumnRenamed("row_id", "vec_id")
+    return search._top(found.withColumn("score", F.round("cosine", 6)), by, [F.desc("score"), "vec_id"], k)
 
 
 def _nearest_sql(by: str, k: int, columns: str) -> str:
