@@ -361,3 +361,27 @@ def register(spark) -> None:
                     yield (i, *(r.get(c, "") for c in CHUNK_COLUMNS[2:]))
 
         spark.udtf.register(name, udtf(Parser, returnType="chunk_no int, " + ", ".join(f"{c} string" for c in CHUNK_COLUMNS[2:])))
+
+    class RunningSizes:
+        """Over TABLE(...) PARTITION BY key ORDER BY place: the key, the place, the running size of the texts, and the size of the one before."""
+
+        @staticmethod
+        def analyze(rows):
+            from pyspark.sql.types import LongType, StructType
+            from pyspark.sql.udtf import AnalyzeResult
+
+            if not rows.isTable or len(rows.dataType.fields) != 3:
+                raise ValueError("a table of a key, a place and a text")
+            key, place, _ = rows.dataType.fields
+            return AnalyzeResult(StructType().add(key.name, key.dataType).add(place.name, place.dataType).add("chars", LongType()).add("before", LongType()))
+
+        def __init__(self):
+            self.chars, self.last = 0, 0
+
+        def eval(self, row):
+            size = len(row[2] or "")
+            self.chars += size
+            yield row[0], row[1], self.chars, self.last
+            self.last = size
+
+    spark.udtf.register("running_sizes", udtf(RunningSizes))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import cases, fixtures, tables
+from tessera.plans import documents, tables, turns
 
 
 def _all() -> list[tuple[Callable, str | None]]:
-    return [*tables.QUERIES, *fixtures.QUERIES, *cases.QUERIES]
+    return [*tables.QUERIES, *documents.QUERIES, *turns.QUERIES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

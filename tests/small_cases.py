@@ -20,8 +20,8 @@ from tessera.functions.models import FixedAnswer, HashedWords
 from tessera.functions.vectors import unit
 from tessera.operators import chunking, feedback, forms, memory, search, store
 from tessera.operators import generation as G
-from tessera.plans import fixtures
-from tessera.plans.fixtures import _P, _forms, _texts
+import small_tables as fixtures
+from small_tables import _P, _forms, _texts
 from tessera.session import scratch
 from tessera.sources import extract
 from tessera.sources import registry as sources
@@ -613,12 +613,13 @@ def negative_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @expect("qa_id, failure_type", [("a", "wrong_form"), ("b", ""), ("c", "incomplete")])
 def feedback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negative feedback is diagnosed as it comes in, and kept with its failure type."""
-    rows = [("a", AT, "how to register", "You can.", 1), ("b", AT + timedelta(1), "what is it", "It is so.", 5), ("c", AT, "what is it", "It was cut off before completion", None)]
+    rows = [("a", AT, "how to register", "You can.", 1), ("b", AT + timedelta(1), "what is it", "It is so.", 5), ("c", AT, "what is it", "It was cut off before completion", 0)]
     df = spark.createDataFrame(rows, "qa_id string, ts timestamp, query string, response string, rating int").withColumns({"failure_type": F.lit(""), "comment": F.lit(""), "form_ids": F.array().cast("array<string>")})
     came, kept, state = scratch(spark), scratch(spark), scratch(spark)
     df.coalesce(1).write.parquet(came)
     jobs.feedback_loop(spark.readStream.schema(df.schema).parquet(came), kept, state).awaitTermination()
-    return spark.read.parquet(kept).select("qa_id", "failure_type")
+    found = store.UpsertTable(kept, ["qa_id"]).read(spark, jobs.FEEDBACK_SCHEMA)
+    return found.select("qa_id", F.coalesce("failure_type", F.lit("")).alias("failure_type"))
 
 
 @expect("name, length", [("a.txt", 2), ("b.txt", 4)], length="BIGINT")

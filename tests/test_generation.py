@@ -91,7 +91,7 @@ def test_command_line(spark, tmp_path):
 
 
 def test_command_line_reads_tables_and_presentations(spark, tmp_path):
-    from tessera.plans.cases import _deck
+    from small_cases import _deck
     from tessera.sources import registry
 
     long = "A row of a table that is long enough to be kept as a chunk by itself."
