@@ -12,6 +12,14 @@ from tessera.session import checkpoint
 BROADCAST_ROWS = 1_000_000
 
 
+def own_prefix(columns: list[str]) -> str:
+    """What no column's name begins with, so that an operator's own columns never meet a caller's."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are few, else as it is, for a shuffled join.
 
@@ -31,8 +39,9 @@ def row_key() -> Column:
 
 
 def _met(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    d, k = docs.withColumn("__th", row_key()["th"]).alias("d"), keys.alias("k")
-    return d.join(k, (F.col("d.__th") == F.col("k.th")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), how).drop("__th")
+    th = own_prefix(docs.columns) + "th"
+    d, k = docs.withColumn(th, row_key()["th"]).alias("d"), keys.alias("k")
+    return d.join(k, (F.col(f"d.{th}") == F.col("k.th")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), how).drop(th)
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -48,5 +57,6 @@ def once_each(docs: DataFrame, again: DataFrame) -> DataFrame:
     keys = sized(keys)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     w = Window.partitionBy("doc_id", row_key()["th"]).orderBy(*others or [F.lit(0)])
-    one = _met(docs, keys, "left_semi").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    n = own_prefix(docs.columns) + "n"
+    one = _met(docs, keys, "left_semi").withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
     return _met(docs, keys, "left_anti").unionByName(one)

@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two grouped minima and two joins on edge rows; nothing is gathered on the
-driver but two checksums a round, and a hub's edges are only ever the streamed side of a
-join against one row a node, which adaptive execution may split.
+driver but two checksums a round. The minima, a row a node, are stored before they meet the
+edges again, so both sides of that join are plain exchanges and a hub's edges, its streamed
+side, are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v) with u > v in; the same after one large-star or small-star step."""
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = checkpoint(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         out = near.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        low = checkpoint(edges.groupBy("u").agg(F.min("v").alias("m")))
         out = edges.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v"))
     return out.where("u <> v").distinct()
 
@@ -40,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = checkpoint(e)
     mark = _mark(e)
     while mark[0]:
-        e = checkpoint(_star(_star(e, True), False))
+        e = checkpoint(_star(checkpoint(_star(e, True)), False))
         was, mark = mark, _mark(e)
         if was == mark:
             break

@@ -14,6 +14,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Break no line, but part words.
 PARTING = frozenset("br mtable mtr mtd annotation annotation-xml svg g path rect circle ellipse line polyline polygon text tspan textpath defs use symbol marker lineargradient radialgradient stop clippath mask filter pattern image desc switch animate animatetransform set".split())
 
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(DROPPED) + r")(?=[\s/>])(?:[^>]*/>|[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z))", re.S | re.I)
+_OPENS = re.compile(r"<!--|<!\[CDATA\[|<(" + "|".join(DROPPED) + r")(?=[\s/>])", re.I)
+_CLOSES = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in DROPPED}
 _CONTROL = re.compile(r"<(/?)(" + "|".join(sorted(CONTROLS)) + r")(?=[\s/>])((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*)()[^>]*>|<[!?][^>]*>")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))|(hidden|display:\s*none|aria-hidden)", re.I)
@@ -37,12 +39,38 @@ _ANY_TAG = re.compile(r"<[^>]*>")
 _SPACE = re.compile(r"\s+")
 
 
+class Node:
+    """An open element under those around it; `new` are the features that its path has and theirs have not."""
+
+    __slots__ = ("up", "element", "new", "inside", "holder", "weight")
+
+    def __init__(self, up: Node | None, element: str, new: tuple[str, ...]):
+        self.up, self.element, self.new, self.weight = up, element, new, None
+        tag = element.partition(" ")[0]
+        self.inside = tag in ("article", "main") or (up is not None and up.inside)
+        self.holder = element.startswith(("article", "main")) or (up is not None and up.holder)
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    node: Node | None  # paths are links to the element around, as copies of them would grow with their square
     text: str
     linked: int  # characters within links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, node = [], self.node
+        while node is not None:
+            out.append(node.element)
+            node = node.up
+        return tuple(reversed(out))
+
+
+@lru_cache(1 << 14)
+def _own_features(element: str) -> tuple[str, ...]:
+    tag, *names = element.split(" ")
+    return (f"in {tag}", *(f"name {w}" for w in names))
+
 
 def _element(tag: str, attributes: str) -> str:
     """tag, with the parts of its class, id and role names."""
@@ -61,7 +89,7 @@ def _closed_controls(page: str) -> set[int]:
     """Where the controls start that hold text and whose end is the next tag of their name; others end nothing and hold nothing."""
     waiting: dict[str, tuple[int, int]] = {}
     found = set()
-    for m in _CONTROL.finditer(page):
+    for m in _CONTROL.finditer(page, 0, page.rfind(">") + 1):
         tag = m[2].lower()
         if not m[1]:
             waiting.pop(tag, None)
@@ -69,16 +97,46 @@ def _closed_controls(page: str) -> set[int]:
                 waiting[tag] = m.span()
         elif tag in waiting:
             start, inner = waiting.pop(tag)
-            if _ANY_TAG.sub("", page[inner : m.start()]).strip():
+            last = page.rfind(">", inner, m.start()) + 1  # no tag ends after it
+            if last <= inner:
+                last = inner
+            if page[last : m.start()].strip() or _ANY_TAG.sub("", page[inner:last]).strip():
                 found.add(start)
     return found
 
 
+def _without_dropped(page: str) -> str:
+    """The page without comments, character data sections and elements whose content is no markup; one pass, whatever is left open."""
+    out, at, last = [], 0, page.rfind(">")
+    while m := _OPENS.search(page, at):
+        if m[1] is None:
+            mark = "-->" if page[m.end() - 1] == "-" else "]]>"
+            end, instead = page.find(mark, m.end()), ""
+            end = len(page) if end < 0 else end + 3
+        elif m.end() > last:  # no tag ends any more
+            out.append(page[at : m.end()])
+            at = m.end()
+            continue
+        else:
+            end, instead = page.index(">", m.end()) + 1, " "
+            if page[end - 2] != "/":
+                close = _CLOSES[m[1].lower()].search(page, end, last + 1)
+                end = close.end() if close else len(page)
+        out += [page[at : m.start()], instead]
+        at = end
+    return "".join(out) + page[at:]
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, white space and character references resolved; blank ones are left out."""
+    """The leaf blocks of a page in order, white space and character references resolved; blank ones are left out.
+
+    Linear in the page's length, whatever is nested or left open in it.
+    """
     out: list[Block] = []
-    stack: list[str] = []  # open elements that break lines
+    nodes: list[Node] = []  # open elements that break lines
     tags: list[str] = []
+    open_at: dict[str, list[int]] = {}  # places of a tag's open elements
+    seen: set[str] = set()  # features of the path
     pieces: list[str] = []
     links = linked = 0
 
@@ -91,21 +149,27 @@ def blocks(page: str) -> list[Block]:
                 text = html.unescape(text)
             text = _SPACE.sub(" ", text).strip()
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                out.append(Block(nodes[-1] if nodes else None, text, linked))
         linked = 0
 
+    def cut(i: int) -> None:
+        while len(tags) > i:
+            open_at[tags.pop()].pop()
+            seen.difference_update(nodes.pop().new)
+
+    def last(tag: str) -> int:
+        places = open_at.get(tag)
+        return places[-1] if places else -1
+
     def close(tag: str, within: tuple[str, ...] = ()) -> None:
-        for i in range(len(tags) - 1, -1, -1):
-            if tags[i] == tag:
-                del tags[i:], stack[i:]
-                return
-            if tags[i] in within:
-                return
-
-    page = _GONE.sub(lambda m: "" if m[1] is None else " ", page)
+        i = last(tag)
+        if i >= 0 and all(last(w) < i for w in within):
+            cut(i)
+
+    page = _without_dropped(page)
     closed = _closed_controls(page)
     at = 0
-    for m in _TAG.finditer(page):
+    for m in _TAG.finditer(page, 0, page.rfind(">") + 1):
         if m.start() > at:
             piece = page[at : m.start()]
             pieces.append(piece)
@@ -120,7 +184,7 @@ def blocks(page: str) -> list[Block]:
             if tag == "a":
                 links = max(0, links - 1) if end else 1
             continue
-        if tag in PARTING or tag in CONTROLS and (tag not in tags if end else m.start() not in closed):
+        if tag in PARTING or tag in CONTROLS and (last(tag) < 0 if end else m.start() not in closed):
             pieces.append(" ")
             continue
         flush()
@@ -131,7 +195,7 @@ def blocks(page: str) -> list[Block]:
             links = 0
             continue
         if tags and tags[-1] == "p" and tag not in CONTROLS:
-            del tags[-1], stack[-1]
+            cut(len(tags) - 1)
         if tag == "li":
             close("li", ("ul", "ol"))
         elif tag in ("td", "th"):
@@ -142,8 +206,12 @@ def blocks(page: str) -> list[Block]:
         elif tag in ("dt", "dd"):
             close("dt", ("dl",))
             close("dd", ("dl",))
+        element = _element(tag, m[3] or "")
+        new = tuple(f for f in _own_features(element) if f not in seen)
+        seen.update(new)
+        open_at.setdefault(tag, []).append(len(tags))
         tags.append(tag)
-        stack.append(_element(tag, m[3] or ""))
+        nodes.append(Node(nodes[-1] if nodes else None, element, new))
     if at < len(page):
         pieces.append(page[at:])
     flush()
@@ -173,7 +241,7 @@ def text_features(b: Block) -> tuple[str, ...]:
 
 
 def _has_holder(page: list[Block]) -> bool:
-    return any(p.startswith(("article", "main")) for b in page for p in b.path)
+    return any(b.node is not None and b.node.holder for b in page)
 
 
 @dataclass
@@ -196,7 +264,7 @@ def fit(pages: list[list[tuple[str, int]]], steps: int = 150, rate: float = 0.15
             marks = [int(p[0]) for p in parts[1:]]
             text = _SPACE.sub(" ", text).strip()
             if text:
-                found.append(Block(b.path, text, min(b.linked, len(text))))
+                found.append(Block(b.node, text, min(b.linked, len(text))))
                 waiting.append(len(found) - 1)
                 labels.append(-1)
             if marks:
@@ -262,10 +330,26 @@ def viterbi(e: list[float], model: Model) -> list[int]:
 
 
 class Extractor:
-    """Labels pages with a model; weights of element paths are kept, up to a bound."""
-
-    def __init__(self, model: Model, most: int = 50_000):
-        self.model, self.most, self.known = model, most, {}
+    """Labels pages with a model. An element's weight is worked out once, from that of the element around it."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def weight(self, node: Node | None, holder: bool) -> float:
+        """The weights of path_features(), summed up along the path."""
+        w = self.model.weights
+        around, open_ = node, []
+        while around is not None and around.weight is None:
+            open_.append(around)
+            around = around.up
+        total = around.weight if around is not None else 0.0
+        for x in reversed(open_):
+            total += sum(w.get(f, 0.0) for f in x.new)
+            x.weight = total
+        total += w.get(f"parent {node.element.partition(' ')[0] if node else '-'}", 0.0)
+        if not holder:
+            return total + w.get("no article", 0.0)
+        return total + (w.get("outside the article", 0.0) if node is None or not node.inside else 0.0)
 
     def main_text(self, page: str | None) -> str:
         found = blocks(page) if page else []
@@ -273,12 +357,7 @@ class Extractor:
             return ""
         w, holder, e = self.model.weights, _has_holder(found), []
         for b in found:
-            key = (b.path, holder)
-            x = self.known.get(key)
-            if x is None:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                x = self.known[key] = sum(w.get(f, 0.0) for f in path_features(b.path, holder))
+            x = self.weight(b.node, holder)
             for f in text_features(b):
                 x += w.get(f, 0.0)
             e.append(x)

@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tessera.llm import kernels as K
+from tessera.llm.common import own_prefix
 
 PIECE = 1024
 SPACE, OTHER = 0, 1  # symbols: anything but letters; bytes that no labelled letter has
@@ -292,5 +293,6 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     Without a usable label no language is known, and all texts with a letter stay.
     """
-    found = _parsed(docs, learn(docs), docs.columns, "text", "__lang", "__score")
-    return found.where(~F.col("__lang").eqNullSafe(UND)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = own_prefix(docs.columns)
+    found = _parsed(docs, learn(docs), docs.columns, "text", f"{own}lang", f"{own}score")
+    return found.where(~F.col(f"{own}lang").eqNullSafe(UND)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -224,11 +224,12 @@ def repeated_lines(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
 
 
 def _taken_out(docs: DataFrame, fuzzy: bool, keep: list[str]) -> DataFrame:
-    """The kept columns, then __kept, __n_lines, __n_removed, __emptied and __null (the text was null)."""
+    """The kept columns as c0, c1 and so on, whatever their names, then __kept, __n_lines, __n_removed, __emptied and __null (the text was null)."""
     g = store(repeated_lines(docs, fuzzy)).hint("merge").alias("g")  # of no proven size, so never broadcast
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"), F.col("text").isNull().alias("__null")).alias("d")
-    joined = d.join(g, (F.col("d.__th") == F.col("g.th")) & F.col("d.__id").eqNullSafe(F.col("g.doc_id")), "left").select(*[F.col(f"d.`{c}`") for c in [*keep, "__text", "__null"]], F.col("g.gone").alias("__gone"))
+    names = [f"c{i}" for i in range(len(keep))]
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"), F.col("text").isNull().alias("__null")).alias("d")
+    joined = d.join(g, (F.col("d.__th") == F.col("g.th")) & F.col("d.__id").eqNullSafe(F.col("g.doc_id")), "left").select(*[F.col(f"d.{c}") for c in [*names, "__text", "__null"]], F.col("g.gone").alias("__gone"))
     lines = F.when(F.col("__text") == "", F.array().cast("array<string>")).otherwise(F.split("__text", "\n", -1))
     joined = joined.withColumn("__lines", lines)
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
@@ -236,7 +237,7 @@ def _taken_out(docs: DataFrame, fuzzy: bool, keep: list[str]) -> DataFrame:
     joined = joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(rest))
     n_gone = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
     emptied = F.col("__gone").isNotNull() & ~F.col("__kept").rlike(r"[^\x20\x09-\x0D]")
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "__kept", F.size("__lines").cast("long").alias("__n_lines"), n_gone.alias("__n_removed"), emptied.alias("__emptied"), "__null")
+    return joined.select(*names, "__kept", F.size("__lines").cast("long").alias("__n_lines"), n_gone.alias("__n_removed"), emptied.alias("__emptied"), "__null")
 
 
 def without_lines(docs: DataFrame, fuzzy: bool = True, keep: list[str] | None = None) -> DataFrame:
@@ -249,9 +250,9 @@ def without_lines(docs: DataFrame, fuzzy: bool = True, keep: list[str] | None =
     length are compared whole. Clashing columns are replaced; empty tables stay empty.
     """
     new = ["kept_text", "n_lines", "n_removed", "emptied"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     out = _taken_out(docs, fuzzy, keep)
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__kept").alias("kept_text"), F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.col("__emptied").alias("emptied"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("__kept").alias("kept_text"), F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.col("__emptied").alias("emptied"))
 
 
 def deduplicate(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -260,9 +261,14 @@ def deduplicate(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
     Columns stay as they are, whatever their names, but text, and n_chars, if there is one,
     which counts the new text's characters.
     """
-    changed = F.col("__n_removed") > 0
-    df = _taken_out(docs, fuzzy, [c for c in docs.columns if c != "text"]).where("NOT __emptied")
-    df = df.withColumn("text", F.when(~F.col("__null"), F.col("__kept")))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*[f"`{c}`" for c in docs.columns])
+    df = _taken_out(docs, fuzzy, docs.columns).where("NOT __emptied")
+    text = F.when(~F.col("__null"), F.col("__kept"))
+
+    def column(i: int, name: str) -> Column:
+        if name == "text":
+            return text.alias(name)
+        if name == "n_chars":
+            return F.when(F.col("__n_removed") > 0, F.length(text).cast(docs.schema[name].dataType)).otherwise(F.col(f"c{i}")).alias(name)
+        return F.col(f"c{i}").alias(name)
+
+    return df.select(*[column(i, c) for i, c in enumerate(docs.columns)])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import sized
+from tessera.llm.common import own_prefix, sized
 from tessera.session import checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -152,19 +152,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     only, so repeated rows count each. Clashing columns of docs are replaced. No rows in, no
     rows out.
     """
-    base = docs.select(F.xxhash64(F.col("doc_id")).alias("__key"), F.col("source").alias("__source"), n_words(F.col("text")).alias("__size"), *[F.col(c) for c in (docs.columns if columns is None else columns)])
+    p = own_prefix(docs.columns)
+    base = docs.select(F.xxhash64(F.col("doc_id")).alias(f"{p}key"), F.col("source").alias(f"{p}source"), n_words(F.col("text")).alias(f"{p}size"), *[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)])
     if columns is not None:
         base = checkpoint(base)
         sizes = base
     else:  # the text stays where it is: sizes are kept beside it, and taken again when the copies are known
-        sizes = checkpoint(base.select("__key", "__source", "__size"))
-    sizes = sizes.select(F.col("__key").alias("key"), F.col("__source").alias("source"), F.col("__size").alias("size"))
+        sizes = checkpoint(base.select(f"{p}key", f"{p}source", f"{p}size"))
+    sizes = sizes.select(F.col(f"{p}key").alias("key"), F.col(f"{p}source").alias("source"), F.col(f"{p}size").alias("size"))
     goal, copies = plan(sizes, weights, share, cap)
     new = ["size", "source_size", "target", "rate", "copies", "taken"]
-    kept = [c for c in base.columns if not c.startswith("__") and c not in new]
+    kept = [c for c in base.columns if not c.startswith(p) and c.lower() not in new]
     b, g, c = base.alias("b"), sized(goal).alias("g"), sized(copies).alias("c")
-    on = F.col("b.__source").eqNullSafe(F.col("c.source")) & (_cls(F.col("b.__size")) == F.col("c.cls")) & (_bin(F.col("b.__key")) == F.col("c.h")) & (F.col("b.__size") > 0)
-    out = b.join(g, F.col("b.__source").eqNullSafe(F.col("g.source"))).join(c, on, "left")
+    on = F.col(f"b.{p}source").eqNullSafe(F.col("c.source")) & (_cls(F.col(f"b.{p}size")) == F.col("c.cls")) & (_bin(F.col(f"b.{p}key")) == F.col("c.h")) & (F.col(f"b.{p}size") > 0)
+    out = b.join(g, F.col(f"b.{p}source").eqNullSafe(F.col("g.source"))).join(c, on, "left")
     n = F.coalesce(F.col("c.copies"), F.lit(0))
-    rate = F.when(F.col("b.__size") > 0, _rate(F.col("g.lam"), F.col("b.__size"), F.col("g.mean"), cap)).otherwise(0.0)
-    return out.select(*[F.col(f"b.`{k}`") for k in kept], F.col("b.__size").alias("size"), F.col("g.source_size").alias("source_size"), F.col("g.target").alias("target"), rate.alias("rate"), n.alias("copies"), (n * F.col("b.__size")).alias("taken"))
+    rate = F.when(F.col(f"b.{p}size") > 0, _rate(F.col("g.lam"), F.col(f"b.{p}size"), F.col("g.mean"), cap)).otherwise(0.0)
+    return out.select(*[F.col(f"b.`{k}`") for k in kept], F.col(f"b.{p}size").alias("size"), F.col("g.source_size").alias("source_size"), F.col("g.target").alias("target"), rate.alias("rate"), n.alias("copies"), (n * F.col(f"b.{p}size")).alias("taken"))

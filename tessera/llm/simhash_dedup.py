@@ -118,10 +118,10 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     if not 0 <= radius <= 3:
         raise ValueError("the index guarantees links within three bits at most")
     least = 8 - radius
-    one = fps.select("fp").distinct()
+    one = checkpoint(fps.select("fp").distinct())
     keys = [F.struct(F.lit(i).alias("t"), sum((F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) * F.lit(1 << (8 * k)) for k, p in enumerate(t)), F.lit(0).cast("long")).alias("v")) for i, t in enumerate(TRIPLES)]
     post = one.select("fp", F.explode(F.array(*keys)).alias("k")).select((F.col("k.t") * F.lit(1 << 24) + F.col("k.v")).alias("k"), "fp")
-    size = post.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    size = checkpoint(post.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))  # stored, so that a long posting list can be split where it meets its size
     blocks = F.ceil(F.col("n") / BLOCK)
     mine = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("long")
     tasks = (

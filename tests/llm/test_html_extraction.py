@@ -85,3 +85,17 @@ def test_formulas_and_controls(model):
     for x in ("<button>Share this</button>", "<select><option>One</option><option>Two</option></select>", "<noscript>Please turn on scripts to see this.</noscript>", "<video src='x'>Your browser can not play this video.</video>"):
         assert e.main_text(f"<article>{p}{x}{p}</article>") == f"{main}\n\n{main}", x
     assert [b.text for b in H.blocks("<p>a <button>b</button> c</p>")] == ["a", "b", "c"] and H.blocks("<p>a <button>b</button> c</p>")[2].path == ("p",)
+
+
+def test_broken_and_nested_pages_take_linear_time():
+    import resource
+    import time
+
+    e = H.Extractor(H.learn(100))
+    for bit in ("<title ", "<button x ", "<a ", "<div>", "<div>t", "</div>", "<title>", "</title ", "<li><ul>", "<select><button>", "<!--", "<x", "<p>t</p></li>"):
+        for end in ("", ">"):
+            began = time.process_time()
+            e.main_text(bit * (1_000_000 // len(bit)) + end)
+            assert time.process_time() - began < 30, bit
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 2_000_000  # KB, of the whole test process
+    assert H.blocks("<div>" * 50_000 + "t")[0].path == ("div",) * 50_000
