@@ -99,19 +99,19 @@ def detect_language(c: Column) -> Column:
     """ms, mixed or en, by the share of Malay marker words."""
     text = F.lower(strip(c))
     words = F.regexp_count(text, F.lit("[a-zA-Z']+"))
-    share = F.regexp_count(text, F.lit(r"(?iU)\b(?:" + "|".join(C.MALAY_MARKERS) + r")\b")) / words
+    share = F.regexp_count(text, F.lit("(?iU)" + C.MALAY_MARKERS)) / words
     return F.when(words == 0, "en").when(share >= 0.25, "ms").when(share >= 0.10, "mixed").otherwise("en")
 
 
 def is_greeting(c: Column) -> Column:
-    return c.rlike(r"(?iU)^(?:" + "|".join(C.GREETINGS) + r")\W*$")
+    return c.rlike("(?iU)" + C.GREETINGS)
 
 
 def is_followup(c: Column, turns_before: Column) -> Column:
     """With earlier turns, at most five words, and a reference back or a continuation."""
     n = F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
-    back = c.rlike(r"(?iU)\b(?:" + "|".join(C.BACK_REFERENCES) + r")\b")
-    goes_on = strip(c).rlike(r"(?iU)^(?:" + "|".join(C.CONTINUATIONS) + r")\b")
+    back = c.rlike("(?iU)" + C.BACK_REFERENCES)
+    goes_on = strip(c).rlike("(?iU)" + C.CONTINUATIONS)
     return (turns_before > 0) & (n <= 5) & (back | goes_on)
 
 

@@ -105,7 +105,7 @@ def parse_general(docs: DataFrame) -> DataFrame:
 
 def is_malay_line(line: Column) -> Column:
     """More Malay words than English ones, and fewer than three English ones."""
-    count = lambda words: F.regexp_count(line, F.lit(r"(?iU)\b(?:" + "|".join(words) + r")\b"))
+    count = lambda words: F.regexp_count(line, F.lit("(?iU)" + words))
     malay, english = count(C.MALAY_LINE_WORDS), count(C.ENGLISH_LINE_WORDS)
     return (malay > english) & (english < 3)
 

@@ -415,11 +415,10 @@ def _analysis_sql() -> str:
     expanded = "text"
     for pattern, new in C.SYNONYMS:
         expanded = f"regexp_replace({expanded}, {q('(?i)' + pattern)}, {q(new)}, 'g')"
-    any_of = lambda words: "(?:" + "|".join(words) + ")"
     return rf"""WITH t AS (SELECT conv_id, turn, text, lower(text) AS low, lower({_STRIP.format('text')}) AS s, {", ".join(f"{h} AS w{i}" for i, h in enumerate(hits))} FROM (SELECT *, lower(text) AS low FROM conversations)),
-n AS (SELECT *, len(regexp_extract_all(s, '[a-zA-Z'']+')) AS words, len(regexp_extract_all(s, {q('(?i)' + chr(92) + 'b' + any_of(C.MALAY_MARKERS) + chr(92) + 'b')})) AS malay FROM t)
-SELECT conv_id, turn, regexp_matches(text, {q('(?i)^' + any_of(C.GREETINGS) + chr(92) + 'W*$')}) AS greeting,
-  turn > 0 AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) <= 5 AND (regexp_matches(text, {q('(?i)' + chr(92) + 'b' + any_of(C.BACK_REFERENCES) + chr(92) + 'b')}) OR regexp_matches({_STRIP.format('text')}, {q('(?i)^' + any_of(C.CONTINUATIONS) + chr(92) + 'b')})) AS followup,
+n AS (SELECT *, len(regexp_extract_all(s, '[a-zA-Z'']+')) AS words, len(regexp_extract_all(s, {q('(?i)' + C.MALAY_MARKERS)})) AS malay FROM t)
+SELECT conv_id, turn, regexp_matches(text, {q('(?i)' + C.GREETINGS)}) AS greeting,
+  turn > 0 AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) <= 5 AND (regexp_matches(text, {q('(?i)' + C.BACK_REFERENCES)}) OR regexp_matches({_STRIP.format('text')}, {q('(?i)' + C.CONTINUATIONS)})) AS followup,
   CASE {strong} {weak} END AS act, CASE WHEN words = 0 THEN 'en' WHEN malay / words >= 0.25 THEN 'ms' WHEN malay / words >= 0.10 THEN 'mixed' ELSE 'en' END AS lang,
   regexp_matches(text, '(?i)\bCLBG\b|company limited by guarantee|Checklist for CLBG') AS clbg, md5({expanded}) AS expanded FROM n"""
 
