@@ -54,7 +54,12 @@ def term_stats(chunks: DataFrame, posts: DataFrame) -> DataFrame:
     """(source_key, term, df, n_chunks, avgdl, idf): Okapi idf, negative ones raised to EPSILON times the source's mean."""
     words = posts.groupBy("source_key").agg(F.sum("tf").alias("words"))  # so that texts are cut into words only once
     size = chunks.groupBy("source_key").agg(F.count("*").alias("n_chunks")).join(words, "source_key").withColumn("avgdl", F.col("words") / F.col("n_chunks")).drop("words")
-    df = posts.groupBy("source_key", "term").agg(F.count("*").alias("df")).join(size, "source_key")
+    return weigh_terms(posts.groupBy("source_key", "term").agg(F.count("*").alias("df")), size)
+
+
+def weigh_terms(df: DataFrame, size: DataFrame) -> DataFrame:
+    """df (source_key, term, df) with (n_chunks, avgdl) of its source, from size, and idf."""
+    df = df.join(size, "source_key")
     raw = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean = df.groupBy("source_key").agg(F.avg(raw).alias("mean"))
     return df.join(mean, "source_key").select("source_key", "term", "df", "n_chunks", "avgdl", F.when(raw < 0, EPSILON * F.col("mean")).otherwise(raw).alias("idf"))

@@ -61,6 +61,37 @@ def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(max(done, key=lambda p: int(p.getName().split("=")[1])).toString())
 
 
+def committed(spark: SparkSession, folder: str) -> dict[int, str]:
+    """The folders name=number in a folder whose job has committed, by number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return {int(p.getName().split("=")[1]): p.toString() for p in found if fs.exists(path(p, "_SUCCESS"))}
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def save_bucketed(df: DataFrame, name: str, path: str, key: list[str], buckets: int) -> DataFrame:
+    """df as a table of one sorted file a bucket, under a name; a join on the key moves the other side only.
+
+    Worth it for tables that are probed again and again, with at least as many buckets as
+    shuffles have partitions. Rows of one key lie in one bucket, so keys are (nearly) unique.
+    """
+    df.repartition(buckets, *key).write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def open_bucketed(spark: SparkSession, name: str, path: str, schema: str, key: list[str], buckets: int) -> DataFrame:
+    """A table that save_bucketed() wrote, named again in a session that doesn't know it."""
+    by = ", ".join(f"`{c}`" for c in key)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 class UpsertTable:
     """A keyed table that batches are put into: a folder of rows a batch, read as the latest value a key and column.
 
@@ -85,12 +116,7 @@ class UpsertTable:
         rows.write.mode("overwrite").parquet(f"{self.path}/delta/batch={batch}")
 
     def _versions(self, spark: SparkSession, kind: str) -> dict[int, str]:
-        """The committed folders of a kind by their number."""
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        root = path(f"{self.path}/{kind}")
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return {int(p.getName().split("=")[1]): p.toString() for p in found if fs.exists(path(p, "_SUCCESS"))}
+        return committed(spark, f"{self.path}/{kind}")
 
     def read(self, spark: SparkSession, schema: str, below: int | None = None) -> DataFrame:
         """The table as of all batches, or of those with a lower number than `below`, which must not be compacted."""
@@ -112,7 +138,6 @@ class UpsertTable:
             return
         last = max(delta)
         self.read(spark, schema).write.mode("overwrite").parquet(f"{self.path}/base/batch={last}")
-        path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
         old = [p for n, p in self._versions(spark, "base").items() if n < last]
         for p in [*old, *delta.values()]:
-            path(p).getFileSystem(conf).delete(path(p), True)
+            remove(spark, p)

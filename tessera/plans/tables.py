@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from tessera.functions import responses as R
 from tessera.functions import text as T
 from tessera.functions.vectors import dot, nearest
 from tessera.operators import chunking, feedback, memory, search, store
-from tessera.session import table
+from tessera.operators.live_index import LiveIndex
+from tessera.session import scratch, table
 from tessera.sources import registry as sources
 
 
@@ -69,6 +72,19 @@ def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATS_SQL = f"WITH {_INDEX} SELECT s AS source_key, term, df, n AS n_chunks, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM stat"
 
 
+def index_after_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The even chunks indexed, the odd ones added, then a tenth of all removed: statistics by signed counts."""
+    chunks = _chunks(spark, sf_dir).select("source_key", "chunk_no", "text")
+    index = LiveIndex(scratch(spark), "source_key string, chunk_no long, text string")
+    index.apply(spark, 0, chunks.where("chunk_no % 2 = 0"))
+    index.apply(spark, 1, chunks.where("chunk_no % 2 = 1"))
+    index.apply(spark, 2, removed=chunks.where("chunk_no % 10 = 3"))
+    return index.stats(spark).select("source_key", "term", "df", "n_chunks", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
+
+
+UPDATES_SQL = STATS_SQL.replace("length(trim(text)) >= 40", "length(trim(text)) >= 40 AND doc_id % 10 <> 3", 1)
+
+
 def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four nearest vectors of each label for every vector with a number divisible by 50."""
     return _nearest(spark, sf_dir, ["query_id", "label"], 4).select("query_id", "label", "rank", "vec_id", "score")
@@ -198,12 +214,19 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return d.where("doc_id % 2 = 1"), d.where("doc_id % 2 = 0")
 
 
+def _asked_and_cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The odd documents, and the digests of the even ones as a table bucketed by digest."""
+    asked, cached = _halves(spark, sf_dir)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return asked, store.save_bucketed(cached.select("digest").distinct(), f"tessera_cache_{uuid.uuid4().hex}", scratch(spark), ["digest"], buckets)
+
+
 def embedding_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.cache_hits(*_halves(spark, sf_dir)).select("doc_id", "digest")
+    return search.cache_hits(*_asked_and_cached(spark, sf_dir)).select("doc_id", "digest")
 
 
 def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.cache_misses(*_halves(spark, sf_dir)).select("doc_id", "digest")
+    return search.cache_misses(*_asked_and_cached(spark, sf_dir)).select("doc_id", "digest")
 
 
 def _cache_sql(word: str) -> str:
@@ -449,7 +472,7 @@ def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 MESSAGES_SQL = "SELECT conv_id || '-' || turn AS qa_id, text AS query, turn AS created_at FROM conversations WHERE conv_id = 3"
 
 QUERIES = [
-    (hybrid_search_topk, HYBRID_SQL), (bm25_topk, BM25_SQL), (bm25_term_stats, STATS_SQL),
+    (hybrid_search_topk, HYBRID_SQL), (bm25_topk, BM25_SQL), (bm25_term_stats, STATS_SQL), (index_after_updates, UPDATES_SQL),
     (vector_topk_per_label, _nearest_sql("query_id, label", 4, "query_id, label")), (vector_topk_global, _nearest_sql("query_id", 12, "query_id")),
     (self_similarity, "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length FROM embeddings"),
     (clean_text, CLEAN_SQL), (sentence_split, SENTENCE_SQL), (sentence_pack, PACK_SQL), (chunk_windows, WINDOWS_SQL), (line_classes, _line_sql()),
