@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 
@@ -53,6 +54,28 @@ class Unseeing:
         return ""
 
 
+class Parallel:
+    """A text model that is waited for, such as a server, asked `width` prompts at a time."""
+
+    def __init__(self, model: TextModel, width: int = 8):
+        self.model, self.width = model, width
+
+    def complete(self, prompt: str, system: str = "") -> str:
+        return self.model.complete(prompt, system)
+
+    def complete_all(self, prompts: list[str], system: str = "") -> list[str]:
+        with ThreadPoolExecutor(self.width) as pool:
+            return list(pool.map(lambda p: self.model.complete(p, system), prompts))
+
+
+def complete_all(model: TextModel, prompts: list[str], system: str = "") -> list[str]:
+    """The answers to a batch of prompts in order; a model without complete_all is asked one after the other."""
+    if not prompts:
+        return []
+    together = getattr(model, "complete_all", None)
+    return together(prompts, system) if together else [model.complete(p, system) for p in prompts]
+
+
 def accept_rewrite(query: str, answer: str) -> str:
     """A model's rewritten query if it is usable, else the query itself."""
     answer = re.sub(r"(?s)<think>.*?</think>", "", answer).strip()

@@ -1,7 +1,7 @@
 """What surrounds the models: prompts, answers with one retry, chunking and classifying by a model.
 
-Every call goes through a TextModel or VisionModel inside Arrow batches; the stand-ins make
-all of it run, and repeat, offline.
+Every call goes through a TextModel or VisionModel inside Arrow batches, a batch's prompts
+together where the model takes them so; the stand-ins make all of it run, and repeat, offline.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import responses as R
 from tessera.functions import text as T
-from tessera.functions.models import TextModel, VisionModel, accept_description, accept_rewrite
+from tessera.functions.models import TextModel, VisionModel, accept_description, accept_rewrite, complete_all
 from tessera.operators.chunking import CHUNK_COLUMNS, CHUNK_SCHEMA, LEAST
 
 LEAST_ANSWER = 30
@@ -41,13 +41,14 @@ def _ends(text: str) -> bool:
     return bool(re.search(r"[.!?)\]`*|\-\w]\s*$", text))
 
 
-def answer_once_more(model: TextModel, text: str) -> str:
-    """An answer; if it is short or breaks off, a second one, unless that is an error."""
-    first = model.complete(text)
-    if first.startswith("❌") or (len(first.strip()) >= LEAST_ANSWER and _ends(first)):
-        return first
-    second = model.complete(text)
-    return second if second and not second.startswith("❌") else first
+def answers(model: TextModel, prompts: list[str]) -> list[str]:
+    """An answer each; where it is short or breaks off, a second one, unless that is an error."""
+    out = complete_all(model, prompts)
+    again = [i for i, a in enumerate(out) if not a.startswith("❌") and (len(a.strip()) < LEAST_ANSWER or not _ends(a))]
+    for i, second in zip(again, complete_all(model, [prompts[i] for i in again])):
+        if second and not second.startswith("❌"):
+            out[i] = second
+    return out
 
 
 def generate(prompts: DataFrame, model: TextModel) -> DataFrame:
@@ -55,7 +56,7 @@ def generate(prompts: DataFrame, model: TextModel) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"query_id": pdf.query_id, "response": [answer_once_more(model, p) for p in pdf.prompt]})
+            yield pd.DataFrame({"query_id": pdf.query_id, "response": answers(model, pdf.prompt.tolist())})
 
     return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {prompts.schema['query_id'].dataType.simpleString()}, response string")
 
@@ -67,7 +68,7 @@ def rewrite(queries: DataFrame, model: TextModel) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            said = [model.complete(f"Conversation:\n{h}\n\nFollow-up: {t}\nStandalone query:") for h, t in zip(pdf.history, pdf.text)]
+            said = complete_all(model, [f"Conversation:\n{h}\n\nFollow-up: {t}\nStandalone query:" for h, t in zip(pdf.history, pdf.text)])
             yield pd.DataFrame({"query_id": pdf.query_id, "text": [accept_rewrite(t, s) for t, s in zip(pdf.text, said)]})
 
     new = queries.where(asks).select("query_id", "text", "history").mapInPandas(run, f"query_id {kind}, text string")
@@ -79,7 +80,7 @@ def classify(queries: DataFrame, model: TextModel, taxonomy: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"query_id": pdf.query_id, "raw": [model.complete(t, taxonomy) for t in pdf.text]})
+            yield pd.DataFrame({"query_id": pdf.query_id, "raw": complete_all(model, pdf.text.tolist(), taxonomy)})
 
     raw = queries.select("query_id", "text").mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, raw string")
     return raw.withColumn("i", R.intent_column(F.col("raw"))).select("query_id", "i.*")
@@ -100,9 +101,12 @@ def chunks_by_model(docs: DataFrame, model: TextModel) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for key, name, page, text in zip(pdf.source_key, pdf.source_name, pdf.page, pdf.text):
-                found = next((c for c in (page_chunks(model.complete(text)) for _ in range(2)) if c is not None), None)
+            rows, texts = [], pdf.text.tolist()
+            cut = [page_chunks(a) for a in complete_all(model, texts)]
+            again = [i for i, c in enumerate(cut) if c is None]
+            for i, a in zip(again, complete_all(model, [texts[i] for i in again])):
+                cut[i] = page_chunks(a)
+            for key, name, page, text, found in zip(pdf.source_key, pdf.source_name, pdf.page, texts, cut):
                 for i, c in enumerate([{"content": text}] if found is None else found):
                     if len(content := str(c.get("content", "")).strip()) >= LEAST:
                         rows.append((key, name, str(c.get("part", "")), "", "", str(c.get("section", "")), str(c.get("section_title", "")), content, (int(page) << 20) + i))
@@ -138,8 +142,9 @@ def reflect(turns: DataFrame, model: TextModel) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, q, r in zip(pdf["qa_id"], pdf["query"], pdf["response"]):
-                text = re.sub(r"(?s)<think>.*?</think>", "", model.complete(f"Query: {q}\nResponse: {r[:400]}"))
+            said = complete_all(model, [f"Query: {q}\nResponse: {r[:400]}" for q, r in zip(pdf["query"], pdf["response"])])
+            for i, answer in zip(pdf["qa_id"], said):
+                text = re.sub(r"(?s)<think>.*?</think>", "", answer)
                 found = re.search(r"\{.*\}", re.sub(r"```(?:json)?", "", text), re.S)
                 got = json.loads(R.repair_json(found[0]) or "{}") if found else {}
                 rows.append((i, str(got.get("root_agent", "unknown")), str(got.get("suggested_intent", "")), [str(s) for s in got.get("suggested_sections") or []]))

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessera import cli
-from tessera.functions.models import FixedAnswer
+from tessera.functions.models import FixedAnswer, Parallel, complete_all
 from tessera.operators import generation as G
 from tessera.sources import extract
 
@@ -20,10 +20,29 @@ class Counting:
 
 def test_answers_are_tried_once_more():
     ok = "A whole answer that is long enough."
-    assert G.answer_once_more(Counting([ok]), "p") == ok
-    assert G.answer_once_more(Counting(["short", ok]), "p") == ok
-    assert G.answer_once_more(Counting(["This one breaks off in the middle,", "❌ error"]), "p").endswith("middle,")
-    assert G.answer_once_more(Counting(["❌ error"]), "p") == "❌ error"
+    assert G.answers(Counting([ok]), ["p"]) == [ok]
+    assert G.answers(Counting(["short", ok]), ["p"]) == [ok]
+    assert G.answers(Counting(["This one breaks off in the middle,", "❌ error"]), ["p"])[0].endswith("middle,")
+    assert G.answers(Counting(["❌ error"]), ["p"]) == ["❌ error"]
+
+
+class Server:
+    """Answers by prompt; the first time of some it breaks off. What was asked is noted."""
+
+    def __init__(self):
+        self.asked = []
+
+    def complete(self, prompt, system=""):
+        self.asked.append(prompt)
+        return "broken off," if int(prompt) % 3 == 0 and self.asked.count(prompt) == 1 else f"The whole answer to prompt number {prompt}."
+
+
+def test_batches_are_asked_together():
+    prompts, want = [str(i) for i in range(40)], [f"The whole answer to prompt number {i}." for i in range(40)]
+    together = Server()
+    assert G.answers(Parallel(together, 4), prompts) == want and G.answers(Server(), prompts) == want
+    assert len(together.asked) == 54 and sorted(together.asked[40:], key=int) == prompts[::3]  # the broken ones once more, after all
+    assert complete_all(Parallel(Server()), []) == [] and Parallel(FixedAnswer("a")).complete("p") == "a"
 
 
 def test_prompt_blocks(spark):
