@@ -2,18 +2,18 @@
 
 For each benchmark item, every window of as many words of a document (the whole document, if
 it is shorter) is a possible copy. Windows and items have 64-bit SimHash fingerprints over
-their five-word shingles, weighted by how often each occurs. Fingerprints are compared in
-PARTS bit blocks: two within RADIUS bits are within RADIUS // PARTS bits in a block at least,
-as with more differing bits in every block the whole would differ in more than RADIUS.
-Pairs within the radius are verified by the exact weighted Jaccard similarity of the
-shingle multisets.
-
-At such a radius a table of block values would name half of all items for any window, and
-hold each item a thousand times. So the index is entered by the rarest shared shingle, which
-loses nothing: a window as similar as SIMILARITY lacks less than a fifth of the item's
-shingles, so of any more of them, here those that the fewest items have, it holds one. The
-items that this names for a document are few, and only windows with enough shingles of such
-an item are fingerprinted and held against its blocks.
+their five-word shingles, weighted by how often each occurs. Fingerprints are indexed by
+their blocks of BLOCK bits, among items of one length: two that differ in RADIUS bits at most
+differ in no more than RADII[b] bits in some block b, as RADII[b] + 1 bits in every block are
+more than RADIUS. So the entries within those radii of a window's blocks hold every item
+within RADIUS of it, and some fifth of the others. Pairs within the radius are verified by the
+exact weighted Jaccard similarity of the shingle multisets.
+
+To fingerprint and look up every window at every item's length would cost thousands of probes
+a word. So windows are spared first, without loss: one as similar as SIMILARITY lacks less
+than a fifth of an item's shingles, so of any more of them, here those that the fewest items
+have, it holds one, and it holds enough of that item's shingles. Windows for which no item
+meets both are left out; which items those left are compared with is the blocks' choice.
 
 The items are the stated query set. They are taken in blocks of bounded size, each broadcast
 and held against all documents.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,13 @@ from tessera.llm.common import row_key, without, without_rows
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Fingerprints of texts as similar as SIMILARITY differ in 9.7 bits of 64 on average, with a deviation of 2.9.
-RADIUS, PARTS = 20, 5
-WIDTHS = (13, 13, 13, 13, 12)
+RADIUS = 20
+#: Four blocks of 16 bits; the radii are the least for which all of RADIUS is found.
+BLOCK, RADII = 16, (5, 4, 4, 4)
 #: Characters of a block of items, each item counted as ITEM_CHARS more. A model has some 8 bytes for each.
 BLOCK_CHARS, ITEM_CHARS = 8_000_000, 20
-#: Windows that are fingerprinted at a time.
-STEP = 1 << 14
+#: Windows that are fingerprinted at a time, and entries that are looked up at a time.
+STEP, PROBES = 1 << 14, 1 << 20
 
 
 @dataclass
@@ -61,6 +63,7 @@ class Model:
     rare_start: np.ndarray  # bounds of each one's part of rare_items
     rare_items: np.ndarray
     sieve: np.ndarray  # by the top 20 bits of such a shingle
+    tables: list[tuple[np.ndarray, np.ndarray]]  # a block's: sorted (words of the item, bits of the block), items
     short: dict[int, tuple[np.ndarray, np.ndarray]]  # words, under SHINGLE -> sorted hashes of all words, items
 
 
@@ -92,15 +95,52 @@ def _window_prints(s: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def within_radius(prints: np.ndarray, item: np.ndarray | np.uint64) -> np.ndarray:
-    """Which fingerprints are within RADIUS bits of the item's: first within the least radius of one block, then as a whole."""
-    x, shift = prints ^ item, 0
-    near = np.zeros(len(x), bool)
-    for width in WIDTHS:
-        near |= np.bitwise_count((x >> np.uint64(shift)) & np.uint64((1 << width) - 1)) <= RADIUS // PARTS
-        shift += width
-    near[near] = np.bitwise_count(x[near]) <= RADIUS
-    return near
+def _block(prints: np.ndarray, b: int) -> np.ndarray:
+    return (prints >> np.uint64(BLOCK * b)).astype(np.int64) & ((1 << BLOCK) - 1)
+
+
+@cache
+def _flips(radius: int) -> np.ndarray:
+    """The block values of so many bits at most."""
+    x = np.arange(1 << BLOCK)
+    return x[np.bitwise_count(x) <= radius]
+
+
+def named(m: Model, prints: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a fingerprint's number and an item of so many words that a block's entries name, each once.
+
+    A block's entries are found by all values within its radius, or, where the items have fewer, by going through those."""
+    pairs = []
+    for b, (radius, (keys, items)) in enumerate(zip(RADII, m.tables)):
+        lo, hi = np.searchsorted(keys, [n_words << BLOCK, (n_words + 1) << BLOCK])
+        mine, flips = keys[lo:hi], _flips(radius)
+        value = _block(prints, b)
+        if hi - lo <= len(flips):
+            which, at = np.nonzero(np.bitwise_count((mine & ((1 << BLOCK) - 1))[None, :] ^ value[:, None]) <= radius)
+        else:
+            probe = (value[:, None] ^ flips[None, :]).ravel() | (n_words << BLOCK)
+            first = np.searchsorted(mine, probe)
+            n = np.searchsorted(mine, probe, "right") - first
+            which = np.repeat(np.repeat(np.arange(len(prints)), len(flips)), n)
+            at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pairs.append(which * len(m.prints) + items[lo:hi][at])
+    return np.divmod(np.unique(np.concatenate(pairs)), max(len(m.prints), 1))
+
+
+def within_radius(m: Model, prints: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A fingerprint's number, an item of so many words, and their differing bits, for all pairs within RADIUS, by item."""
+    keys = m.tables[0][0]
+    lo, hi = np.searchsorted(keys, [n_words << BLOCK, (n_words + 1) << BLOCK])
+    step = max(1, PROBES // max(1, min(hi - lo, max(len(_flips(max(RADII))), (hi - lo) // 8))))  # bounds the probes, and about the pairs
+    parts = []
+    for x in range(0, len(prints), step):
+        which, item = named(m, prints[x : x + step], n_words)
+        bits = np.bitwise_count(prints[x + which] ^ m.prints[item])
+        near = bits <= RADIUS
+        parts.append((x + which[near], item[near], bits[near]))
+    which, item, bits = (np.concatenate(c) for c in zip(*parts))
+    by = np.argsort(item, kind="stable")
+    return which[by], item[by], bits[by]
 
 
 def prepare(rows: list[tuple[object, str, int]], id_type: DataType | None = None) -> Model:
@@ -142,8 +182,13 @@ def prepare(rows: list[tuple[object, str, int]], id_type: DataType | None = None
     rare, bounds = np.unique(flat[by], return_index=True)
     sieve = np.zeros(1 << 20, bool)
     sieve[(rare >> np.uint64(44)).astype(np.int64)] = True
+    prints, shingled, tables = _simhash(sums), np.flatnonzero(n_words >= SHINGLE), []
+    for b in range(len(RADII)):
+        key = (n_words[shingled] << BLOCK) | _block(prints[shingled], b)
+        order = np.argsort(key, kind="stable")
+        tables.append((key[order], shingled[order].astype(np.int32)))
     ids = pa.array([i for i, _, _ in rows], to_arrow_type(id_type or LongType()))
-    return Model(ids, np.array([m for _, _, m in rows], np.int64), n_words, _simhash(sums), start, flat, each, rare, np.append(bounds, len(by)), item[by], sieve, short)
+    return Model(ids, np.array([m for _, _, m in rows], np.int64), n_words, prints, start, flat, each, rare, np.append(bounds, len(by)), item[by], sieve, tables, short)
 
 
 def _similarity(values: np.ndarray, counts: np.ndarray, total: int, window: np.ndarray) -> float:
@@ -170,44 +215,57 @@ def _postings(m: Model, rare: np.ndarray) -> np.ndarray:
 
 
 def _search(m: Model, s: np.ndarray, n_words: int, rare: np.ndarray) -> dict[int, tuple[float, int, int, int]]:
-    """The best window for each item in one document: item -> (similarity, -start, words, differing bits). s: its shingles; rare: those that name items."""
+    """The best window for each item in one document: item -> (similarity, -start, words, differing bits). s: its shingles; rare: those that spare windows."""
     best: dict[int, tuple[float, int, int, int]] = {}
     order = np.argsort(s, kind="stable")
     ordered = s[order]
+
+    def places(i: int) -> np.ndarray:
+        """Where an item's shingles stand."""
+        values = m.values[m.start[i] : m.start[i + 1]]
+        lo, hi = np.searchsorted(ordered, values, "left"), np.searchsorted(ordered, values, "right")
+        n = hi - lo
+        return np.sort(order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+
+    spared: dict[int, list[np.ndarray]] = {}  # words of an item -> starts of windows
     for i in _postings(m, np.unique(rare)).tolist():
-        values, counts = m.values[m.start[i] : m.start[i + 1]], m.counts[m.start[i] : m.start[i + 1]]
         total, words = int(m.n_words[i]) - SHINGLE + 1, min(int(m.n_words[i]), n_words)
         w = words - SHINGLE + 1  # shingles of a window
         need = math.ceil(SIMILARITY / (1 + SIMILARITY) * (w + total) - 1e-9)
-        lo, hi = np.searchsorted(ordered, values, "left"), np.searchsorted(ordered, values, "right")
-        n = hi - lo
-        if n.sum() < need:
+        p = places(i)
+        if len(p) < need:
             continue
-        p = np.sort(order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])  # places of the item's shingles
         a, b = p[: len(p) - need + 1], p[need - 1 :]
         a, b = a[b - a < w], b[b - a < w]  # a window with `need` of them starts after b - w and at a at the latest
         a, b = np.minimum(a, len(s) - w), np.maximum(b - w + 1, 0)
         b = np.maximum(b, np.concatenate(([0], a[:-1] + 1)))  # both grow, so starts that an earlier range has are left out
         n = np.maximum(a - b + 1, 0)
         start = np.repeat(b, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        if not len(start):
-            continue
-        prints = _window_prints(s, start, w)
-        near = within_radius(prints, m.prints[i])
-        start, bits = start[near], np.bitwise_count(prints[near] ^ m.prints[i])
-        have = np.minimum(np.searchsorted(p, start + w) - np.searchsorted(p, start), w)
-        bound = have / (total + w - have)
-        for j in np.lexsort((start, -bound)).tolist():  # best first, until no bound reaches what was found
-            if bound[j] < max(SIMILARITY, best[i][0] if i in best else 0.0) - 1e-12:
-                break
-            x = int(start[j])
-            sim = _similarity(values, counts, total, s[x : x + w])
-            if sim >= SIMILARITY:
-                best[i] = max(best.get(i, (0.0, 0, 0, 0)), (sim, -x, words, int(bits[j])))
+        if len(start):
+            spared.setdefault(int(m.n_words[i]), []).append(start)
+    for length, starts in spared.items():
+        total, words = length - SHINGLE + 1, min(length, n_words)
+        w, start = words - SHINGLE + 1, np.unique(np.concatenate(starts))
+        which, item, bits = within_radius(m, _window_prints(s, start, w), length)
+        items, first = np.unique(item, return_index=True)
+        for i, x, y in zip(items.tolist(), first.tolist(), np.append(first[1:], len(item)).tolist()):
+            values, counts, p = m.values[m.start[i] : m.start[i + 1]], m.counts[m.start[i] : m.start[i + 1]], places(i)
+            at, differ = start[which[x:y]], bits[x:y]
+            have = np.minimum(np.searchsorted(p, at + w) - np.searchsorted(p, at), w)
+            bound = have / (total + w - have)
+            for j in np.lexsort((at, -bound)).tolist():  # best first, until no bound reaches what was found
+                if bound[j] < max(SIMILARITY, best[i][0] if i in best else 0.0) - 1e-12:
+                    break
+                z = int(at[j])
+                if i in best and bound[j] <= best[i][0] and z > -best[i][1]:  # as good at most, and later
+                    continue
+                sim = _similarity(values, counts, total, s[z : z + w])
+                if sim >= SIMILARITY:
+                    best[i] = max(best.get(i, (0.0, 0, 0, 0)), (sim, -z, words, int(differ[j])))
     return best
 
 
-def _block(docs: DataFrame, model: Model, id_type: DataType) -> DataFrame:
+def _found(docs: DataFrame, model: Model, id_type: DataType) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "item_id", "first_word", "n_words", "differing_bits", "similarity"]
 
@@ -267,7 +325,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
     out = None
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()  # about block_chars characters
-        part = _block(docs, prepare(sorted(((r.item_id, r.text, r.times) for r in rows), key=str), kind), kind)
+        part = _found(docs, prepare(sorted(((r.item_id, r.text, r.times) for r in rows), key=str), kind), kind)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -93,15 +93,40 @@ def test_many_short_items_stay_small_and_few_are_compared():
     assert {i: b[0] for i, b in D._search(model, s, 5009, rare).items()} == {77: 1.0}
 
 
-def test_radius_by_blocks_is_whole():
+def test_blocks_name_every_item_in_the_radius_and_few_others(monkeypatch):
     rnd = np.random.default_rng(4)
-    for n in range(0, 40):
-        bits = np.zeros((200, 64), np.uint8)
-        for row in bits:
-            row[rnd.choice(64, n, replace=False)] = 1
-        x = np.packbits(bits, axis=1).view(np.uint64).ravel()
-        assert D.within_radius(x, np.uint64(0)).all() == (n <= D.RADIUS)
-        assert D.within_radius(x, np.uint64(0)).any() == (n <= D.RADIUS)
+    pool = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rnd.choice(pool, 12 if i % 10 else 13)), 1) for i in range(12_000)]
+    model = D.prepare(items)
+    flip = np.zeros((400, 64), np.uint8)
+    for i, row in enumerate(flip):
+        row[rnd.choice(64, i % 40, replace=False)] = 1
+    prints = model.prints[rnd.integers(0, len(items), 400)] ^ np.packbits(flip, axis=1).view(np.uint64).ravel()
+    for n in (12, 13, 14):  # more items than values within a block's radius, fewer, and none
+        of = np.flatnonzero(model.n_words == n)
+        bits = np.bitwise_count(prints[:, None] ^ model.prints[of][None, :])
+        want = {(int(x), int(of[y]), int(bits[x, y])) for x, y in zip(*np.nonzero(bits <= D.RADIUS))}
+        which, item, differ = D.within_radius(model, prints, n)
+        assert set(zip(which.tolist(), item.tolist(), differ.tolist())) == want and len(which) == len(want)
+        assert n == 14 or want
+        named = D.named(model, prints, n)
+        assert len(named[0]) <= 0.25 * len(prints) * len(of)
+        with monkeypatch.context() as one_by_one:
+            one_by_one.setattr(D, "PROBES", 1)
+            assert [c.tolist() for c in D.within_radius(model, prints[:20], n)] == [c[which < 20].tolist() for c in (which, item, differ)]
+
+
+def test_items_come_from_the_blocks():
+    rnd = random.Random(5)
+    pool = [f"w{i}" for i in range(2000)]
+    items = [(i, " ".join(rnd.choice(pool) for _ in range(40)), 1) for i in range(50)]
+    model = D.prepare(items)
+    raw = np.frombuffer(items[7][1].encode(), np.uint8)
+    s = D.K.window_hashes(D.K.Words(raw, np.array([0, len(raw)]), D.K.NON_WORD).hashes(lower=True), D.SHINGLE)
+    _, rare = D._rare_hits(model, s, np.ones(len(s), bool))
+    assert {i: b[0] for i, b in D._search(model, s, 40, rare).items()} == {7: 1.0}
+    model.tables = [(keys[:0], of[:0]) for keys, of in model.tables]
+    assert D._search(model, s, 40, rare) == {}
 
 
 def test_string_ids_and_repeated_items(spark):
