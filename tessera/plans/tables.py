@@ -11,7 +11,7 @@ from tessera.functions import constants as C
 from tessera.functions import responses as R
 from tessera.functions import text as T
 from tessera.functions.vectors import dot, nearest
-from tessera.operators import chunking, feedback, memory, search, store
+from tessera.operators import chunking, feedback, memory, rules, search, store
 from tessera.operators.live_index import LiveIndex
 from tessera.session import scratch, table
 from tessera.sources import registry as sources
@@ -446,6 +446,27 @@ SELECT conv_id, turn, regexp_matches(text, {q('(?i)' + C.GREETINGS)}) AS greetin
   regexp_matches(text, '(?i)\bCLBG\b|company limited by guarantee|Checklist for CLBG') AS clbg, md5({expanded}) AS expanded FROM n"""
 
 
+def labels_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's label by the acts' rules and, as weak ones, the opening two words of all answers, which stand for seven topics."""
+    c = table(spark, sf_dir, "conversations")
+    topic, pair = F.col("conv_id") % 7, F.regexp_extract(F.lower("text"), r"(?U)^\W*(\w+\W+\w+)", 1)
+    openings = c.where("role = 'assistant'").select(pair.alias("phrase"), F.concat(F.lit("topic "), topic.cast("string")).alias("label"), F.lit(False).alias("strong"), (topic + 1000).alias("place")).where("phrase <> ''")
+    return rules.labels(c, rules.act_rules(spark).unionByName(openings), ["conv_id", "turn"])
+
+
+def _rules_sql() -> str:
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    fixed = [(p, act, strong) for strong, sets in ((True, C.STRONG_PHRASES), (False, C.WEAK_WORDS)) for act, phrases in sets for p in phrases]
+    values = ", ".join(f"({q(p)}, {q(act)}, {strong}, {i})" for i, (p, act, strong) in enumerate(fixed))
+    word = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+    runs = " UNION ".join(f"SELECT conv_id, turn, unnest(list_transform(range(1, len(words) - {n} + 2), lambda i: array_to_string(pieces[i:i + {n} - 2], '') || words[i + {n} - 1])) AS phrase FROM w" for n in range(1, 5))
+    return rf"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[{word}]+[^{word}]*') AS pieces, regexp_extract_all(lower(text), '[{word}]+') AS words FROM conversations),
+run AS ({runs}),
+r AS (SELECT * FROM (VALUES {values}) AS v(phrase, label, strong, place) UNION SELECT regexp_extract(lower(text), '^[^{word}]*([{word}]+[^{word}]+[{word}]+)', 1) AS p, 'topic ' || (conv_id % 7), false, 1000 + conv_id % 7 FROM conversations WHERE role = 'assistant' AND p <> ''),
+per AS (SELECT conv_id, turn, label, min(place) FILTER (strong) AS first, count(*) FILTER (NOT strong) AS n, min(place) FILTER (NOT strong) AS weak FROM run JOIN r USING (phrase) GROUP BY ALL)
+SELECT conv_id, turn, label FROM per WHERE first IS NOT NULL OR n >= 2 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY first NULLS LAST, n DESC, weak) = 1"""
+
+
 def response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every answer of every conversation, with no form shown: diagnosed issues, the failure that they mean, and the checks that it fails."""
     t = _turns(spark, sf_dir).withColumn("i", R.diagnose(F.col("query"), F.col("response"), F.array().cast("array<string>")))
@@ -482,5 +503,5 @@ QUERIES = [
     (bounded_history, _history_sql("<=")), (evicted_turns, _history_sql(">")), (history_budget, _history_budget_sql()), (language_streak, STREAK_SQL),
     (rate_limit, RATE_SQL), (memory_ttl, TTL_SQL), (memory_rank, MEMORY_SQL), (message_upsert, UPSERT_SQL), (sessions_list, SESSIONS_SQL),
     (session_delete, DELETE_SQL), (confirm_lock, LOCK_SQL), (correction_upsert, CORRECTION_SQL), (section_boost, BOOST_SQL),
-    (query_analysis, _analysis_sql()), (response_checks, _checks_sql()), (session_messages, MESSAGES_SQL),
+    (query_analysis, _analysis_sql()), (labels_by_rules, _rules_sql()), (response_checks, _checks_sql()), (session_messages, MESSAGES_SQL),
 ]
