@@ -110,32 +110,49 @@ class Streaks(InOrder):
 
 
 class Memories(StatefulProcessor):
-    """A user's memories by id with their end, as a map; an event-time timer at each end takes out what has ended and tells so."""
+    """A user's memories that will end, as a list of ids and ends; one event-time timer at the earliest end takes out what has ended and tells so.
+
+    The last end that came in for an id counts, and one that comes in without an end takes it
+    back. A batch reads and writes a user's list once, and a timer takes all that has ended.
+    """
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "id long", "ends long", self.ttl_ms)
+        self.held = handle.getListState("held", "id long, ends long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
+        out, new = [], {}
         for pdf in rows:
-            for i, ends in zip(pdf.id.tolist(), pdf.ends.tolist()):
-                ends = None if ends is None or ends != ends else int(ends)
-                self.held.updateValue((i,), (ends if ends is not None else -1,))
-                if ends is not None and self.ttl_ms is None:
-                    self.handle.registerTimer(ends // 1000)
-                out.append((key[0], i, "kept", ends))
+            ends = [None if e is None or e != e else int(e) for e in pdf.ends.tolist()]
+            new.update(zip(pdf.id.tolist(), ends))
+            out += [(key[0], i, "kept", e) for i, e in zip(pdf.id.tolist(), ends)]
+        if self.ttl_ms is not None:
+            self.held.appendList([(i, -1 if e is None else e) for i, e in new.items()])
+        else:
+            before = self._held()
+            self._keep({i: e for i, e in (before | new).items() if e is not None}, before)
         yield self.frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        gone = [(k[0], v[0]) for k, v in self.held.iterator() if 0 <= v[0] and v[0] // 1000 <= now]
-        for i, _ in gone:
-            self.held.removeKey((i,))
-        yield self.frame([(key[0], i, "ended", ends) for i, ends in gone])
+        held = self._held()
+        self._keep({i: e for i, e in held.items() if e // 1000 > now}, held)
+        yield self.frame([(key[0], i, "ended", e) for i, e in held.items() if e // 1000 <= now])
+
+    def _held(self) -> dict[int, int]:
+        return {r[0]: r[1] for r in self.held.get()} if self.held.exists() else {}
+
+    def _keep(self, held: dict[int, int], before: dict[int, int]) -> None:
+        if held == before:
+            return
+        if held:
+            self.held.put(list(held.items()))
+            self.handle.registerTimer(min(held.values()) // 1000)
+        else:
+            self.held.clear()
 
     def frame(self, rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["user_id", "id", "state", "ends"])

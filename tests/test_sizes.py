@@ -1,9 +1,11 @@
 """Queries on odd and on larger inputs than the tables have."""
 
 import duckdb
+import pandas as pd
 from test_queries import plain
 
 from tessera.plans import registry
+from tessera.streaming import jobs
 
 
 def test_query_analysis_on_odd_letters_and_blanks(spark, tmp_path):
@@ -15,3 +17,53 @@ def test_query_analysis_on_odd_letters_and_blanks(spark, tmp_path):
     duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     got = registry.queries()["query_analysis"](spark, str(tmp_path)).toPandas()
     assert plain(got) == plain(duck.sql(registry.oracle_sql()["query_analysis"]).df()) and got.followup.sum() >= 1
+
+
+class Handle:
+    """State of one key, list or map, whose calls are counted."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = [], 0, set()
+
+    def getListState(self, name, schema, ttl=None):
+        return self
+
+    getMapState = getListState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "get":
+                return iter(self.rows)
+            if name in ("put", "clear", "appendList"):
+                self.rows = [*(self.rows if name == "appendList" else []), *(args[0] if args else [])]
+            return bool(self.rows)
+
+        return call
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_memories_take_a_users_state_once():
+    """Calls to the state don't grow with a user's memories; later ends replace earlier ones or take them back."""
+    handle, state = Handle(), jobs.Memories(None)
+    state.init(handle)
+    told = lambda frames: [r for f in frames for r in f[["id", "state"]].itertuples(index=False, name=None)]
+    batch = lambda rows: iter([pd.DataFrame(rows, columns=["id", "ends"])])
+    assert len(told(state.handleInputRows((7,), batch([(i, 1_000_000 * (i + 1) if i % 2 else None) for i in range(1_000)]), Now(0)))) == 1_000
+    assert handle.calls < 10 and handle.timers == {2_000}
+    state.handleInputRows((7,), iter([]), Now(0))
+    assert told(state.handleInputRows((7,), batch([(1, None), (3, 9_000_000_000), (2, 3_000_000)]), Now(0))) == [(1, "kept"), (3, "kept"), (2, "kept")]
+    assert told(state.handleExpiredTimer((7,), Now(6_500), None)) == [(5, "ended"), (2, "ended")]
+    assert told(state.handleExpiredTimer((7,), Now(6_500), None)) == [] and 8_000 in handle.timers
+    assert len(told(state.handleExpiredTimer((7,), Now(10**9), None))) == 498 and handle.rows == [] and handle.calls < 30
