@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -14,6 +16,7 @@ from pyspark.sql.window import Window
 from tessera.functions import constants as C
 from tessera.functions import text as T
 from tessera.functions.vectors import dot
+from tessera.session import small, store
 
 LEAST_CHARS, TTL_DAYS, MOST_LONG, MOST_MID, INJECTED, LEAST_SCORE, MOST_CHARS = 10, 7, 50, 20, 3, 0.55, 500
 STREAK, TURNS, BUDGET = 3, 6, 2400
@@ -107,17 +110,96 @@ def alive(records: DataFrame, now: Column) -> DataFrame:
     return records.where(F.col("expires_at").isNull() | (F.col("expires_at") >= now))
 
 
+#: Memories of a cell, as many as a task holds at a time.
+CELL = 1 << 15
+
+
+class Words:
+    """The memories of a cell by word, as lists of their places."""
+
+    def __init__(self, words: pa.ListArray):
+        self.n = len(words)
+        place = np.repeat(np.arange(self.n, dtype=np.int32), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        coded = words.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        self.words = coded.dictionary
+        self.places = place[np.argsort(codes, kind="stable")]
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(self.words)))))
+
+    def best(self, queries: pa.ListArray, least: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, score) of up to `most` memories a query whose score is `least` or more, by score, then place."""
+        size = pc.list_value_length(queries).to_numpy(zero_copy_only=False)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        codes = pc.fill_null(pc.index_in(queries.flatten(), value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i, n in enumerate(size):
+            scores = np.arange(n + 1) / max(n, 1) * 0.4
+            enough = np.flatnonzero(scores >= least)
+            if not len(enough):
+                continue
+            lists = [self.places[self.begin[c] : self.begin[c + 1]] for c in codes[begin[i] : begin[i + 1]] if c >= 0]
+            shared = np.bincount(np.concatenate(lists), minlength=self.n) if lists else np.zeros(self.n, np.int64)
+            at = np.flatnonzero(shared >= enough[0])
+            at = at[np.argsort(-shared[at], kind="stable")[:most]]
+            out.append((np.full(len(at), i), at, scores[shared[at]]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _overlaps(records: DataFrame, queries: DataFrame, least: float, most: int) -> DataFrame:
+    """(query_id, tier_, seq, memory_id, score): at least the `most` memories of a query's user whose words it shares most, at most so many a cell.
+
+    A user's memories are dealt over cells by hash. A cell's memories come first in a sorted
+    stream, then its user's queries, so a task holds one cell, whose size is bounded, and a
+    query meets the lists of its own words instead of every memory.
+    """
+    words = lambda c: F.coalesce(F.array_distinct(T.tokens(F.col(c))), F.array().cast("array<string>"))
+    cells = small(store(records.where("user IS NOT NULL").groupBy("user").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))))
+    own = records.join(cells, "user").select("user", F.pmod(F.xxhash64("memory_id", "seq"), F.col("cells")).cast("int").alias("cell"), F.lit(0).alias("tag"), "tier_", "seq", "memory_id", words("content").alias("words"))
+    asked = queries.join(cells, "user").select("user", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(1).alias("tag"), "query_id", words("q").alias("words"))
+    stream = own.unionByName(asked, allowMissingColumns=True).select("user", "cell", "tag", "words", "query_id", "tier_", "seq", "memory_id")
+    stream = stream.repartition("user", "cell").sortWithinPartitions("user", "cell", "tag", "tier_", "seq")
+    schema = StructType([stream.schema[c] for c in ("query_id", "tier_", "seq", "memory_id")]).add("score", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, built, rows = None, [], None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            edge = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)] if keys else []
+            for a, b in zip(edge, edge[1:]):
+                part = batch.slice(a, b - a)
+                if keys[a][:2] != now:
+                    now, held, built = keys[a][:2], [], None
+                if keys[a][2] == 0:
+                    held.append(part)
+                    continue
+                if built is None:
+                    if not held:
+                        continue
+                    rows = pa.Table.from_batches(held)
+                    built = Words(pa.concat_arrays(rows.column("words").chunks))
+                    rows, held = rows.select(["tier_", "seq", "memory_id"]), []
+                query, place, score = built.best(part.column(3), least, most)
+                found = rows.take(pa.array(place))
+                yield from pa.table([part.column(4).take(pa.array(query)), *found.columns, pa.array(score)], names=schema.names).to_batches()
+
+    return stream.mapInArrow(run, schema)
+
+
 def rank(records: DataFrame, queries: DataFrame, least: float = LEAST_SCORE, most: int = INJECTED) -> DataFrame:
     """(query_id, rank, memory_id, score): a user's memories nearest to a query; without a query vector the first ones, long-term before mid-term.
 
     records: (user, memory_id, tier, seq, content, embedding); queries: (query_id, user, text, embedding).
+    Memories without a vector count by the share of the query's words that they have.
     """
     q = queries.select("query_id", "user", F.col("text").alias("q"), F.col("embedding").alias("qv"))
-    words = F.array_distinct(T.tokens(F.col("q")))
-    overlap = F.size(F.array_intersect(words, T.tokens(F.col("content")))) / F.greatest(F.size(words), F.lit(1)) * 0.4
-    score = F.when(F.col("qv").isNull(), F.lit(None).cast("double")).when(F.col("embedding").isNotNull(), dot(F.col("embedding"), F.col("qv"))).otherwise(overlap)
-    df = records.join(q, "user").withColumn("score", score).where(F.col("score").isNull() | (F.col("score") >= least))
-    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), F.when(F.col("tier") == "longterm", 0).otherwise(1), "seq")
+    r = records.withColumn("tier_", F.when(F.col("tier") == "longterm", 0).otherwise(1))
+    asked, columns = q.where("qv IS NOT NULL"), ["query_id", "tier_", "seq", "memory_id", "score"]
+    first = r.withColumn("n", F.row_number().over(Window.partitionBy("user").orderBy("tier_", "seq"))).where(F.col("n") <= most)
+    first = first.join(q.where("qv IS NULL"), "user").withColumn("score", F.lit(None).cast("double")).select(columns)
+    near = r.where("embedding IS NOT NULL").join(asked, "user").withColumn("score", dot(F.col("embedding"), F.col("qv")))
+    near = near.where(F.col("score").isNull() | (F.col("score") >= least)).select(columns)
+    df = _overlaps(r.where("embedding IS NULL"), asked, least, most).unionByName(near).unionByName(first)
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "tier_", "seq")
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "rank", "memory_id", "score")
 
 

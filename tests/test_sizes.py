@@ -1,9 +1,12 @@
 """Queries on odd and on larger inputs than the tables have."""
 
+import random
+
 import duckdb
 import pandas as pd
 from test_queries import plain
 
+from tessera.operators import memory
 from tessera.plans import registry
 from tessera.streaming import jobs
 
@@ -67,3 +70,23 @@ def test_memories_take_a_users_state_once():
     assert told(state.handleExpiredTimer((7,), Now(6_500), None)) == [(5, "ended"), (2, "ended")]
     assert told(state.handleExpiredTimer((7,), Now(6_500), None)) == [] and 8_000 in handle.timers
     assert len(told(state.handleExpiredTimer((7,), Now(10**9), None))) == 498 and handle.rows == [] and handle.calls < 30
+
+
+def test_memories_by_words_meet_lists_of_words_only(spark, monkeypatch):
+    """Over many cells and ties as by comparing all pairs, which the plan does no more."""
+    rnd = random.Random(2)
+    text = lambda n: " ".join(f"w{min(60, int(rnd.paretovariate(0.6)))}" for _ in range(n))
+    held = [("ab"[i % 2], i, rnd.choice(["longterm", "midterm"]), i // 3, text(rnd.randrange(12)) or None, None) for i in range(400)]
+    asked = [(i, "abc"[i % 3], text(rnd.randrange(9)), [1.0]) for i in range(60)]
+    r = spark.createDataFrame(held, "user string, memory_id long, tier string, seq long, content string, embedding array<float>")
+    q = spark.createDataFrame(asked, "query_id long, user string, text string, embedding array<float>")
+    monkeypatch.setattr(memory, "CELL", 30)
+    for least in (0.1, 0.0):
+        out = memory.rank(r.withColumn("seq", r.seq * 1000 + r.memory_id), q, least)
+        want = []
+        for i, user, words, _ in asked:
+            w = set(words.split())
+            mine = [(-len(w & set((c or "").split())) / max(len(w), 1) * 0.4, tier != "longterm", seq * 1000 + m, m) for u, m, tier, seq, c, _ in held if u == user]
+            want += [(i, n, x[3], round(-x[0], 9)) for n, x in enumerate(sorted(x for x in mine if -x[0] >= least)[:3], 1)]
+        assert sorted((x.query_id, x.rank, x.memory_id, round(x.score, 9)) for x in out.collect()) == sorted(want) != []
+    assert "array_intersect" not in out._jdf.queryExecution().optimizedPlan().toString()
