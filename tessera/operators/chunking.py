@@ -12,7 +12,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -63,9 +63,9 @@ def split_long(text: str, most: int = MOST) -> list[str]:
     return [*out, text] if text else out
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def split_long_column(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [p for p in (x.strip() for x in split_long(t)) if len(p) >= LEAST])
+@F.udf(ArrayType(StringType()), useArrow=False)  # a hundred rows at a time; Arrow would hold thousands of texts and their pieces at once
+def split_long_column(text: str) -> list[str]:
+    return [p for p in (x.strip() for x in split_long(text or "")) if len(p) >= LEAST]
 
 
 def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
@@ -309,16 +309,33 @@ def other_chunks(text: str, most: int = 1200) -> Iterator[dict]:
                 yield {"section": f"{'Visual' if i % 2 else 'Section'} {number}", "content": piece}
 
 
+#: Characters of chunks after which a task hands them on.
+HANDED_ON = 1 << 20
+
+
 def _walk(docs: DataFrame, parser: Callable[[str], Iterator[dict]]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, name, text in zip(pdf.source_key, pdf.source_name, pdf.text):
+    """The chunks of all documents: a text at a time is a Python string, and few chunks wait."""
+    schema = pa.schema([(c, pa.string()) for c in CHUNK_COLUMNS] + [("chunk_no", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
+        for batch in batches:
+            for doc in range(len(batch)):
+                key, name, text = (batch.column(c)[doc].as_py() for c in range(3))
                 for i, r in enumerate(parser(text or ""), 1):
-                    rows.append([key, name, *(r.get(c, "") for c in CHUNK_COLUMNS[2:]), i])
-            yield pd.DataFrame(rows, columns=[*CHUNK_COLUMNS, "chunk_no"])
+                    rows.append((key, name, *(r.get(c, "") for c in CHUNK_COLUMNS[2:]), i))
+                    chars += len(r["content"])
+                    if chars >= HANDED_ON:
+                        yield _batch(rows, schema)
+                        rows, chars = [], 0
+        if rows:
+            yield _batch(rows, schema)
+
+    return docs.select(*(F.col(c).cast("string") for c in ("source_key", "source_name", "text"))).mapInArrow(run, CHUNK_SCHEMA)
+
 
-    return docs.select("source_key", "source_name", "text").mapInPandas(run, CHUNK_SCHEMA)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def parse_act(docs: DataFrame) -> DataFrame:
