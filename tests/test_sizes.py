@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 from test_queries import plain
 
-from tessera.operators import memory
+from tessera.operators import chunking, memory
 from tessera.plans import registry
 from tessera.streaming import jobs
 
@@ -90,3 +90,20 @@ def test_memories_by_words_meet_lists_of_words_only(spark, monkeypatch):
             want += [(i, n, x[3], round(-x[0], 9)) for n, x in enumerate(sorted(x for x in mine if -x[0] >= least)[:3], 1)]
         assert sorted((x.query_id, x.rank, x.memory_id, round(x.score, 9)) for x in out.collect()) == sorted(want) != []
     assert "array_intersect" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_walked_chunks_are_handed_on_by_few(spark, monkeypatch):
+    """Documents and their chunks don't wait as whole batches of Python objects."""
+    monkeypatch.setattr(chunking, "HANDED_ON", 100)
+    faq = "\n".join(f"Q: What of {i}?\nA: The answer to {i}." for i in range(50))
+    act = "\n".join(f"Section {i}A. Of {i}\n{'what is to be done and by whom ' * 3}" for i in range(1, 50))
+    docs = spark.createDataFrame([("f", "n", faq), ("a", "n", act), ("none", "n", None)], "source_key string, source_name string, text string")
+    for parser, key, n in ((chunking.parse_faq, "f", 50), (chunking.parse_act, "a", 49)):
+        out = parser(docs.where(docs.source_key.isin(key, "none")))
+        assert "InPandas" not in out._jdf.queryExecution().toString()
+        assert [(r.source_key, r.chunk_no) for r in out.orderBy("chunk_no").collect()] == [(key, i) for i in range(1, n + 1)]
+
+
+def test_long_texts_are_cut_a_few_rows_at_a_time(spark):
+    df = spark.createDataFrame([("a word. " * 400,), (None,), ("short",)], "t string").select(chunking.split_long_column("t").alias("p"))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().toString() and [len(r.p) for r in df.collect()] == [3, 0, 0]
