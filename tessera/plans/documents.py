@@ -17,6 +17,7 @@ from tessera.operators import chunking, search, store
 from tessera.plans.tables import _INDEX, WINDOWS_SQL, _chunks, _questions
 from tessera.plans.turns import _pick, _pick_sql, _q
 from tessera.session import scratch, table
+from tessera.session import store as store_table
 from tessera.sources import registry as sources
 from tessera.streaming import jobs
 
@@ -309,7 +310,7 @@ def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _questions(spark, sf_dir)
     q = q.withColumns({"lang": F.when(F.col("query_id") % 2 == 1, "ms").otherwise("en"), "text": F.concat("text", F.when(F.col("query_id") % 4 == 0, " clbg").otherwise(""))})
     boosts = q.where("query_id % 5 = 0").select(T.query_hash(F.col("text")).alias("query_hash"), F.lit("7").alias("section_parent"), F.lit(0.15).alias("delta")).distinct()
-    return search.hybrid(q, chunks, 0.3, boosts=boosts).select("query_id", "source_key", "chunk_no", F.round("score", 6).alias("score"))
+    return search.hybrid(q, store_table(chunks), 0.3, boosts=boosts).select("query_id", "source_key", "chunk_no", F.round("score", 6).alias("score"))
 
 
 @sql("""WITH r AS (SELECT label AS query_id, vec_id AS rank, source FROM embeddings JOIN documents ON doc_id = vec_id), s AS (SELECT query_id, source, min(rank) AS p FROM r GROUP BY ALL),

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 from test_queries import plain
 
-from tessera.operators import chunking, memory
+from tessera.operators import chunking, memory, search
 from tessera.plans import registry
 from tessera.streaming import jobs
 
@@ -107,3 +107,13 @@ def test_walked_chunks_are_handed_on_by_few(spark, monkeypatch):
 def test_long_texts_are_cut_a_few_rows_at_a_time(spark):
     df = spark.createDataFrame([("a word. " * 400,), (None,), ("short",)], "t string").select(chunking.split_long_column("t").alias("p"))
     assert "ArrowEvalPython" not in df._jdf.queryExecution().toString() and [len(r.p) for r in df.collect()] == [3, 0, 0]
+
+
+def test_scores_are_summed_where_a_chunks_postings_are(spark):
+    """No row a query, chunk and word is shuffled."""
+    chunks = spark.createDataFrame([("a", i, f"alpha beta w{i % 7}") for i in range(50)], "source_key string, chunk_no long, text string")
+    asked = spark.createDataFrame([(1, "alpha w3 w3"), (2, "none")], "query_id long, text string")
+    out = search.bm25(asked, chunks)
+    assert "hashpartitioning(query_id" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.chunk_no: r.bm25 for r in out.collect()}
+    assert len(got) == 50 and {c for c, v in got.items() if v > min(got.values()) + 1e-9} == {i for i in range(50) if i % 7 == 3}
