@@ -117,3 +117,32 @@ def test_scores_are_summed_where_a_chunks_postings_are(spark):
     assert "hashpartitioning(query_id" not in out._jdf.queryExecution().executedPlan().toString()
     got = {r.chunk_no: r.bm25 for r in out.collect()}
     assert len(got) == 50 and {c for c, v in got.items() if v > min(got.values()) + 1e-9} == {i for i in range(50) if i % 7 == 3}
+
+
+def test_sets_go_to_cells_of_pairs(spark, monkeypatch):
+    """A family of near copies, small, large and of mixed sizes, equals the comparison of all pairs, and no set is joined to a pair."""
+    rnd = random.Random(5)
+    texts = []
+    for family, (size, copies) in enumerate([(6, 12), (40, 40), (300, 12), (500, 12), (530, 12), (1010, 8), (2100, 6)]):
+        base = [f"f{family}w{i}" if i % 3 else f"c{rnd.randrange(2500)}" for i in range(size)]
+        for _ in range(copies):
+            some = [w if rnd.random() > 0.06 else rnd.choice([f"c{rnd.randrange(2500)}", ""]) for w in base]
+            texts.append(" ".join(some + [f"x{rnd.randrange(10**9)}" for _ in range(rnd.randrange(1 + size // 9))]))
+    texts += [texts[0], texts[30], " ".join(reversed(texts[30].split())), "", None, "one", "one two"]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    rnd.shuffle(docs)
+    df = spark.createDataFrame([*docs, docs[3]], "doc_id long, text string")  # one row twice
+    classes = {}
+    for i, t in sorted(docs):
+        if t:
+            classes.setdefault(frozenset(t.split()), i)
+    sets = sorted((i, s) for s, i in classes.items())
+    want = {(a, b): len(s & t) / len(s | t) for x, (a, s) in enumerate(sets) for b, t in sets[x + 1 :] if len(s & t) / len(s | t) > 0.8}
+    assert len(want) > 200
+    for paired in (search.PAIRED, 2_000):
+        monkeypatch.setattr(search, "PAIRED", paired)
+        out = search.near_duplicates(df)
+        assert "array_intersect" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = [(r.a, r.b, r.jaccard) for r in out.collect()]
+        assert len(got) == len(want) and {(a, b): j for a, b, j in got} == want
+    assert search.near_duplicates(df.where("doc_id < 0")).collect() == []
