@@ -1,9 +1,12 @@
 """Queries on odd and on larger inputs than the tables have."""
 
 import random
+import re
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from test_queries import plain
 
 from tessera.operators import chunking, memory, search
@@ -146,3 +149,57 @@ def test_sets_go_to_cells_of_pairs(spark, monkeypatch):
         got = [(r.a, r.b, r.jaccard) for r in out.collect()]
         assert len(got) == len(want) and {(a, b): j for a, b, j in got} == want
     assert search.near_duplicates(df.where("doc_id < 0")).collect() == []
+
+
+def test_texts_become_sets_without_a_row_a_token(spark, monkeypatch):
+    """Tokens are told apart and numbered by batch: no step lays out the tokens of texts, or of prefixes, as rows of Spark's."""
+    plans, keep = [], search.store
+    monkeypatch.setattr(search, "store", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    texts = ["One two THREE four five", "one two three four five six", "K\u00d6ln one-two:three four,five", "five four three two one one", "", None, "\u00e9\u00e9", "x y"]
+    df = spark.createDataFrame([*enumerate(texts), (None, "x y"), (None, "one two three four five")], "doc_id long, text string")
+    out = search.near_duplicates(df)
+    assert [(r.a, r.b, r.jaccard) for r in out.collect()] == [(0, 1, 5 / 6)]
+    assert len(plans) > 5 and not any("explode" in x or "regexp" in x for x in plans)
+
+
+def test_coded_texts_equal_their_tokens(monkeypatch):
+    """Whatever texts are coded together, and wherever they end, codes stand for the distinct tokens of each; rows read from a cut batch too."""
+    rnd = random.Random(8)
+    texts = ["", "ab", "cd", "", None, "-", "z" * 300, "a1 \u00e9b2\u00e9 a1", *("".join(rnd.choice("ab1 .\u00fc") for _ in range(rnd.randrange(40))) for _ in range(200)), "end"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t and t.encode() for t in texts], pa.binary()), pa.array(range(1000, 1000 + len(texts)))], ["k", "t", "row"]).slice(1)
+    want = {i: sorted(set(re.findall("[a-z0-9]+", t))) for i, t in enumerate(texts) if i and t and re.search("[a-z0-9]", t)}
+    digests = None
+    for together in (1, 100, 1 << 20):
+        monkeypatch.setattr(search, "CODED", together)
+        out = [r for b in search._coded(iter([rows, rows.slice(0, 0)])) for r in b.to_pylist()]
+        term = {(r["batch"], r["code"]): r["term"] for r in out if r["code"] is not None}
+        sets = [r for r in out if r["code"] is None]
+        assert {r["k"]: [term[r["batch"], c] for c in np.frombuffer(r["codes"], np.int32)] for r in sets} == want and len(sets) == len(want)
+        assert len({r["batch"] for r in sets}) > 1 or together > 100
+        digests = digests or {r["k"]: r["digest"] for r in sets}
+        assert digests == {r["k"]: r["digest"] for r in sets}
+    assert len(set(digests.values())) == len({tuple(x) for x in want.values()})
+
+
+def test_sets_meet_in_bands_of_their_sizes(monkeypatch):
+    """Sets whose sizes may make a pair meet at their first number, in one place; others don't, however many have the number."""
+    sizes = [*range(1, 60), 500, 511, 512, 640, 641, 1023, 1024, 1280, 4000, 5000]
+    s = [np.arange(n, dtype=np.int32) for n in sizes]
+    sets = pa.RecordBatch.from_arrays([pa.array(range(len(s))), pa.array(sizes, pa.int32()), pa.array([x.tobytes() for x in s], pa.binary())], ["k", "n", "s"])
+    kept = None
+    for least, most in ((0.8, 1 << 24), (0.8, 4_000), (0.5, 1 << 24), (0.999, 1 << 24)):
+        monkeypatch.setattr(search, "HANDED_ON", most)
+        a, b = ([r for x in search._prefixes(iter([sets]), least, np.dtype(np.int32), smaller) for r in x.to_pylist()] for smaller in (True, False))
+        if least == 0.8:
+            kept = kept or (a, b)
+            assert all(sorted(map(str, x)) == sorted(map(str, y)) for x, y in zip(kept, (a, b)))
+        at = lambda rows: {n: [r["place"] for r in rows if r["n"] == n and r["at"] == 1] for n in sizes}  # noqa: E731, B023
+        small, large = at(a), at(b)
+        for x in sizes:
+            for y in sizes:
+                met = len(set(small[x]) & set(large[y]))
+                assert met == 1 if x <= y and y * least <= x else met <= 1
+        if least == 0.8:
+            assert sum(len(set(small[x]) & set(large[y])) for x in sizes for y in sizes if y * least**2 > x) == 0
+            assert max(r["at"] for r in a if r["n"] == 4000) == 4000 - 3556 + 1 and max(r["at"] for r in b if r["n"] == 4000) == 801
+            assert {r["at"]: r["before"] for r in b if r["n"] == 59}[7] == [2, 3, 4, 5]
